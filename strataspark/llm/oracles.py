@@ -52,3 +52,41 @@ select w.doc_id, cast(coalesce(n.n, 0) as bigint) as n_shingles, least(w.doc_id,
        w.doc_id = least(w.doc_id, coalesce(comp.low, w.doc_id)) as kept
 from w left join n on n.doc_id = w.doc_id left join comp on comp.doc_id = w.doc_id
 """
+
+op3_segment_topk = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as v from embeddings
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select q.vec_id as query_id, c.vec_id, cast(list_inner_product(q.v, c.v) as bigint) as score
+  from v q join v c on q.vec_id % 20 = 0 and c.vec_id <> q.vec_id and len(q.v) = len(c.v)),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from s)
+select query_id, cast(rank as integer) as rank, vec_id, score from r where rank <= 20
+"""
+
+op7_preference = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+         row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
+  from conversations where conv_id is not null),
+x as (select *, cast(floor(conv_id / 2.0) as bigint) as pair_id, conv_id % 2 as side, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as shown from t),
+n as (select pair_id, side, count(*) as n from x group by 1, 2),
+p as (
+  select pair_id, coalesce(max(case when side = 0 then n end), 0) as a, coalesce(max(case when side = 1 then n end), 0) as b from n group by 1),
+d as (
+  select p.pair_id, p.a, p.b, coalesce(min(y.i) - 1, least(p.a, p.b)) as n
+  from p left join (
+    select a.pair_id, a.i from x a join x b on a.pair_id = b.pair_id and a.i = b.i and a.side = 0 and b.side = 1 and (a.role <> b.role or a.text <> b.text)) y on y.pair_id = p.pair_id
+  group by p.pair_id, p.a, p.b),
+z as (
+  select x.*, d.n, coalesce(sum(case when x.i > d.n then length(shown) end) over (partition by x.conv_id order by x.i rows between unbounded preceding and 1 preceding), 0) as pos
+  from x join d on d.pair_id = x.pair_id)
+select d.pair_id, d.pair_id * 2 as chosen_id, d.pair_id * 2 + 1 as rejected_id, d.a > 0 and d.b > 0 as paired, cast(d.n as bigint) as prompt_turns,
+  coalesce(string_agg(case when side = 0 and i <= z.n then shown end, '' order by i), '') as prompt,
+  coalesce(string_agg(case when side = 0 and i > z.n then shown end, '' order by i), '') as chosen,
+  coalesce(string_agg(case when side = 0 and i > z.n and role = 'assistant' then cast(cast(pos + length(role) + 5 as bigint) as varchar) || '+' || cast(length(text) + 8 as varchar) end, ',' order by i), '') as chosen_mask,
+  coalesce(string_agg(case when side = 1 and i > z.n then shown end, '' order by i), '') as rejected,
+  coalesce(string_agg(case when side = 1 and i > z.n and role = 'assistant' then cast(cast(pos + length(role) + 5 as bigint) as varchar) || '+' || cast(length(text) + 8 as varchar) end, ',' order by i), '') as rejected_mask
+from d join z on z.pair_id = d.pair_id
+group by d.pair_id, d.a, d.b, d.n
+"""

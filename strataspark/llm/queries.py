@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.llm.shared import documents
+from strataspark.session import ship
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -16,6 +17,12 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataspark.llm.lattice import score
+
+    return score(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataspark.llm import quality as q
 
@@ -24,12 +31,40 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return led.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), q.verdict("v2").alias("kept"), "fail_bits")
 
 
+def op3_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataspark.llm.topk import top_k
+
+    ship(spark)
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 20 == 0)
+
+
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataspark.llm.lines import line_ledger
+
+    return line_ledger(documents(spark, sf_dir)).drop("row")
+
+
+def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataspark.llm.weak import classify
+
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).select("row.doc_id", "posterior", "score", "kept")
+
+
 def op6_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataspark.llm.near import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
 
 
+def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataspark.llm import preference as p
+
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), ",").alias(c)
+    out = p.format_pairs(turns, p.neighbours(turns))
+    return out.select("pair_id", "chosen_id", "rejected_id", "paired", "prompt_turns", "prompt", "chosen", spans("chosen_mask"), "rejected", spans("rejected_mask"))
+
+
 def op8_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataspark.llm.mixing import taken
 
@@ -42,9 +77,16 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), tokenizer_path()).drop("copy")
 
 
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataspark.llm.repeats import remove_repeats
+
+    return remove_repeats(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
+    import corpus_pipeline
 
+    return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

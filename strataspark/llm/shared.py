@@ -21,10 +21,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors."""
+    """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
+
+    The driver's collector is asked to run afterwards, since Spark frees a finished step's shuffle files only when it does.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataspark-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
