@@ -9,12 +9,12 @@ below the threshold go; the rest are confirmed on their full sets.
 How groups stay bounded. Documents with equal sets are one class before banding. Round A links every class with only one
 partner, the band representative it meets most often, and joins what is confirmed into components. Round B looks only at
 bands that still hold two or more components: their members are cut into blocks of about BLOCK classes, each pair of
-blocks is compared by registers in one task (nothing is emitted but pairs of different components whose estimate is near
-or above the threshold), and those pairs are confirmed in turn. So no task holds a whole group, a group of copies costs
+blocks is compared in one task, first by registers, then on the full sets of pairs of different components that share a
+band, and only confirmed links leave the task. So no task holds a whole group, a group of copies costs
 one comparison a member, and no link between components is lost except by banding (below 1e-6 at the threshold).
 
-Defined cases: null and empty texts have an empty set, link with nothing and are kept; repeated rows of one doc_id are
-one document; ties take the smallest doc_id; null doc_ids take no part; an empty table gives no rows; other columns play no part.
+Defined cases: null and empty texts have an empty set, link with nothing and are kept; repeated rows are one document
+(different texts under one doc_id give a row each); ties take the smallest doc_id; null doc_ids take no part; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -33,7 +33,8 @@ from strataspark.llm.shared import components, table
 
 REGISTERS = 192
 MANTISSA = 10
-BLOCK = 256
+BLOCK = 512
+GROUP = 4096  # classes that are compared as one group of blocks; larger groups go band by band
 #: Standard errors of the estimate below the threshold at which a candidate is let go.
 MARGIN = 6.0
 
@@ -172,38 +173,61 @@ def links(docs: DataFrame, sk: DataFrame, size: int, percent: int, text: str = "
 
     comp = components(one).select(F.col("node").alias("id"), "root")
     m = members.select("key", "id").join(comp, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    left = m.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    left = left.join(sk.select(F.col("doc_id").alias("id"), "regs", "n_shingles"), "id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("key", "id", "root", "regs", "n_shingles", "own", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"))
+    mixed = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    left = table(m.join(mixed, "key", "left_semi"), "mixed")
+    # Bands that share classes are one group, unless that is a large one: then each band is.
+    near = components(left.groupBy("key").agg(F.min("id").alias("b")).join(left, "key").select(F.col("id").alias("a"), "b")).select(F.col("node").alias("id"), F.col("root").alias("group"))
+    sized = near.groupBy("group").agg(F.count("*").alias("n")).where(F.col("n") <= GROUP)
+    near = near.join(sized, "group")
+    of = left.join(near, "id", "left").select("id", "root", F.coalesce("group", F.xxhash64(F.lit("band"), "key")).alias("group")).distinct()
+    blocks = of.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    sets = table(_sets(docs.select("doc_id", text).join(of.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), size, text), "sets_b")
+    full = of.join(blocks, "group").join(sets, "id").join(sk.select(F.col("doc_id").alias("id"), "regs", "bands"), "id")
+    full = full.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    full = full.select("group", "id", "root", "regs", "bands", "set", "own", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"))
     floor = cutoff(threshold)
 
     def compare(key: tuple, p: pd.DataFrame) -> pd.DataFrame:
-        _, s, t = key
-        p = p.sort_values("id", ignore_index=True)
+        s, t = int(key[1]), int(key[2])
+        p = p.drop_duplicates("id").sort_values("id", ignore_index=True)
+        p["n"] = p["set"].map(len)
         x, y = p[p["own"] == s], p[p["own"] == t]
-        out = []
+        out, joined = [], {}
         if len(x) and len(y):
-            ry = np.frombuffer(b"".join(y["regs"]), dtype=np.uint16).reshape(len(y), REGISTERS)
-            ids, roots, sizes = (y[c].to_numpy() for c in ("id", "root", "n_shingles"))
-            for i, root, regs, n in zip(x["id"], x["root"], x["regs"], x["n_shingles"]):
-                some = (roots != root) & (np.minimum(sizes, n) >= threshold * np.maximum(sizes, n) - 1e-9)
+            regs = np.frombuffer(b"".join(y["regs"]), dtype=np.uint16).reshape(len(y), REGISTERS)
+            bands = np.stack(y["bands"].to_numpy())
+            ids, roots, sizes, sets_y = (y[c].to_numpy() for c in ("id", "root", "n", "set"))
+            for i, root, r, band, own_set, n in zip(x["id"], x["root"], x["regs"], x["bands"], x["set"], x["n"]):
+                while root in joined:
+                    root = joined[root]
+                some = (roots != root) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
                 some &= (ids > i) if s == t else True
                 at = np.flatnonzero(some)
+                at = at[(bands[at] == band).any(axis=1)]
                 if len(at):
-                    j = estimate((ry[at] == np.frombuffer(regs, dtype=np.uint16)).mean(axis=1), np.full(len(at), n), sizes[at])
-                    out += [(min(i, k), max(i, k)) for k in ids[at[j >= floor]].tolist()]
+                    j = estimate((regs[at] == np.frombuffer(r, dtype=np.uint16)).mean(axis=1), np.full(len(at), n), sizes[at])
+                    at = at[j >= floor]
+                if len(at):
+                    every = np.concatenate(sets_y[at])
+                    place = np.minimum(np.searchsorted(own_set, every), n - 1)
+                    hit = own_set[place] == every
+                    common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[at]) - sizes[at])
+                    linked = at[100 * common >= percent * (n + sizes[at] - common)]
+                    for k in linked.tolist():
+                        out.append((min(i, ids[k]), max(i, ids[k])))
+                    for old in np.unique(roots[linked]).tolist():  # what is joined now needs no further comparison here
+                        joined[old] = root
+                        roots = np.where(roots == old, root, roots)
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    rest = table(left.groupBy("key", "s", "t").applyInPandas(compare, "a long, b long").distinct(), "pairs_b")
-    return one.union(_confirm(rest, docs, size, percent, text))
+    return one.union(full.groupBy("group", "s", "t").applyInPandas(compare, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id)."""
-    sk = table(sketches(docs, size, percent / 100, text).dropDuplicates(["doc_id"]), "sketches")
+    sk = table(sketches(docs, size, percent / 100, text), "sketches")
     classes = sk.where("n_shingles > 0").groupBy("n_shingles", "set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
-    of = table(sk.select("doc_id", "n_shingles", "set_hi", "set_lo").join(classes, ["n_shingles", "set_hi", "set_lo"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
+    of = table(sk.select("doc_id", "n_shingles", "set_hi", "set_lo").distinct().join(classes, ["n_shingles", "set_hi", "set_lo"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
     reps = sk.join(of.where("doc_id = rep and n_shingles > 0").select("doc_id"), "doc_id", "left_semi")
     comp = components(links(docs, reps, size, percent, text))
     out = of.join(comp, of["rep"] == comp["node"], "left")
