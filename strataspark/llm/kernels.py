@@ -174,3 +174,10 @@ def per_doc_u64(values: np.ndarray, off: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         np.cumsum(values, out=total[1:])
         return total[off[1:]] - total[off[:-1]]
+
+
+def per_doc_range(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of values over ranges."""
+    total = np.zeros(len(values) + 1, dtype=np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[end] - total[start]

@@ -30,7 +30,12 @@ WINDOW = 2048
 TAIL = 256
 SHARD = 2048
 END = 1
-KNOWN_WORDS = 1_000_000  # words whose ids a Python worker remembers
+JOINED = 2000  # words in one call of the tokenizer
+_CLOSING = np.zeros(256, dtype=bool)
+_CLOSING[list(b".,;:!?%&*$#|")] = True
+_ASCII_WORD = np.zeros(256, dtype=bool)
+_ASCII_WORD[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
+KNOWN_WORDS = 2_000_000  # words whose ids a Python worker remembers
 
 
 class WordIds:
@@ -41,6 +46,7 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        (self.digit,) = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -52,19 +58,53 @@ class WordIds:
     def learn(self, keys: np.ndarray, words: list[str]) -> None:
         if len(self.keys) + len(keys) > KNOWN_WORDS:
             self.forget()
-        got = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), dtype=np.int64, count=len(got))
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(got), dtype=np.uint32, count=int(size.sum()))])
+        # Words go in as one text with a digit between them, whose id then marks where each ends; the few words that hold
+        # that digit, or may hold a special token, go alone.
+        plain = np.array(["0" not in w and "<" not in w for w in words])
+        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
+        some = [words[i] for i in np.flatnonzero(plain).tolist()]
+        texts = [" 0 ".join(some[i : i + JOINED]) + " 0" for i in range(0, len(some), JOINED)]
+        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), dtype=np.uint32)
+        mark = np.flatnonzero(ids == self.digit)
+        assert len(mark) == len(some), "the tokenizer joins words across white space"
+        size = np.diff(mark, prepend=-1) - 1
+        alone = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in np.flatnonzero(~plain).tolist()], add_special_tokens=False)]
+        size = np.concatenate([size, np.fromiter(map(len, alone), dtype=np.int64, count=len(alone))])
+        keys = keys[order]
+        self.flat = np.concatenate([self.flat, np.delete(ids, mark), np.fromiter(itertools.chain.from_iterable(alone), dtype=np.uint32)])
         at = np.arange(len(keys)) + len(self.bounds) - 1
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size)])
-        keys, at = np.concatenate([self.keys, keys]), np.concatenate([self.at, at])
         order = np.argsort(keys)
-        self.keys, self.at = keys[order], at[order]
+        place = np.searchsorted(self.keys, keys[order])
+        self.keys, self.at = np.insert(self.keys, place, keys[order]), np.insert(self.at, place, at[order])
+
+    def units(self, data: np.ndarray, w: K.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the units to encode, each document's first one, and the bytes. A unit is a word, or its body
+        and its closing punctuation: the tokenizer splits there too, and lowers letters, so that fewer units differ.
+        Words that may hold a special token ("<") stay as they are."""
+        tag = K.per_doc_range(data == 60, w.start, w.end) > 0
+        low = K.lower(data)
+        for s, e in zip(w.start[tag].tolist(), w.end[tag].tolist()):
+            low[s:e] = data[s:e]
+        body = np.where(_CLOSING[data], -1, np.arange(len(data)))
+        last = np.maximum.accumulate(body)[w.end - 1] + 1 if len(w.end) else w.end
+        before = low[np.maximum(last - 1, 0)]
+        # Only after a letter or digit that is one for sure: other marks would be of one piece with the closing ones.
+        sure = _ASCII_WORD[before] | ((low[np.maximum(last - 2, 0)] == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7))
+        cut = (last > w.start) & (last < w.end) & sure & ~tag
+        n = np.cumsum(cut) - cut
+        at = np.arange(len(w.start)) + n
+        start, end = np.empty(len(at) + int(cut.sum()), dtype=np.int64), np.empty(len(at) + int(cut.sum()), dtype=np.int64)
+        start[at], end[at] = w.start, np.where(cut, last, w.end)
+        start[at[cut] + 1], end[at[cut] + 1] = last[cut], w.end[cut]
+        first = w.first + np.concatenate([[0], np.cumsum(cut)])[w.first]
+        return start, end, first, low
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a buffer's documents, each closed by END, and the document bounds."""
         w = K.Words(data, off)
-        h = K.Rolling(data, 3).of(w.start, w.end)
+        start, end, first_unit, data = self.units(data, w)
+        h = K.Rolling(data, 3).of(start, end)
         keys, first, back = np.unique(h, return_index=True, return_inverse=True)
         for _ in range(2):
             place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
@@ -75,14 +115,14 @@ class WordIds:
                 self.forget()
                 new[:] = True
             raw = data.tobytes()
-            self.learn(keys[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(w.start[first[new]].tolist(), w.end[first[new]].tolist())])
+            self.learn(keys[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
         at = self.at[place][back] if len(back) else np.empty(0, dtype=np.int64)
         size = self.bounds[at + 1] - self.bounds[at]
         per = np.zeros(len(off), dtype=np.int64)
-        np.cumsum(K.per_doc(size, w.first) + 1, out=per[1:])
+        np.cumsum(K.per_doc(size, first_unit) + 1, out=per[1:])
         out = np.empty(per[-1], dtype=np.uint32)
-        # Word i of document d goes to the running sum of sizes, shifted by the ends before it.
-        to = np.cumsum(size) - size + w.doc
+        # Unit i of document d goes to the running sum of sizes, shifted by the ends before it.
+        to = np.cumsum(size) - size + np.repeat(np.arange(len(off) - 1), np.diff(first_unit))
         step = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
         out[np.repeat(to, size) + step] = self.flat[np.repeat(self.bounds[at], size) + step]
         out[per[1:] - 1] = END
