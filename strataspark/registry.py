@@ -26,7 +26,15 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def _load() -> None:
-    pass
+    """Import the modules that register queries."""
+    import importlib
+    import pkgutil
+
+    from strataspark import functions, operators, sources, streaming
+
+    for package in (operators, functions, sources, streaming):
+        for m in pkgutil.iter_modules(package.__path__):
+            importlib.import_module(f"{package.__name__}.{m.name}")
 
 
 def queries() -> dict[str, Query]:
