@@ -165,7 +165,8 @@ def links(docs: DataFrame, sk: DataFrame, size: int, percent: int, text: str = "
     """Confirmed links (a, b) between classes, enough to connect every component; ``sk`` has one row a class."""
     threshold = percent / 100
     keys = sk.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
-    full = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1")
+    # Written first, so that the join reads two plain exchanges and a band with very many members can be split.
+    full = table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1"), "keys")
     members = table(keys.join(full, "key"), "members")
     meets = members.where("id <> rep").groupBy("id", "rep").agg(F.count("*").alias("c"))
     best = meets.groupBy("id").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.r")).alias("b"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.llm import kernels as K
-from strataspark.llm.shared import table
+from strataspark.llm.shared import drop, table
 
 SPAN = 200
 BASE = 100  # SPAN is BASE doubled once; a shorter one makes fewer anchors but leaves more windows unsettled at edges
@@ -128,7 +128,8 @@ def _windows(docs: DataFrame, contexts: DataFrame, text: str) -> DataFrame:
 def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
     """row, lo, hi: runs of windows (by start) of SPAN bytes that occur again anywhere."""
     r = runs(docs, text)
-    seen = r.groupBy("rank").agg(F.count("*").alias("c"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c > 1").select("rank", (F.col("c0") != F.col("c1")).alias("mixed"))
+    # Written first, so that the join reads two plain exchanges and a rank with very many rows can be split.
+    seen = table(r.groupBy("rank").agg(F.count("*").alias("c"), F.min("ctx").alias("c0"), F.max("ctx").alias("c1")).where("c > 1").select("rank", (F.col("c0") != F.col("c1")).alias("mixed")), "ranks")
     again = table(r.join(seen, "rank"), "anchors")
     whole = again.where("not mixed").select("row", "lo", "hi")
     first = F.min(F.struct("row", "lo", "hi")).alias("at")
@@ -137,6 +138,7 @@ def repeated_windows(docs: DataFrame, text: str = "text") -> DataFrame:
     w = table(_windows(docs, contexts, text), "windows")
     often = w.groupBy("name").agg(F.sum("n").alias("c")).where("c > 1").select("name")
     single = table(w.where("n = 1").join(often, "name", "left_semi").select("row", F.col("at").alias("lo"), F.col("at").alias("hi")), "settled")
+    drop(w)
     return whole.union(copied).union(single)
 
 

@@ -29,7 +29,15 @@ def table(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/strataspark-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
     spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.shared_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Delete a table written by ``table`` that no later step reads."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shared_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,7 +65,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     edges = table(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "links")
     seen = None
     for _ in range(rounds):
-        edges = table(star(star(edges, True), False), "links")
+        last, edges = edges, table(star(star(edges, True), False), "links")
+        drop(last)
         # Done when every edge points from a node to a root: no node has two targets, no target has one.
         now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.sum(F.pmod("b", F.lit(1 << 40)))).first()
         if now == seen or not now[0]:
