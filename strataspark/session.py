@@ -30,3 +30,15 @@ def session(app: str = "strataspark", master: str | None = None, partitions: int
     spark = b.getOrCreate()
     ship(spark)
     return spark
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder all executors share (``spark.checkpoint.dir``); where that is unset, in a temporary one."""
+    import tempfile
+    import uuid
+
+    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = tempfile.mkdtemp(prefix="strataspark-")
+        spark.sparkContext.setCheckpointDir(base)
+    return f"{base.rstrip('/')}/strataspark-{uuid.uuid4().hex}/{name}"
