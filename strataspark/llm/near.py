@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.llm import kernels as K
-from strataspark.llm.shared import components, table
+from strataspark.llm.shared import components, matching, table
 
 REGISTERS = 192
 MANTISSA = 10
@@ -135,7 +135,7 @@ def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
 def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = table(_sets(docs.select("doc_id", text).join(ids, "doc_id").dropDuplicates(["doc_id"]), size, text), "sets")
+    sets = table(_sets(matching(docs.select("doc_id", text), ids, "doc_id").dropDuplicates(["doc_id"]), size, text), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     n = F.size(F.array_intersect("x", "y"))
     return both.where(100 * n >= percent * (F.size("x") + F.size("y") - n)).select("a", "b")
@@ -182,7 +182,7 @@ def links(docs: DataFrame, sk: DataFrame, size: int, percent: int, text: str = "
     near = near.join(sized, "group")
     of = left.join(near, "id", "left").select("id", "root", F.coalesce("group", F.xxhash64(F.lit("band"), "key")).alias("group")).distinct()
     blocks = of.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sets = table(_sets(docs.select("doc_id", text).join(of.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), size, text), "sets_b")
+    sets = table(_sets(matching(docs.select("doc_id", text), of.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), size, text), "sets_b")
     full = of.join(blocks, "group").join(sets, "id").join(sk.select(F.col("doc_id").alias("id"), "regs", "bands"), "id")
     full = full.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("group", "id", "root", "regs", "bands", "set", "own", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"))
@@ -209,7 +209,7 @@ def links(docs: DataFrame, sk: DataFrame, size: int, percent: int, text: str = "
                     j = estimate((regs[at] == np.frombuffer(r, dtype=np.uint16)).mean(axis=1), np.full(len(at), n), sizes[at])
                     at = at[j >= floor]
                 if len(at):
-                    every = np.concatenate(sets_y[at])
+                    every, own_set = np.concatenate(sets_y[at]).view(np.uint64), own_set.view(np.uint64)  # sorted as unsigned
                     place = np.minimum(np.searchsorted(own_set, every), n - 1)
                     hit = own_set[place] == every
                     common = np.add.reduceat(hit.astype(np.int64), np.cumsum(sizes[at]) - sizes[at])

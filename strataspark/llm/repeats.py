@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.llm import kernels as K
-from strataspark.llm.shared import drop, table
+from strataspark.llm.shared import drop, stable, table
 
 SPAN = 200
 BASE = 100  # SPAN is BASE doubled once; a shorter one makes fewer anchors but leaves more windows unsettled at edges
@@ -175,6 +175,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", with_text: bool = False)
                     names.append("kept")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
+    docs = stable(docs)
     kind = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
     both = _scan(docs, text).withColumn("doc_id", F.col("doc_id").cast("long")).join(spans(docs, text), "row", "left")
     return both.select("doc_id", "text", "cut").mapInArrow(run, kind)

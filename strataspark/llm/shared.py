@@ -34,12 +34,31 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def stable(docs: DataFrame) -> DataFrame:
+    """``docs`` such that monotonically_increasing_id gives a row the same number in every job: a plain scan of files does,
+    anything else is written first."""
+    plan = docs._jdf.queryExecution().optimizedPlan().toString()
+    kinds = {line.lstrip(" :+-*").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
+    return docs if kinds <= {"Project", "Filter", "Relation"} else table(docs, "rows")
+
+
 def drop(df: DataFrame) -> None:
     """Delete a table written by ``table`` that no later step reads."""
     path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.shared_path)
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def matching(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of ``docs`` whose ``key`` is in ``ids`` (one row a key), for reading the texts of a few documents.
+
+    The ids are written first, with a column to filter on: that is what Spark's runtime Bloom filter asks of a join's small
+    side (it also checks its size), so that texts nobody asks for are dropped before the shuffle.
+    """
+    docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
+    few = table(ids.select(key).withColumn("n", F.lit(1)), "ids")
+    return docs.join(few.where("n > 0").select(key), key)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")

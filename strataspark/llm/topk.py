@@ -26,6 +26,8 @@ from strataspark.llm.shared import table
 LEVELS = (4, 16)
 QUERIES = 1024
 ROWS = 8192
+STRIP = 128  # queries whose bounds a tile holds at once
+PAIRS = 1 << 15  # pairs whose vectors a tile gathers at once
 
 
 def _summary(v: np.ndarray, segments: int) -> np.ndarray:
@@ -46,27 +48,31 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 def search(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, candidate, score) index arrays: the k best candidates of each query, ties to the smaller id."""
-    coarse = _summary(q, LEVELS[0]) @ _summary(x, LEVELS[0]).T
-    slack = 1e-9 * np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1).max() + 1e-6
-    own = q_row[:, None] == x_row[None, :]
-    coarse[own] = -np.inf
-    m = min(4 * k, x.shape[0])
-    seeds = np.argpartition(-coarse, m - 1, axis=1)[:, :m]
-    qi = np.repeat(np.arange(len(q)), m)
-    first = _exact(q[qi], x[seeds.ravel()]).astype(np.float64).reshape(len(q), m)
-    first[np.take_along_axis(own, seeds, axis=1)] = -np.inf
-    least = -np.sort(-first, axis=1)[:, k - 1] if m >= k else np.full(len(q), -np.inf)
-    qi, xi = np.nonzero((coarse + slack >= least[:, None]) & ~own)
+    summaries = [(_summary(q, n), _summary(x, n).T) for n in LEVELS]
+    slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max() + 1e-6
+    m = min(4 * k, len(x))
     out = []
-    fine_q, fine_x = _summary(q, LEVELS[1]), _summary(x, LEVELS[1])
-    for lo in range(0, len(qi), 1 << 19):
-        a, b = qi[lo : lo + (1 << 19)], xi[lo : lo + (1 << 19)]
-        stay = np.einsum("ij,ij->i", fine_q[a], fine_x[b]) + slack[a, 0] >= least[a]
-        a, b = a[stay], b[stay]
-        s = _exact(q[a], x[b])
-        stay = s >= least[a]
-        out.append((a[stay], b[stay], s[stay]))
-    a, b, s = (np.concatenate(p) for p in zip(*out)) if out else (qi, xi, qi)
+    for lo in range(0, len(q), STRIP):
+        at = slice(lo, min(len(q), lo + STRIP))
+        own = q_row[at, None] == x_row[None, :]
+        bound = summaries[0][0][at] @ summaries[0][1]
+        bound[own] = -np.inf
+        seeds = np.argpartition(-bound, m - 1, axis=1)[:, :m]
+        first = np.stack([_exact(np.broadcast_to(q[lo + i], (m, q.shape[1])), x[s]) for i, s in enumerate(seeds)]).astype(np.float64)
+        first[np.take_along_axis(own, seeds, axis=1)] = -np.inf
+        least = -np.sort(-first, axis=1)[:, k - 1] if m >= k else np.full(len(seeds), -np.inf)
+        stay = (bound + slack[at, None] >= least[:, None]) & ~own
+        for left, right in summaries[1:]:
+            if stay.any():
+                stay &= left[at] @ right + slack[at, None] >= least[:, None]
+        a, b = np.nonzero(stay)
+        for s in range(0, len(a), PAIRS):
+            i, j = a[s : s + PAIRS], b[s : s + PAIRS]
+            score = _exact(q[lo + i], x[j])
+            good = score >= least[i]
+            out.append((lo + i[good], j[good], score[good]))
+    none = np.empty(0, dtype=np.int64)
+    a, b, s = (np.concatenate(p) for p in zip(*out)) if out else (none, none, none)
     order = np.lexsort((x_row[b], x_id[b], -s, a))
     a, b, s = a[order], b[order], s[order]
     rank = np.arange(len(a)) - np.searchsorted(a, a)

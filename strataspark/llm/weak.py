@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 
 from strataspark.llm import kernels as K
 from strataspark.llm.quality import measure
-from strataspark.llm.shared import table
+from strataspark.llm.shared import stable, table
 
 SAMPLE = 20_000
 BITS = 18
-STEPS = 10
+STEPS = 20
+RATE = 0.01  # small, so that what documents share is learnt before any one document is known by heart
 UNJUDGED = 0.1  # weight in training of a document whose posterior rests on heuristics alone
 #: Heuristic labellers in SQL over the measurements of a document and its label: 1 good, 0 bad, -1 no opinion.
 LABELLERS = {
@@ -93,16 +94,16 @@ def train(features: list[np.ndarray], target: np.ndarray, weight: np.ndarray, st
             d = 1 / (1 + np.exp(-np.clip(bias + w[f].sum(), -30, 30))) - target[i]
             if abs(d) < 0.02:
                 continue
-            d *= weight[i]
             g[f] += d * d
-            w[f] -= 0.1 * d / np.sqrt(g[f])
+            w[f] -= weight[i] * RATE * d / np.sqrt(g[f])
             gb += d * d
-            bias -= 0.1 * d / np.sqrt(gb)
+            bias -= weight[i] * RATE * d / np.sqrt(gb)
     return w, bias
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
     """``row``, posterior (of the votes), score (of the linear scorer), kept (score at least the threshold)."""
+    docs = stable(docs)
     judged = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.min(F.expr("case when quality is null and toxic is null then null when coalesce(quality, 1) = 1 and coalesce(toxic, 0) = 0 then 1 else 0 end")).alias("label"))
     m = measure(docs.withColumn("_n", F.monotonically_increasing_id()), text).withColumn("doc_id", F.col("row.doc_id"))
