@@ -34,7 +34,7 @@ def invalid_reason(b: Column, wgs84_only: bool = True) -> Column:
     steps = [F.when(~F.size(b).isin(4, 6), F.lit("wrong element count"))]
     for i, n in enumerate(names):
         steps += [F.when(F.isnan(flat[i]), F.lit(f"{n} is NaN")), F.when(_infinite(flat[i]), F.lit(f"{n} is infinite"))]
-    rest = F.slice(b, 5, 2)
+    rest = F.when(F.size(b) == 6, F.array(b[2], b[5])).otherwise(F.array().cast("array<double>"))
     steps.append(F.when(F.exists(rest, lambda x: F.isnan(x) | _infinite(x)), F.lit("elevation is not finite")))
     steps.append(F.when(F.exists(b, lambda x: F.abs(x) > LIMIT), F.lit("exceeds sane magnitude")))
     if wgs84_only:
