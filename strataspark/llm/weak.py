@@ -102,7 +102,7 @@ def train(features: list[np.ndarray], target: np.ndarray, weight: np.ndarray, st
 
 
 def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """``row``, posterior (of the votes), score (of the linear scorer), kept (score at least the threshold)."""
+    """``row``, posterior (of the votes), score (of the linear scorer), kept (score at least the threshold, and votes that speak for it)."""
     docs = stable(docs)
     judged = labels.where("doc_id is not null").groupBy("doc_id").agg(
         F.min(F.expr("case when quality is null and toxic is null then null when coalesce(quality, 1) = 1 and coalesce(toxic, 0) = 0 then 1 else 0 end")).alias("label"))
@@ -140,4 +140,4 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
 
     kind = rows.schema["row"].dataType.simpleString()
     scored = rows.mapInArrow(apply, f"n long, row {kind}, score double")
-    return scored.join(post.drop("weight"), "n").select("row", "posterior", "score", (F.col("score") >= threshold).alias("kept"))
+    return scored.join(post.drop("weight"), "n").select("row", "posterior", "score", ((F.col("score") >= threshold) & (F.col("posterior") >= 0.5)).alias("kept"))
