@@ -27,6 +27,7 @@ LEVELS = (4, 16)
 QUERIES = 1024
 ROWS = 8192
 STRIP = 128  # queries whose bounds a tile holds at once
+DENSE = 0.05  # share of survivors from which they are scored as a block
 PAIRS = 1 << 15  # pairs whose vectors a tile gathers at once
 
 
@@ -51,6 +52,7 @@ def search(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, x
     summaries = [(_summary(q, n), _summary(x, n).T) for n in LEVELS]
     slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max() + 1e-6
     m = min(4 * k, len(x))
+    small = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0**53  # products of blocks are exact in doubles
     out = []
     for lo in range(0, len(q), STRIP):
         at = slice(lo, min(len(q), lo + STRIP))
@@ -58,13 +60,19 @@ def search(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, x
         bound = summaries[0][0][at] @ summaries[0][1]
         bound[own] = -np.inf
         seeds = np.argpartition(-bound, m - 1, axis=1)[:, :m]
-        first = np.stack([_exact(np.broadcast_to(q[lo + i], (m, q.shape[1])), x[s]) for i, s in enumerate(seeds)]).astype(np.float64)
+        first = _exact(np.repeat(q[at], m, axis=0), x[seeds.ravel()]).astype(np.float64).reshape(seeds.shape)
         first[np.take_along_axis(own, seeds, axis=1)] = -np.inf
         least = -np.sort(-first, axis=1)[:, k - 1] if m >= k else np.full(len(seeds), -np.inf)
         stay = (bound + slack[at, None] >= least[:, None]) & ~own
         for left, right in summaries[1:]:
             if stay.any():
                 stay &= left[at] @ right + slack[at, None] >= least[:, None]
+        if small and stay.mean() > DENSE:  # so many survive that their exact scores are cheapest as one product of blocks
+            scores = np.where(stay, q[at] @ x.T, -np.inf)
+            kth = -np.partition(-scores, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+            i, j = np.nonzero((scores >= kth[:, None]) & stay)
+            out.append((lo + i, j, scores[i, j].astype(np.int64)))
+            continue
         a, b = np.nonzero(stay)
         for s in range(0, len(a), PAIRS):
             i, j = a[s : s + PAIRS], b[s : s + PAIRS]
