@@ -1,15 +1,16 @@
 """Fuzzy line deduplication by MinHash, in DataFrame functions only.
 
-A line's shingles are its runs of SHINGLE characters. The signature samples them where words begin (a choice that
-depends on the content alone, so an edit elsewhere never moves it): HASHES minima of their 64-bit hashes under XOR masks,
-in bands of ROWS. Lines that agree in a band are candidates, confirmed by the exact Jaccard similarity of their full
-sets of distinct character shingles (a line shorter than a shingle is one shingle). Components of confirmed lines keep the
-occurrence that is first by (doc_id, line number).
+A line's shingles are its runs of SHINGLE characters. The signature reads all of them, whatever the script and with or
+without white space: HASHES minima of their 64-bit hashes under XOR masks, in bands of ROWS. Lines that agree in a band
+are candidates, confirmed by the exact Jaccard similarity of their full sets of distinct character shingles (a line
+shorter than a shingle is one shingle). Components of confirmed lines keep the occurrence that is first by (doc_id, line
+number).
 
 Scale: lines with the same text are one row before anything else (pre-aggregated, so a line that a third of all documents
 share costs a row a task). The signature is aggregated in the partitioning that the first aggregation left, without a
-second shuffle. In a band, every line is paired with the band's first line only; bands that still hold two components
-after that give the pairs of different components. Texts are fetched for candidates alone.
+second shuffle. In a band, every line is paired with the band's first line only. Bands that still hold two components
+after that are cut into blocks of about BLOCK lines; a pair of blocks meets in one task, each pair of lines of different
+components in the first band they share, and only confirmed links leave the task. Texts are fetched for candidates alone.
 
 Defined cases: null and empty texts have no lines; blank lines are always kept and never compared; a null doc_id sorts
 last; repeated rows of one document are repeated lines, of which one stays; very long lines are lines like any other;
@@ -28,7 +29,7 @@ SHINGLE = 8
 BANDS = 8
 ROWS = 4
 PERCENT = 80
-WORD_START = r"(?<![^\x20\x09-\x0D])(?=([^\x20\x09-\x0D].{0,%d}))" % (SHINGLE - 1)
+BLOCK = 256
 
 
 def _mask(k: int) -> int:
@@ -45,44 +46,70 @@ def line_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def _full(line: Column) -> Column:
-    """All distinct character shingles as hashes: UTF-32 gives every character four bytes (big-endian, no mark), so each shingle is cut in one step."""
-    raw = F.encode(line, "UTF-32")
+def _shingles(line: Column) -> Column:
+    """The hashes of all character shingles: UTF-32 gives every character four bytes (big-endian, no mark), so each shingle is cut
+    in one step. The encoded line is a lambda's variable, so that it is encoded once a line, not once a shingle."""
     last = F.greatest(F.length(line) - SHINGLE, F.lit(0))
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * SHINGLE)))))
+    cut = lambda raw: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * SHINGLE))))
+    return F.transform(F.array(F.encode(line, "UTF-32")), cut)[0]
+
+
+def _full(line: Column) -> Column:
+    """All distinct character shingles as hashes."""
+    return F.array_distinct(_shingles(line))
+
+
+def _sized(percent: int) -> Column:
+    """Whether the lines of a pair can reach ``percent`` at all."""
+    return F.expr(f"100 * least(length(la), length(lb)) >= {percent} * greatest(length(la), length(lb)) - 100 * {SHINGLE}")
+
+
+def _alike(x: Column, y: Column, percent: int) -> Column:
+    """Jaccard of the sets x and y (of na and nb shingles) at least ``percent``; each set is named once, so it is built once."""
+    return (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (F.col("na") + F.col("nb"))
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of hashes whose lines have at least ``percent`` of all their shingles in common. ``texts``: h, line."""
-    both = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-    sizes = both.where(f"100 * least(length(la), length(lb)) >= {percent} * greatest(length(la), length(lb)) - 100 * {SHINGLE}")
-    both = sizes.withColumn("x", _full(F.col("la"))).withColumn("y", _full(F.col("lb"))).withColumn("n", F.size(F.array_intersect("x", "y")))
-    return both.where(100 * F.col("n") >= percent * (F.size("x") + F.size("y") - F.col("n"))).select("a", "b")
+    """The pairs (a, b) of hashes whose lines have at least ``percent`` of all their shingles in common. ``texts``: h, line, n."""
+    both = pairs.join(texts.toDF("a", "la", "na"), "a").join(texts.toDF("b", "lb", "nb"), "b")
+    return both.where(_sized(percent)).where(_alike(_full(F.col("la")), _full(F.col("lb")), percent)).select("a", "b")
 
 
 def bands(lines: DataFrame) -> DataFrame:
     """h and key: a row per distinct line and band."""
     distinct = lines.groupBy("h").agg(F.min("line").alias("line"))
-    sh = distinct.select("h", F.explode(F.regexp_extract_all("line", F.lit(WORD_START), F.lit(1))).alias("s")).select("h", F.xxhash64("s").alias("v"))
+    sh = distinct.select("h", F.explode(_shingles(F.col("line"))).alias("v"))
     k = BANDS * ROWS
     sig = sh.groupBy("h").agg(*[F.min(F.col("v").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(k)])
     keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
     return sig.select("h", F.explode(keys).alias("key"))
 
 
+def _across(m: DataFrame, comp: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between lines of one band and different components. ``m``: key, h, rep; ``comp``: h, root."""
+    mixed = m.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    keys = mixed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo < hi").select("key", "blocks")
+    left = table(mixed.join(keys, "key"), "mixed")
+    of = m.join(left.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.collect_list("key").alias("keys"))
+    rows = left.join(of, "h").join(texts, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "h", "rep", "root", "own", "keys", "line", "n").repartition("key", "s", "t")
+    x = rows.select("key", "s", "t", "rep", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("keys").alias("ka"), F.col("line").alias("la"), F.col("n").alias("na"), _full(F.col("line")).alias("x"))
+    y = rows.select("key", "s", "t", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("keys").alias("kb"), F.col("line").alias("lb"), F.col("n").alias("nb"), _full(F.col("line")).alias("y"))
+    both = x.join(y.hint("merge"), ["key", "s", "t"]).where("a < b and a <> rep and ra <> rb and (s = t or oa <> ob)")
+    first = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
+    return both.where(_sized(percent)).where(first).where(_alike(F.col("x"), F.col("y"), percent)).select("a", "b")
+
+
 def links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed pairs (a, b) of line hashes that connect every component."""
     by = W.partitionBy("key")
     m = bands(lines).withColumn("n", F.count("*").over(by)).withColumn("rep", F.min("h").over(by)).where("n > 1").select("key", "h", "rep")
     m = table(m, "bands")
-    texts = table(lines.select("h", "line").join(m.select("h").distinct(), "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
+    texts = lines.select("h", "line").join(m.select("h").distinct(), "h").groupBy("h").agg(F.min("line").alias("line"))
+    texts = table(texts.withColumn("n", F.size(_full(F.col("line")))), "texts")
     one = table(_confirm(m.where("h <> rep").select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct(), texts, percent), "links_a")
     comp = components(one).select(F.col("node").alias("h"), "root")
-    mixed = m.select("key", "h").join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    keys = mixed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    left = table(mixed.join(keys, "key", "left_semi"), "mixed")
-    rest = left.alias("x").join(left.alias("y"), "key").where("x.root <> y.root and x.h < y.h").select(F.col("x.h").alias("a"), F.col("y.h").alias("b")).distinct()
-    return one.union(_confirm(table(rest.exceptAll(m.select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()), "pairs_b"), texts, percent))
+    return one.union(table(_across(m, comp, texts, percent), "links_b"))
 
 
 def line_ledger(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:

@@ -158,6 +158,57 @@ def test_fuzzy_lines_join_exactly_those_at_the_threshold(spark):
     assert got == {1: True, 2: False, 3: True, 4: True}
 
 
+def line_pairs(rows):
+    """All pairs of lines with at least 80 % of their distinct shingles in common, by brute force."""
+    sets = {i: {s[k : k + lines.SHINGLE] for k in range(max(1, len(s) - lines.SHINGLE + 1))} for i, s in rows}
+    return [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+
+
+def line_roots(spark, rows):
+    got = lines.line_ledger(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r["doc_id"]: r["component_id"] for r in got}
+
+
+def test_fuzzy_lines_without_spaces(spark):
+    """Recall of lines with few or no spaces against brute force; no pair below the threshold is joined."""
+    rng = np.random.default_rng(11)
+    alphabets = ["".join(map(chr, range(0x4E00, 0x4E00 + 900))), "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", "abcdefghijklmnopqrstuvwxyz/.-_"]
+    rows = []
+    for d in range(240):
+        s = rng.choice(list(alphabets[d % 3]), rng.integers(60, 400))
+        if d % 4 == 0:
+            s[rng.integers(0, len(s), 3)] = " "
+        u = s.copy()
+        u[: 1 if d % 2 else 0] = "#"  # the line's start differs
+        for k in rng.integers(0, len(s), max(1, len(s) // 100)):
+            u[k] = "#"
+        rows += [(2 * d, "".join(s)), (2 * d + 1, "".join(u))]
+    pairs = line_pairs(rows)
+    root = line_roots(spark, rows)
+    assert len(pairs) > 150 and sum(root[a] == root[b] for a, b in pairs) >= 0.97 * len(pairs)
+    assert {(a, b) for a, b in zip(range(0, 480, 2), range(1, 480, 2)) if root[a] == root[b]} <= set(pairs)
+    tail = "://example.org/" + "".join(rng.choice(list(alphabets[1]), 200))
+    root = line_roots(spark, [(1, "http" + tail), (2, "https" + tail)])
+    assert root[1] == root[2]
+
+
+def test_fuzzy_lines_in_blocks(spark, monkeypatch):
+    """A group of lines about the threshold that share bands: cut into blocks, it has the links of the uncut group."""
+    rng = np.random.default_rng(4)
+    base = list("".join(rng.choice(list("abcdefghij klmnop"), 300)))
+    rows = []
+    for d in range(90):
+        s = list(base)
+        for k in rng.integers(0, 300, rng.integers(1, 7)):
+            s[k] = chr(0x400 + d)
+        rows.append((d, "".join(s)))
+    want = {k: v for k, v in line_roots(spark, rows).items()}
+    truth = closure(line_pairs(rows), range(90))
+    assert all(truth[a] == truth[b] for a in want for b in want if want[a] == want[b])
+    monkeypatch.setattr(lines, "BLOCK", 7)
+    assert line_roots(spark, rows) == want
+
+
 def test_mixing(docs, empty, texts):
     got = mixing.taken(docs).collect()
     assert len(got) == len(texts) and sum(r["size"] for r in got) == sum(len(WORD.findall(x or "")) for _, x in texts)
