@@ -60,8 +60,8 @@ def _full(line: Column) -> Column:
 
 
 def _sized(percent: int) -> Column:
-    """Whether the lines of a pair can reach ``percent`` at all."""
-    return F.expr(f"100 * least(length(la), length(lb)) >= {percent} * greatest(length(la), length(lb)) - 100 * {SHINGLE}")
+    """Whether sets of na and nb distinct shingles can reach ``percent`` at all (lengths cannot tell: repeated content has few)."""
+    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
 
 
 def _alike(x: Column, y: Column, percent: int) -> Column:
@@ -71,8 +71,10 @@ def _alike(x: Column, y: Column, percent: int) -> Column:
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) of hashes whose lines have at least ``percent`` of all their shingles in common. ``texts``: h, line, n."""
-    both = pairs.join(texts.toDF("a", "la", "na"), "a").join(texts.toDF("b", "lb", "nb"), "b")
-    return both.where(_sized(percent)).where(_alike(_full(F.col("la")), _full(F.col("lb")), percent)).select("a", "b")
+    sizes = texts.select("h", "n")
+    near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(_sized(percent))
+    both = near.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
+    return both.where(_alike(_full(F.col("la")), _full(F.col("lb")), percent)).select("a", "b")
 
 
 def bands(lines: DataFrame) -> DataFrame:
@@ -93,8 +95,8 @@ def _across(m: DataFrame, comp: DataFrame, texts: DataFrame, percent: int) -> Da
     of = m.join(left.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.collect_list("key").alias("keys"))
     rows = left.join(of, "h").join(texts, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     rows = rows.select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "h", "rep", "root", "own", "keys", "line", "n").repartition("key", "s", "t")
-    x = rows.select("key", "s", "t", "rep", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("keys").alias("ka"), F.col("line").alias("la"), F.col("n").alias("na"), _full(F.col("line")).alias("x"))
-    y = rows.select("key", "s", "t", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("keys").alias("kb"), F.col("line").alias("lb"), F.col("n").alias("nb"), _full(F.col("line")).alias("y"))
+    x = rows.select("key", "s", "t", "rep", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("keys").alias("ka"), F.col("n").alias("na"), _full(F.col("line")).alias("x"))
+    y = rows.select("key", "s", "t", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("keys").alias("kb"), F.col("n").alias("nb"), _full(F.col("line")).alias("y"))
     both = x.join(y.hint("merge"), ["key", "s", "t"]).where("a < b and a <> rep and ra <> rb and (s = t or oa <> ob)")
     first = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
     return both.where(_sized(percent)).where(first).where(_alike(F.col("x"), F.col("y"), percent)).select("a", "b")

@@ -192,6 +192,13 @@ def test_fuzzy_lines_without_spaces(spark):
     assert root[1] == root[2]
 
 
+def test_fuzzy_lines_of_repeated_content_at_any_length(spark):
+    """Equal sets of distinct shingles are alike whatever the lengths of their lines."""
+    rows = [(1, "=" * 100), (2, "=" * 200), (3, "ha " * 20), (4, "ha " * 90), (5, "-" * 30)]
+    root = line_roots(spark, rows)
+    assert root[1] == root[2] and root[3] == root[4] and len(set(root.values())) == 3
+
+
 def test_fuzzy_lines_in_blocks(spark, monkeypatch):
     """A group of lines about the threshold that share bands: cut into blocks, it has the links of the uncut group."""
     rng = np.random.default_rng(4)
