@@ -4,8 +4,9 @@ The pieces are those of an existing public subword vocabulary. A word (closed by
 path of pieces, single characters included; the weights of all segmentations are summed in log space by the forward
 recursion, so a word's score is its marginal probability over segmentations, and a text's score is the sum over its
 words and its end, since no piece spans white space. The vocabulary's own scores (its ranks) give the first piece
-probabilities; expectation-maximisation over the distinct words of the training documents adapts them (each word counts
-once: the spelt paths matter where a word's own count does not speak, so they learn what new words look like). A word that the training documents hold has one more path, the word as a single unit, whose mass follows its
+probabilities; expectation-maximisation over the words of the training documents, each as often as it occurs, adapts them.
+Every word is scored by this marginal, whether the training documents hold it or not. ``mixture_score`` is a further
+column: there a word that the training documents hold has one more path, the word as a single unit, whose mass follows its
 count; the share of mass kept for the spelt paths is that of words seen once (Good and Turing).
 
 Scale: counting is a map-side count per batch and one aggregation by word. Words, not texts, go through the lattice, each
@@ -198,8 +199,8 @@ def _adapt(counts: DataFrame, names: list[str], logp: np.ndarray, stop: float) -
                 code, length = codes(words)
                 i, w = pieces.weights(_hashes(code, length), length)
                 _, a = forward(w, length, 0.0)
-                uses += expected(w, i, a, length, np.ones(len(at)), out)
-                n += len(at)
+                uses += expected(w, i, a, length, c[at].astype(float), out)
+                n += int(c[at].sum())
         ids = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, [-1, -2])), pa.array(np.append(out[ids], [uses, n]))], names=["piece", "uses"])
 
@@ -215,7 +216,7 @@ def _adapt(counts: DataFrame, names: list[str], logp: np.ndarray, stop: float) -
 
 
 def score(docs: DataFrame, vocabulary_path: str, text: str = "text", iterations: int = ITERATIONS) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixture_score of every document."""
     spark = docs.sparkSession
     d = docs.withColumn("train", train_column())
     counts = table(word_counts(d.select(text, "train"), text), "counts")
@@ -252,24 +253,24 @@ def score(docs: DataFrame, vocabulary_path: str, text: str = "text", iterations:
                 out[at], _ = forward(w, length, last)
             seen = np.log(np.maximum(c, 1) / max(total, 1)) + np.log1p(-fresh)
             mixed = np.where(c > 0, np.logaddexp(seen, out + np.log(fresh)), out + np.log(fresh)) + np.log1p(-end_p)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(mixed / ln10)], names=["word", "c", "logp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array((out + np.log1p(-end_p)) / ln10), pa.array(mixed / ln10)], names=["word", "c", "logp", "mixed"])
 
     need = keyed.groupBy("chunk").applyInArrow(vocab_of, "chunk long, word binary")
-    scored = table(counts.mapInArrow(spell, "word binary, c long, logp double"), "words")
-    dictionary = need.join(scored, "word").select("chunk", "word", "c", "logp")
+    scored = table(counts.mapInArrow(spell, "word binary, c long, logp double, mixed double"), "words")
+    dictionary = need.join(scored, "word").select("chunk", "word", "c", "logp", "mixed")
 
     def rate(key: tuple, t: pa.Table, words: pa.Table) -> pa.Table:
         c = words.column("c").to_numpy()
         base = np.log10((c + 1) / (n + 1 * (v + 1)))
         look = dict(zip(words.column("word").to_pylist(), range(len(c))))
-        lp = words.column("logp").to_numpy()
+        lp, mx = words.column("logp").to_numpy(), words.column("mixed").to_numpy()
         out = []
         for x in t.column("text"):
             at = np.fromiter(map(look.__getitem__, _split((x.as_py() or "").encode())), dtype=np.int64)
-            out.append((len(at) + 1, int((c[at] > 0).sum()) + (ends > 0), float(base[at].sum() + np.log10((ends + 1) / (n + 1 * (v + 1)))), float(lp[at].sum() + np.log10(end_p))))
-        cols = list(zip(*out)) if out else [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        a, k, bs, sc = (pa.array(list(x), type=kind) for x, kind in zip(cols, kinds))
-        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": a, "n_known": k, "train_tokens": pa.array([n] * len(out), type=pa.int64()), "base_score": bs, "score": sc})
+            out.append((len(at) + 1, int((c[at] > 0).sum()) + (ends > 0), float(base[at].sum() + np.log10((ends + 1) / (n + 1 * (v + 1)))), float(lp[at].sum() + np.log10(end_p)), float(mx[at].sum() + np.log10(end_p))))
+        cols = list(zip(*out)) if out else [[]] * 5
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+        a, k, bs, sc, ms = (pa.array(list(x), type=kind) for x, kind in zip(cols, kinds))
+        return pa.table({"doc_id": t.column("doc_id"), "held_out": t.column("held_out"), "n_tokens": a, "n_known": k, "train_tokens": pa.array([n] * len(out), type=pa.int64()), "base_score": bs, "score": sc, "mixture_score": ms})
 
-    return keyed.groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return keyed.groupBy("chunk").cogroup(dictionary.groupBy("chunk")).applyInArrow(rate, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, mixture_score double")

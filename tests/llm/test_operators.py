@@ -336,6 +336,16 @@ def test_lattice(docs, empty, texts):
     assert lattice.score(empty, path).count() == 0
 
 
+def test_lattice_scores_known_words_by_their_spelling(spark):
+    """A word's score is its marginal over segmentations whatever its count; only the mixture has the word itself as a path."""
+    known = next(i for i in range(50) if zlib.crc32(str(i).encode()) % 7 != 2)
+    df = spark.createDataFrame([(known, "zqxj " * 2000), (None, "zqxj"), (None, "zqxk"), (None, "")], "doc_id long, text string")
+    got = {r["n_tokens"]: r for r in lattice.score(df, queries.tokenizer_path("piece_bpe_32k.model")).where("n_tokens > 2 or n_known = 2 or n_tokens = 1").collect()}
+    one, end = got[2]["score"] - got[1]["score"], got[1]["score"]
+    assert got[2001]["score"] - end == pytest.approx(2000 * one)
+    assert got[2]["mixture_score"] > got[2]["score"] + 0.05
+
+
 def test_lattice_sums_all_segmentations():
     names, p = ["a", "b", "ab", "ba", "aba"], np.array([0.3, 0.2, 0.2, 0.2, 0.1])
     pieces = lattice.Pieces(names, np.log(p))
