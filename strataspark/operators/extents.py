@@ -244,6 +244,18 @@ def measured_bounds_q(spark: SparkSession, sf: str) -> DataFrame:
     return _round(measured_bounds(it, ["l_orderkey"]), *EDGES)
 
 
+_SHIFTED = "case when lon < 0 then lon + 360 else lon end"
+
+
+@register("measured_bounds_items", sql("items", f""", i as (select l_orderkey, case when l_orderkey % 3 = 0 and ln % 2 = 0 then -lon else lon end as lon, lat from items),
+  g as (select l_orderkey, min(lon) as a, max(lon) as b, min({_SHIFTED}) as c, max({_SHIFTED}) as d, min(lat) as y0, max(lat) as y1 from i group by l_orderkey)
+  select l_orderkey, round(case when d - c < b - a then case when c > 180 then c - 360 else c end else a end, 6) as xmin, round(y0, 6) as ymin, round(case when d - c < b - a then case when d > 180 then d - 360 else d end else b end, 6) as xmax, round(y1, 6) as ymax from g"""))
+def measured_bounds_items_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Over all items by order. The items of an order share a longitude; in every third order some are mirrored, so that both spans occur."""
+    it = _items(spark, sf).select("l_orderkey", F.expr("case when l_orderkey % 3 = 0 and ln % 2 = 0 then -lon else lon end").alias("lon"), "lat")
+    return _round(measured_bounds(it, ["l_orderkey"]), *EDGES)
+
+
 @register("temporal_extent", sql("items", "select collection, min(ts) as start_ts, max(ts) as end_ts from items group by collection"))
 def temporal_extent_q(spark: SparkSession, sf: str) -> DataFrame:
     return _items(spark, sf).groupBy("collection").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))

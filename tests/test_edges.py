@@ -39,6 +39,16 @@ def test_union_antimeridian_spanning_goes_to_both(spark):
     assert r["crossing"] and (r["west_xmin"], r["west_xmax"], r["east_xmin"], r["east_xmax"]) == (-180, 10, -10, 180)
 
 
+def test_measured_bounds_reads_every_item(spark):
+    from strataspark import registry
+    from strataspark.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.queries()["measured_bounds_items"](spark, sf)
+    assert got.count() == view(spark, sf, "items").select("l_orderkey").distinct().count()
+    assert got.where("xmin > xmax").count() > 0 and got.where("xmin < xmax").count() > 0
+
+
 def test_geohash_known(spark):
     assert one(spark, g=B.geohash(F.lit(-5.6), F.lit(42.6), 5))["g"] == "ezs42"
 
