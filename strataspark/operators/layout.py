@@ -10,6 +10,7 @@ from strataspark.functions import boxes as B
 from strataspark.operators.extents import point_bbox_columns
 from strataspark.plans.views import sql, view
 from strataspark.registry import register
+from strataspark.session import scratch
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -132,12 +133,23 @@ def sort_hilbert_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kdtree_exact(df: DataFrame, x: str, y: str, levels: int, id: str) -> DataFrame:
-    """Balanced cells by exact halving: every level splits each cell at the median of alternating axes, with a total order."""
+    """Balanced cells by exact halving: every level splits each cell at the median of alternating axes, with a total order.
+
+    Ranks in a cell come from range partitions and their counts (a row per cell and partition), so no task sorts a whole cell.
+    Each level's ranges are written once: the counts and the ranks must see the same partitions.
+    """
     out = df.withColumn("cell", F.lit(""))
     for level in range(levels):
         axis = x if level % 2 == 0 else y
-        half = F.ntile(2).over(W.partitionBy("cell").orderBy(axis, id))
-        out = out.withColumn("_h", half).withColumn("cell", F.concat("cell", (F.col("_h") - 1).cast("string"))).drop("_h")
+        path = scratch(df.sparkSession, f"kdtree_{level}")
+        out.repartitionByRange("cell", axis, id).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+        ranged = df.sparkSession.read.parquet(path)
+        counts = ranged.groupBy("cell", "_p").agg(F.count("*").alias("_n"))
+        before = W.partitionBy("cell").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+        base = counts.select("cell", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(W.partitionBy("cell")).alias("_all"))
+        ranks = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("cell", "_p").orderBy(axis, id))).join(F.broadcast(base), ["cell", "_p"])
+        half = (2 * (F.col("_base") + F.col("_rn")) > F.col("_all") + 1).cast("int").cast("string")  # the first half has the odd row
+        out = ranks.withColumn("cell", F.concat("cell", half)).select(*df.columns, "cell")
     return out
 
 
@@ -162,7 +174,9 @@ def kdtree_partition(df: DataFrame, x: str, y: str, target_rows: int = 120_000,
 @register("kdtree_partition", sql("points", """, a as (select id, lon, lat, cast(ntile(2) over (order by lon, id) - 1 as varchar) as c from points), b as (select id, lon, lat, c || cast(ntile(2) over (partition by c order by lat, id) - 1 as varchar) as c from a)
   select id, c || cast(ntile(2) over (partition by c order by lon, id) - 1 as varchar) as cell from b"""))
 def kdtree_partition_q(spark: SparkSession, sf: str) -> DataFrame:
-    return kdtree_exact(_points(spark, sf).select("id", "lon", "lat"), "lon", "lat", 3, "id").select("id", "cell")
+    """Cells of at most an eighth of the table (rounded up), so three levels at any size."""
+    pts = _points(spark, sf).select("id", "lon", "lat")
+    return kdtree_partition(pts, "lon", "lat", -(-pts.count() // 8), "id").select("id", "cell")
 
 
 def tile_grid(extents: DataFrame, key: list[str], tile: float, pixel: float) -> DataFrame:

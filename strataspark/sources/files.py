@@ -159,7 +159,7 @@ def read_version(spark: SparkSession, root: str, collection: str, ord: int | Non
 
 def export_snapshot(df: DataFrame, path: str) -> None:
     """The current snapshot as one data set without derived columns; an empty table still writes its schema."""
-    drop_derived(df).coalesce(1).write.mode("overwrite").parquet(path)
+    drop_derived(df).write.mode("overwrite").parquet(path)
 
 
 def export_schema(schema: DataFrame, path: str, fmt: str = "csv") -> None:

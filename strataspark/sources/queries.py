@@ -23,8 +23,8 @@ def scan_hive_table_q(spark: SparkSession, sf: str) -> DataFrame:
 def scan_geojson_q(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "geojson")
     feature = F.concat(F.lit('{"type":"Feature","properties":{"id":'), F.col("id").cast("string"), F.lit(',"name":"'), "collection", F.lit('"},"geometry":{"type":"Point","coordinates":['), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]}}"))
-    doc = view(spark, sf, "points").groupBy((F.col("id") % 16).alias("k")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("value"))
-    doc.repartition(16, "k").select("value").write.text(root)
+    doc = view(spark, sf, "points").groupBy(F.floor(F.col("id") / 4000).alias("k")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("value"))
+    doc.select("value").write.option("maxRecordsPerFile", 1).text(root)  # one document a file, of at most 4000 features
     out = S.scan_geojson(spark, root)
     return out.select(F.col("id").cast("long").alias("id"), F.col("name"), "geometry_type", F.get_json_object("geometry", "$.coordinates[0]").cast("double").alias("lon"))
 

@@ -119,6 +119,29 @@ def test_approximate_kdtree_is_balanced(spark):
     assert len(counts) == 8 and max(counts) < 1.1 * min(counts)
 
 
+def test_exact_kdtree_ranks_by_range_partitions(spark):
+    df = spark.range(1001).select("id", (F.col("id") * 37 % 11).cast("double").alias("x"), (F.col("id") * 53 % 7).cast("double").alias("y"))
+    out = layout.kdtree_exact(df, "x", "y", 3, "id")
+    assert sorted(r["count"] for r in out.groupBy("cell").count().collect()) == [125] * 7 + [126]
+    plan = layout.kdtree_exact(df, "x", "y", 1, "id")._jdf.queryExecution().executedPlan().toString()
+    assert "ntile" not in plan
+
+
+def test_export_has_a_file_a_partition(spark, tmp_path):
+    S.export_snapshot(spark.range(100).repartition(3), str(tmp_path / "e"))
+    assert len(list((tmp_path / "e").glob("*.parquet"))) == 3
+
+
+def test_scan_geojson_reads_every_feature(spark):
+    from strataspark import registry
+    from strataspark.plans.views import view
+
+    sf = "/root/testdata/sf0.001"
+    got = registry.queries()["scan_geojson"](spark, sf)
+    want = view(spark, sf, "points").select("id", "collection", "lon")
+    assert sorted(map(tuple, got.select("id", "name", "lon").collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_concurrent_publish_has_one_winner(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "asset string, v int")
     assets = spark.createDataFrame([("a", "00", 1)], "asset string, sha256 string, size_bytes long")
