@@ -36,7 +36,11 @@ def table(df: DataFrame, name: str) -> DataFrame:
 
 def stable(docs: DataFrame) -> DataFrame:
     """``docs`` such that monotonically_increasing_id gives a row the same number in every job: a plain scan of files does,
-    anything else is written first."""
+    anything else is written first. Scans are split by the number of cores alive unless a number is set, so the present one
+    is set for the session: an executor that is lost or joins between jobs must not move rows between splits."""
+    spark = docs.sparkSession
+    if spark.conf.get("spark.sql.files.minPartitionNum", None) is None:
+        spark.conf.set("spark.sql.files.minPartitionNum", str(spark._jsparkSession.leafNodeDefaultParallelism()))
     plan = docs._jdf.queryExecution().optimizedPlan().toString()
     kinds = {line.lstrip(" :+-*").split(" ")[0].split("[")[0] for line in plan.splitlines() if line.strip()}
     return docs if kinds <= {"Project", "Filter", "Relation"} else table(docs, "rows")

@@ -346,6 +346,25 @@ def test_lattice_scores_known_words_by_their_spelling(spark):
     assert got[2]["mixture_score"] > got[2]["score"] + 0.05
 
 
+def test_row_numbers_do_not_follow_the_cores_alive(spark, tmp_path):
+    from strataspark.llm.shared import stable
+
+    spark.range(40_000).repartition(3).write.parquet(str(tmp_path / "t"))
+    had = {k: spark.conf.get(k, None) for k in ("spark.sql.files.minPartitionNum", "spark.sql.leafNodeDefaultParallelism", "spark.sql.files.openCostInBytes")}
+    number = lambda d: sorted(tuple(r) for r in d.select("id", F.monotonically_increasing_id()).collect())
+    try:
+        spark.conf.unset("spark.sql.files.minPartitionNum")
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "8")
+        docs = stable(spark.read.parquet(str(tmp_path / "t")))
+        first = number(docs)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", "2")  # as after the loss of executors
+        assert number(docs) == first
+    finally:
+        for k, v in had.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_lattice_sums_all_segmentations():
     names, p = ["a", "b", "ab", "ba", "aba"], np.array([0.3, 0.2, 0.2, 0.2, 0.1])
     pieces = lattice.Pieces(names, np.log(p))
