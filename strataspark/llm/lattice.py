@@ -34,7 +34,6 @@ from strataspark.llm.shared import table
 ITERATIONS = 2
 CHUNK = 4 << 20
 FLUSH = 400_000  # distinct words a counting task holds before it emits them
-LONGEST = 12  # characters of a piece
 LETTERS = 1 << 21  # the flat alphabet behind single characters: code points and the end of a word
 FLOOR = 1e-4  # share of mass for single characters that are no pieces
 
@@ -71,11 +70,12 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 class Pieces:
-    """The piece table: strings of up to LONGEST characters by their 64-bit hash, and their log probabilities."""
+    """The piece table: strings by their 64-bit hash, their log probabilities, and the length of the longest."""
 
     def __init__(self, names: list[str], logp: np.ndarray):
         self.names, self.logp = names, logp
         code, length = codes(names)
+        self.longest = int(length.max(initial=1))
         self.key = _hashes(code, length)[np.arange(len(names)), 0, length - 1]
         order = np.argsort(self.key)
         self.key, self.order = self.key[order], order
@@ -105,10 +105,10 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
-def _hashes(code: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """Hash of every substring by (word, start, length - 1)."""
+def _hashes(code: np.ndarray, length: np.ndarray, longest: int | None = None) -> np.ndarray:
+    """Hash of every substring (of up to ``longest`` characters) by (word, start, length - 1)."""
     n, m = code.shape
-    out = np.zeros((n, m, min(LONGEST, m)), dtype=np.uint64)
+    out = np.zeros((n, m, min(longest or m, m)), dtype=np.uint64)
     run = np.zeros((n, m), dtype=np.uint64)
     with np.errstate(over="ignore"):
         for k in range(out.shape[2]):
@@ -166,7 +166,7 @@ def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
         if sp.is_control(i) or sp.is_unknown(i) or sp.is_byte(i):
             continue
         name = sp.id_to_piece(i).replace("▁", "").translate(low)
-        if 0 < len(name) <= LONGEST:
+        if name:
             best[name] = max(best.get(name, -1e18), sp.get_score(i))
     names = sorted(best, key=lambda x: (-best[x], x))
     p = 1.0 / (np.arange(len(names)) + 10.0)
@@ -197,7 +197,7 @@ def _adapt(counts: DataFrame, names: list[str], logp: np.ndarray, stop: float) -
             c = b.column(1).to_numpy()
             for at, words in _batches(b.column(0).to_pylist()):
                 code, length = codes(words)
-                i, w = pieces.weights(_hashes(code, length), length)
+                i, w = pieces.weights(_hashes(code, length, pieces.longest), length)
                 _, a = forward(w, length, 0.0)
                 uses += expected(w, i, a, length, c[at].astype(float), out)
                 n += int(c[at].sum())
@@ -249,7 +249,7 @@ def score(docs: DataFrame, vocabulary_path: str, text: str = "text", iterations:
             out = np.empty(len(c))
             for at, ws in _batches(b.column(0).to_pylist()):
                 code, length = codes(ws)
-                _, w = pieces.weights(_hashes(code, length), length)
+                _, w = pieces.weights(_hashes(code, length, pieces.longest), length)
                 out[at], _ = forward(w, length, last)
             seen = np.log(np.maximum(c, 1) / max(total, 1)) + np.log1p(-fresh)
             mixed = np.where(c > 0, np.logaddexp(seen, out + np.log(fresh)), out + np.log(fresh)) + np.log1p(-end_p)

@@ -365,6 +365,16 @@ def test_row_numbers_do_not_follow_the_cores_alive(spark, tmp_path):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+def test_lattice_holds_the_longest_pieces():
+    names, logp = lattice.vocabulary(queries.tokenizer_path("piece_bpe_32k.model"))
+    pieces = lattice.Pieces(names, logp)
+    assert max(map(len, names)) == pieces.longest > 12
+    at = names.index("international")
+    code, length = lattice.codes(["xinternational"])
+    i, _ = pieces.weights(lattice._hashes(code, length, pieces.longest), length)
+    assert i[0, 1, 12] == at
+
+
 def test_lattice_sums_all_segmentations():
     names, p = ["a", "b", "ab", "ba", "aba"], np.array([0.3, 0.2, 0.2, 0.2, 0.1])
     pieces = lattice.Pieces(names, np.log(p))
