@@ -42,9 +42,12 @@ ITEM = "id string, type string, bbox array<double>, collection string, propertie
 
 
 def scan_stac_items(spark: SparkSession, root: str) -> DataFrame:
-    """Every item document under a root, with ``datetime`` and its file."""
-    df = spark.read.schema(ITEM).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
-    return df.where("type = 'Feature'").withColumn("datetime", F.try_to_timestamp(F.col("properties")["datetime"])).withColumn("file", F.input_file_name())
+    """Every item under a root, with ``datetime`` and its file: documents of one item, and item collections. Others are left out."""
+    df = spark.read.schema(f"{ITEM}, features array<struct<{ITEM}>>").option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(root)
+    names = [c for c in df.columns if c != "features"]
+    own = F.when(F.col("type") == "Feature", F.array(F.struct(*names))).when(F.col("type") == "FeatureCollection", F.col("features"))
+    df = df.select(F.input_file_name().alias("file"), F.explode(own).alias("item")).select("item.*", "file")
+    return df.where("type = 'Feature'").withColumn("datetime", F.try_to_timestamp(F.col("properties")["datetime"]))
 
 
 MANIFEST = "spec_version string, current_version string, versions array<struct<version: string, created: timestamp, breaking: boolean, message: string, changes: array<string>, schema: struct<type: string, fingerprint: string>, assets: map<string, struct<sha256: string, size_bytes: bigint, href: string, source_path: string, source_mtime: double, mtime: double, feature_count: bigint, schema_fingerprint: string>>>>, _corrupt_record string"

@@ -40,11 +40,12 @@ def scan_tabular_q(spark: SparkSession, sf: str) -> DataFrame:
 def scan_stac_items_q(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "items")
     pts = view(spark, sf, "points")
-    item = F.to_json(F.struct(F.lit("Feature").alias("type"), F.concat(F.lit("i"), F.col("id").cast("string")).alias("id"), F.array("lon", "lat", "lon", "lat").alias("bbox"), F.col("collection"), F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime")).alias("properties")))
-    pts.select(item.alias("value")).write.option("compression", "none").text(root + "/raw")
-    # The documents of a static catalog are one a file; here a file holds one a line, which the same schema reads.
-    df = spark.read.schema(S.ITEM).json(root + "/raw").withColumn("datetime", F.try_to_timestamp(F.col("properties")["datetime"]))
-    return df.where("type = 'Feature'").select("id", "collection", F.col("bbox")[0].alias("west"), F.date_format("datetime", "yyyy-MM-dd").alias("day"))
+    item = F.struct(F.lit("Feature").alias("type"), F.concat(F.lit("i"), F.col("id").cast("string")).alias("id"), F.array("lon", "lat", "lon", "lat").alias("bbox"), F.col("collection"), F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime")).alias("properties"))
+    # An item collection a file, of at most 4000 items, in nested folders: files grow with the table, and one can be read whole.
+    doc = pts.groupBy(F.floor(F.col("id") / 4000).alias("k")).agg(F.collect_list(item).alias("features"))
+    doc.select(F.lit("FeatureCollection").alias("type"), "features", (F.col("k") % 10).alias("part")).write.partitionBy("part").option("maxRecordsPerFile", 1).option("compression", "none").json(root)
+    df = S.scan_stac_items(spark, root)
+    return df.select("id", "collection", F.col("bbox")[0].alias("west"), F.date_format("datetime", "yyyy-MM-dd").alias("day"))
 
 
 @register("scan_versions", sql("assets", "select collection, ord, cast(count(*) as bigint) as assets, cast(sum(size_bytes) as bigint) as size_bytes from assets group by collection, ord"))

@@ -142,6 +142,28 @@ def test_scan_geojson_reads_every_feature(spark):
     assert sorted(map(tuple, got.select("id", "name", "lon").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_scan_stac_items_of_nested_multi_line_and_malformed_documents(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    one = '{"type": "Feature",\n "id": "%s",\n "bbox": [1, 2, 3, 4],\n "properties": {"datetime": "2024-01-02T03:04:05Z"}}'
+    (tmp_path / "a" / "x.json").write_text(one % "x")
+    (tmp_path / "a" / "b" / "y.json").write_text('{"type": "FeatureCollection", "features": [%s, %s]}' % (one % "y", one % "z"))
+    (tmp_path / "a" / "bad.json").write_text('{"type": "Feature", "id": ')
+    (tmp_path / "catalog.json").write_text('{"type": "Catalog", "id": "c"}')
+    got = sorted((r["id"], r["file"].split("/")[-1], r["datetime"].day) for r in S.scan_stac_items(spark, str(tmp_path)).collect())
+    assert got == [("x", "x.json", 2), ("y", "y.json", 2), ("z", "y.json", 2)]
+
+
+def test_scan_stac_items_query_runs_the_operator(spark, monkeypatch):
+    from strataspark import registry
+    from strataspark.plans.views import view
+
+    calls, scan = [], S.scan_stac_items
+    monkeypatch.setattr(S, "scan_stac_items", lambda *a: calls.append(a) or scan(*a))
+    got = registry.queries()["scan_stac_items"](spark, "/root/testdata/sf0.001")
+    want = view(spark, "/root/testdata/sf0.001", "points").selectExpr("concat('i', id)", "collection", "lon")
+    assert sorted(map(tuple, got.select("id", "collection", "west").collect())) == sorted(map(tuple, want.collect())) and calls
+
+
 def test_concurrent_publish_has_one_winner(spark, tmp_path):
     df = spark.createDataFrame([("a", 1)], "asset string, v int")
     assets = spark.createDataFrame([("a", "00", 1)], "asset string, sha256 string, size_bytes long")
