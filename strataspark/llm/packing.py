@@ -6,15 +6,18 @@ partition with one filled window, and the two partitions with the largest imbala
 fullest window of one with the emptiest of the other. If a window of the result exceeds the capacity, the number of
 windows rises by one and the shard is split anew, so windows end near-equal and never overfull.
 
-Only piece metadata is shuffled; ids are made, cut and summed in one Arrow map over the scan. Defined cases: a null or
-empty text is a document of the end id alone; repeated rows are packed as separate documents (``copy`` tells them
-apart); an empty table gives no rows; the input's other columns play no part.
+Only piece metadata is shuffled; ids are made, cut and summed in one Arrow map over the scan, whose result is written once
+and counted, so that the number of shards follows from the pieces there are. A worker's memory is bounded by its buffers
+(BUFFER bytes of text, or one longer document), slices of SLICE words in the tokenizer and a word memory of KNOWN_WORDS.
+
+Defined cases: a null or empty text is a document of the end id alone; repeated rows are packed as separate documents
+(``copy`` tells them apart); an empty table gives no rows; the input's other columns play no part.
 """
 
 from __future__ import annotations
 
 import heapq
-import itertools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -25,17 +28,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.llm import kernels as K
+from strataspark.llm.shared import table
 
 WINDOW = 2048
 TAIL = 256
 SHARD = 2048
 END = 1
-JOINED = 2000  # words in one call of the tokenizer
+BUFFER = 1 << 18  # bytes of text a worker encodes at once
+SLICE = 100  # words in one call of the tokenizer
 _CLOSING = np.zeros(256, dtype=bool)
 _CLOSING[list(b".,;:!?%&*$#|")] = True
 _ASCII_WORD = np.zeros(256, dtype=bool)
 _ASCII_WORD[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = True
-KNOWN_WORDS = 1_000_000  # words whose ids a Python worker remembers
+_LETTERS = np.zeros(256, dtype=bool)
+_LETTERS[97:123] = True
+KNOWN_WORDS = 500_000  # words whose ids a Python worker remembers
 
 
 class WordIds:
@@ -45,8 +52,8 @@ class WordIds:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the cores
         self.tokenizer = Tokenizer.from_file(path)
-        (self.digit,) = self.tokenizer.encode("0", add_special_tokens=False).ids
         self.forget()
 
     def forget(self) -> None:
@@ -55,23 +62,25 @@ class WordIds:
         self.flat = np.empty(0, dtype=np.uint32)
         self.bounds = np.zeros(1, dtype=np.int64)
 
-    def learn(self, keys: np.ndarray, words: list[str]) -> None:
-        if len(self.keys) + len(keys) > KNOWN_WORDS:
-            self.forget()
-        # Words go in as one text with a digit between them, whose id then marks where each ends; the few words that hold
-        # that digit, or may hold a special token, go alone.
-        plain = np.array(["0" not in w and "<" not in w for w in words])
-        order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain)])
-        some = [words[i] for i in np.flatnonzero(plain).tolist()]
-        texts = [" 0 ".join(some[i : i + JOINED]) + " 0" for i in range(0, len(some), JOINED)]
-        ids = np.fromiter(itertools.chain.from_iterable(e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), dtype=np.uint32)
-        mark = np.flatnonzero(ids == self.digit)
-        assert len(mark) == len(some), "the tokenizer joins words across white space"
-        size = np.diff(mark, prepend=-1) - 1
-        alone = [e.ids for e in self.tokenizer.encode_batch_fast([words[i] for i in np.flatnonzero(~plain).tolist()], add_special_tokens=False)]
-        size = np.concatenate([size, np.fromiter(map(len, alone), dtype=np.int64, count=len(alone))])
-        keys = keys[order]
-        self.flat = np.concatenate([self.flat, np.delete(ids, mark), np.fromiter(itertools.chain.from_iterable(alone), dtype=np.uint32)])
+    def ids_of(self, words: list[str], plain: np.ndarray) -> Iterator[list[int]]:
+        """Each word's ids. ``plain`` words, of the letters a to z alone, pass the tokenizer's normalizer and splitter
+        unchanged and as one, so they go to its model at once; the others through all of it, a slice at a time."""
+        other = [w for w, p in zip(words, plain.tolist()) if not p]
+        slices = (other[i : i + SLICE] for i in range(0, len(other), SLICE))
+        rest = (e.ids for s in slices for e in self.tokenizer.encode_batch_fast(s, add_special_tokens=False))
+        model = self.tokenizer.model
+        for w, p in zip(words, plain.tolist()):
+            yield [t.id for t in model.tokenize(w)] if p else next(rest)
+
+    def learn(self, keys: np.ndarray, words: list[str], plain: np.ndarray) -> None:
+        size = np.empty(len(words), dtype=np.int64)
+
+        def flat() -> Iterator[int]:
+            for k, ids in enumerate(self.ids_of(words, plain)):
+                size[k] = len(ids)
+                yield from ids
+
+        self.flat = np.concatenate([self.flat, np.fromiter(flat(), dtype=np.uint32)])
         at = np.arange(len(keys)) + len(self.bounds) - 1
         self.bounds = np.concatenate([self.bounds, self.bounds[-1] + np.cumsum(size)])
         order = np.argsort(keys)
@@ -114,8 +123,9 @@ class WordIds:
             if len(self.keys) + int(new.sum()) > KNOWN_WORDS:
                 self.forget()
                 new[:] = True
-            raw = data.tobytes()
-            self.learn(keys[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            raw, s0, e0 = data.tobytes(), start[first[new]], end[first[new]]
+            plain = K.per_doc_range(_LETTERS[data], s0, e0) == e0 - s0
+            self.learn(keys[new], [raw[s:e].decode("utf-8", "replace") for s, e in zip(s0.tolist(), e0.tolist())], plain)
         at = self.at[place][back] if len(back) else np.empty(0, dtype=np.int64)
         size = self.bounds[at + 1] - self.bounds[at]
         per = np.zeros(len(off), dtype=np.int64)
@@ -138,7 +148,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = WINDOW, tail: int = TA
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = _LOADED.get(tokenizer) or _LOADED.setdefault(tokenizer, WordIds(tokenizer))
         for b in batches:
-            for lo, hi, data, off in K.chunks(b.column(2)):
+            for lo, hi, data, off in K.chunks(b.column(2), BUFFER):
                 ids, per = enc.encode(data, off)
                 ids = ids.astype("<u4")
                 raw = ids.view(np.uint8)
@@ -232,12 +242,12 @@ def windows(sizes: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.nda
 
 def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, tail: int = TAIL, shard: int = SHARD, text: str = "text", with_ids: bool = False) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``. ``shard`` is the expected number of pieces differenced together."""
-    cut = pieces(docs, tokenizer, window, tail, text, with_ids)
-    shards = max(1, docs.count() * 4 // shard)
-    keyed = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(shards)))
+    cut = table(pieces(docs, tokenizer, window, tail, text, with_ids), "pieces")
+    shards = max(1, cut.count() // shard)
+    keyed = cut.withColumn("shard", F.pmod(F.xxhash64("copy", "start"), F.lit(shards)))
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "start", "ids_crc32", "copy"], ignore_index=True)
+        pdf = pdf.sort_values(["copy", "start"], ignore_index=True)
         seq, offset = windows(pdf["length"].to_numpy(), window)
         return pdf.drop(columns="shard").assign(sequence_id=(int(key[0]) << 32) + seq, offset=offset)
 
