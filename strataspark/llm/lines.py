@@ -2,15 +2,18 @@
 
 A line's shingles are its runs of SHINGLE characters. The signature reads all of them, whatever the script and with or
 without white space: HASHES minima of their 64-bit hashes under XOR masks, in bands of ROWS. Lines that agree in a band
-are candidates, confirmed by the exact Jaccard similarity of their full sets of distinct character shingles (a line
-shorter than a shingle is one shingle). Components of confirmed lines keep the occurrence that is first by (doc_id, line
-number).
+are candidates; candidates that agree in fewer than AGREE minima are let go (at similarity 0.8 that is one pair in a
+thousand); the rest are confirmed by the exact Jaccard similarity of their full sets of distinct character shingles (a
+line shorter than a shingle is one shingle). Components of confirmed lines keep the occurrence that is first by (doc_id,
+line number).
 
 Scale: lines with the same text are one row before anything else (pre-aggregated, so a line that a third of all documents
-share costs a row a task). The signature is aggregated in the partitioning that the first aggregation left, without a
-second shuffle. In a band, every line is paired with the band's first line only. Bands that still hold two components
-after that are cut into blocks of about BLOCK lines; a pair of blocks meets in one task, each pair of lines of different
-components in the first band they share, and only confirmed links leave the task. Texts are fetched for candidates alone.
+share costs a row a task). Shingles are exploded and hashed in generated code and aggregated in the partitioning that the
+first aggregation left, without a second shuffle. Bands are counted before they are joined, so the few that have two lines
+meet their lines in a join that can be split. In round A every line is compared with one line only, of the bands' first
+lines the one that it agrees with most. Bands that still hold two components after that are cut into blocks of about BLOCK
+lines; a pair of blocks meets in one task, each pair of lines of different components in the first band they share, and
+only confirmed links leave the task. Texts are fetched for candidates alone.
 
 Defined cases: null and empty texts have no lines; blank lines are always kept and never compared; a null doc_id sorts
 last; repeated rows of one document are repeated lines, of which one stays; very long lines are lines like any other;
@@ -23,11 +26,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strataspark.llm.shared import components, stable, table
+from strataspark.llm.shared import components, matching, stable, table
 
 SHINGLE = 8
-BANDS = 8
-ROWS = 4
+BANDS = 6
+ROWS = 3
+HASHES = BANDS * ROWS
+AGREE = 9  # of HASHES
 PERCENT = 80
 BLOCK = 256
 
@@ -46,95 +51,114 @@ def line_rows(docs: DataFrame, text: str = "text") -> DataFrame:
     return d.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).withColumn("h", F.xxhash64("line"))
 
 
-def _shingles(line: Column) -> Column:
-    """The hashes of all character shingles: UTF-32 gives every character four bytes (big-endian, no mark), so each shingle is cut
-    in one step. The encoded line is a lambda's variable, so that it is encoded once a line, not once a shingle."""
+def _full(line: Column) -> Column:
+    """The hashes of all distinct character shingles: UTF-32 gives every character four bytes (big-endian, no mark), so each shingle
+    is cut in one step. The encoded line is a lambda's variable, so that it is encoded once a line, not once a shingle."""
     last = F.greatest(F.length(line) - SHINGLE, F.lit(0))
     cut = lambda raw: F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.substring(raw, i * 4 + 1, F.lit(4 * SHINGLE))))
-    return F.transform(F.array(F.encode(line, "UTF-32")), cut)[0]
+    return F.array_distinct(F.transform(F.array(F.encode(line, "UTF-32")), cut)[0])
 
 
-def _full(line: Column) -> Column:
-    """All distinct character shingles as hashes."""
-    return F.array_distinct(_shingles(line))
+def _alike(percent: int, x: str = "x", y: str = "y") -> Column:
+    """Jaccard of the sets x and y at least ``percent``; sizes that cannot reach it (lengths cannot tell: repeated content
+    has few shingles) are ruled out before the sets are compared."""
+    nx, ny = F.size(x), F.size(y)
+    return (100 * F.least(nx, ny) >= percent * F.greatest(nx, ny)) & ((100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (nx + ny))
 
 
-def _sized(percent: int) -> Column:
-    """Whether sets of na and nb distinct shingles can reach ``percent`` at all (lengths cannot tell: repeated content has few)."""
-    return F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
+def signatures(lines: DataFrame) -> DataFrame:
+    """h and the low 31 bits of the HASHES minima, m0, m1, ...: a row per distinct line."""
+    distinct = lines.groupBy("h").agg(F.min("line").alias("line"))
+    raw = distinct.select("h", F.encode("line", "UTF-32").alias("raw"), F.greatest(F.length("line") - SHINGLE, F.lit(0)).alias("last"))
+    # One row a shingle: a generator and a hash that are both compiled, unlike a lambda over an array.
+    at = raw.select("h", "raw", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    v = at.select("h", F.xxhash64(F.substring("raw", F.col("i") * 4 + 1, F.lit(4 * SHINGLE))).alias("v"))
+    low = [F.min(F.col("v").bitwiseXOR(F.lit(_mask(i)))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"m{i}") for i in range(HASHES)]
+    return v.groupBy("h").agg(*low)
 
 
-def _alike(x: Column, y: Column, percent: int) -> Column:
-    """Jaccard of the sets x and y (of na and nb shingles) at least ``percent``; each set is named once, so it is built once."""
-    return (100 + percent) * F.size(F.array_intersect(x, y)) >= percent * (F.col("na") + F.col("nb"))
+def _same(x: str, y: str, minima: range) -> list[Column]:
+    return [F.col(f"{x}.m{i}") == F.col(f"{y}.m{i}") for i in minima]
 
 
-def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of hashes whose lines have at least ``percent`` of all their shingles in common. ``texts``: h, line, n."""
-    sizes = texts.select("h", "n")
-    near = pairs.join(sizes.toDF("a", "na"), "a").join(sizes.toDF("b", "nb"), "b").where(_sized(percent))
-    both = near.join(texts.select(F.col("h").alias("a"), F.col("line").alias("la")), "a").join(texts.select(F.col("h").alias("b"), F.col("line").alias("lb")), "b")
-    return both.where(_alike(_full(F.col("la")), _full(F.col("lb")), percent)).select("a", "b")
+def _agree(x: str, y: str) -> Column:
+    """The number of equal minima of two signatures, as compiled comparisons."""
+    return sum((e.cast("int") for e in _same(x, y, range(HASHES))), F.lit(0))
 
 
-def bands(lines: DataFrame) -> DataFrame:
-    """h and key: a row per distinct line and band."""
-    distinct = lines.groupBy("h").agg(F.min("line").alias("line"))
-    sh = distinct.select("h", F.explode(_shingles(F.col("line"))).alias("v"))
-    k = BANDS * ROWS
-    sig = sh.groupBy("h").agg(*[F.min(F.col("v").bitwiseXOR(F.lit(_mask(i)))).alias(f"m{i}") for i in range(k)])
-    keys = F.array(*[F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]) for b in range(BANDS)])
-    return sig.select("h", F.explode(keys).alias("key"))
-
-
-def _across(m: DataFrame, comp: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between lines of one band and different components. ``m``: key, h, rep; ``comp``: h, root."""
-    mixed = m.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    keys = mixed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo < hi").select("key", "blocks")
-    left = table(mixed.join(keys, "key"), "mixed")
-    of = m.join(left.select("h").distinct(), "h", "left_semi").groupBy("h").agg(F.collect_list("key").alias("keys"))
-    rows = left.join(of, "h").join(texts, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "h", "rep", "root", "own", "keys", "line", "n").repartition("key", "s", "t")
-    x = rows.select("key", "s", "t", "rep", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("keys").alias("ka"), F.col("n").alias("na"), _full(F.col("line")).alias("x"))
-    y = rows.select("key", "s", "t", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("keys").alias("kb"), F.col("n").alias("nb"), _full(F.col("line")).alias("y"))
-    both = x.join(y.hint("merge"), ["key", "s", "t"]).where("a < b and a <> rep and ra <> rb and (s = t or oa <> ob)")
-    first = F.array_min(F.array_intersect("ka", "kb")) == F.col("key")
-    return both.where(_sized(percent)).where(first).where(_alike(F.col("x"), F.col("y"), percent)).select("a", "b")
+def _band(x: str, y: str, b: int) -> Column:
+    out = F.lit(True)
+    for e in _same(x, y, range(b * ROWS, (b + 1) * ROWS)):
+        out = out & e
+    return out
+
+
+def _members(sig: DataFrame) -> DataFrame:
+    """key, band, h, rep: a row per line and band that two lines share; ``rep`` is the band's first line."""
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]).alias("key"), F.lit(b).alias("band")) for b in range(BANDS)])
+    keyed = sig.select("h", F.explode(keys).alias("k")).select("h", "k.key", "k.band")
+    full = table(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("rep")).where("n > 1"), "keys")
+    return table(keyed.join(full.where("n > 1").select("key", "rep"), "key"), "members")
+
+
+def _across(members: DataFrame, comp: DataFrame, cand: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between lines of one band and different components. ``comp``: h, root; ``cand``: h, sig."""
+    m = members.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo < hi").select("key", "blocks")
+    left = table(m.join(keys, "key"), "mixed")
+    rows = left.join(cand, "h").join(texts, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "band", "h", "root", "own", "sig", "line").repartition("key", "s", "t")
+    x = rows.select("key", "s", "t", "band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("sig").alias("p"), _full(F.col("line")).alias("x"))
+    y = rows.select("key", "s", "t", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("sig").alias("q"), _full(F.col("line")).alias("y"))
+    both = x.join(y.hint("merge"), ["key", "s", "t"]).where("a < b and ra <> rb and (s = t or oa <> ob)").where(_agree("p", "q") >= AGREE)
+    for b in range(BANDS - 1):
+        both = both.where((F.col("band") <= b) | ~_band("p", "q", b))  # an earlier band that they share has them
+    return both.where(_alike(percent)).select("a", "b")
 
 
 def links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed pairs (a, b) of line hashes that connect every component."""
-    by = W.partitionBy("key")
-    m = bands(lines).withColumn("n", F.count("*").over(by)).withColumn("rep", F.min("h").over(by)).where("n > 1").select("key", "h", "rep")
-    m = table(m, "bands")
-    texts = lines.select("h", "line").join(m.select("h").distinct(), "h").groupBy("h").agg(F.min("line").alias("line"))
-    texts = table(texts.withColumn("n", F.size(_full(F.col("line")))), "texts")
-    one = table(_confirm(m.where("h <> rep").select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct(), texts, percent), "links_a")
+    sig = table(signatures(lines), "signatures")
+    members = _members(sig)
+    some = members.select("h").distinct()
+    cand = table(matching(sig, some, "h").select("h", F.struct(*[f"m{i}" for i in range(HASHES)]).alias("sig")), "candidates")
+    texts = table(matching(lines.select("h", "line"), some, "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
+    side = lambda h, c: cand.select(F.col("h").alias(h), F.col("sig").alias(c))
+    meets = members.where("h <> rep").select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()
+    meets = meets.join(side("a", "p"), "a").join(side("b", "q"), "b").select("a", "b", _agree("p", "q").alias("c")).where(F.col("c") >= AGREE)
+    best = meets.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
+    both = best.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
+    # A barrier to Catalyst, which would move the sets into the condition and build them there again and again.
+    both = both.select("a", "b", F.explode(F.array(F.struct(_full(F.col("la")).alias("x"), _full(F.col("lb")).alias("y")))).alias("z")).select("a", "b", "z.x", "z.y")
+    one = table(both.where(_alike(percent)).select("a", "b"), "links_a")
     comp = components(one).select(F.col("node").alias("h"), "root")
-    return one.union(table(_across(m, comp, texts, percent), "links_b"))
+    return one.union(table(_across(members, comp, cand, texts, percent), "links_b"))
 
 
 def line_ledger(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """A row per line that is not blank: doc_id, row, pos, line_id (hash), component_id (smallest hash of the component),
-    kept (the first occurrence of its component)."""
+    first_doc_id and first_pos (the component's first occurrence), kept (it is that occurrence)."""
     lines = line_rows(stable(docs), text)
     comp = components(links(lines, percent)).select(F.col("node").alias("h"), "root")
-    first = lines.groupBy("h").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "pos")).alias("first"))
-    known = first.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    best = known.groupBy("root").agg(F.min("first").alias("best"))
-    keeper = known.join(best, "root").select("h", "root", "best")
-    out = lines.select("doc_id", "row", "pos", "h").join(keeper, "h")
-    same = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "pos") == F.col("best")
-    return out.select("doc_id", "row", "pos", F.col("h").alias("line_id"), F.col("root").alias("component_id"), same.alias("kept"))
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row", "pos")
+    seen = lines.groupBy("h").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    # Lines that occur once and are like no other need no look-up: they are their component's only occurrence.
+    some = table(seen.join(comp, "h", "left").where("n > 1 or root is not null").select("h", F.coalesce("root", "h").alias("root"), "first"), "repeated")
+    best = some.groupBy("root").agg(F.min("first").alias("best"))
+    keeper = some.join(best, "root").select("h", "root", "best")
+    out = lines.select("doc_id", "row", "pos", "h").join(keeper, "h", "left").withColumn("best", F.coalesce("best", place))
+    return out.select(
+        "doc_id", "row", "pos", F.col("h").alias("line_id"), F.coalesce("root", "h").alias("component_id"), F.col("best.doc_id").alias("first_doc_id"), F.col("best.pos").alias("first_pos"), (place == F.col("best")).alias("kept"))
 
 
 def dedup_lines(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """The documents without the lines that repeat, exactly or nearly, an earlier one. Documents of which no line with a
     word is left go; those that had none from the start stay as they are. Columns as in the input."""
     docs = stable(docs)
-    packed = docs.select(F.struct("*").alias("in"), F.col("doc_id"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
+    packed = docs.select(F.struct("*").alias("in"), F.col(text).alias("text"), F.monotonically_increasing_id().alias("row"))
     gone = line_ledger(docs, percent, text).groupBy("row").agg(F.collect_list(F.when(~F.col("kept"), F.col("pos"))).alias("gone"), F.count_if("kept").alias("left")).where("size(gone) > 0")
     out = packed.join(gone, "row", "left").where("left is null or left > 0")
-    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains(F.col("gone"), i)), "\n")
-    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(kept)
-    return out.select(F.col("in").withField(text, new).alias("in")).select("in.*").select(*docs.columns)
+    # The places left, in order, by a set difference: linear in a document's lines.
+    kept = lambda ls: F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone")), lambda i: F.get(ls, i))
+    new = F.array_join(F.transform(F.array(F.split("text", "\n", -1)), kept)[0], "\n")
+    return out.select(F.col("in").withField(text, F.when(F.col("gone").isNull(), F.col("text")).otherwise(new)).alias("in")).select("in.*").select(*docs.columns)
