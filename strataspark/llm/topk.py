@@ -3,14 +3,16 @@
 Components are floor(scale * x). A vector cut into segments keeps, per segment of n components, its mean m and standard
 deviation s; by Cauchy and Schwarz the squared distance of two vectors is at least the sum of n * ((m - m')**2 + (s - s')**2),
 so their inner product (|q|**2 + |x|**2 - distance**2) / 2 has an upper bound. In each tile of queries and candidates the
-bound is taken coarse to fine (LEVELS segments): the best candidates by the coarse bound give exact scores and with them
-the score that the k-th result has at least; what a bound puts below it is dropped, and what survives is scored exactly
-in integers.
+bound is taken coarse to fine: COARSE equal segments, then the first FINE of the components one by one and the rest in
+segments (a segment of one component is that component, so this level is a partial distance with a bound on what is left).
+At every level the best candidates by its bound get exact scores, which raise the score that the k-th result has at least;
+what the bound puts below it is dropped, and what survives the last level is scored exactly, pair by pair, in integers.
 
 Queries meet all rows in tiles of bounded size (QUERIES by ROWS), dealt out by hash, so no task grows with the input; a
-tile returns at most k rows a query. Defined cases: vectors that are null, empty or hold null or non-finite components,
-and rows without vec_id, take no part; vectors meet only vectors of their own length; ties go to the smaller vec_id;
-repeated rows count as separate rows, each a query of its own; an empty table gives no rows; other columns play no part.
+tile returns at most k rows a query. Inside a tile, strips of STRIP queries by COLUMNS rows bound the memory. Defined
+cases: vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no part; vectors
+meet only vectors of their own length; ties go to the smaller vec_id; repeated rows count as separate rows, each a query of
+its own; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -23,20 +25,30 @@ from pyspark.sql import functions as F
 
 from strataspark.llm.shared import table
 
-LEVELS = (4, 16)
-QUERIES = 1024
-ROWS = 8192
-STRIP = 128  # queries whose bounds a tile holds at once
-DENSE = 0.05  # share of survivors from which they are scored as a block
+COARSE = (4, 16)
+FINE = 0.75
+QUERIES = 4096
+ROWS = 32768
+LEAST = 2048  # rows of a tile, where there are fewer tiles than cores
+STRIP = 128
+COLUMNS = 8192
 PAIRS = 1 << 15  # pairs whose vectors a tile gathers at once
 
 
-def _summary(v: np.ndarray, segments: int) -> np.ndarray:
+def _levels(d: int) -> list[np.ndarray]:
+    """Segment borders of each level for vectors of d components."""
+    ones = int(d * FINE)
+    rest = np.linspace(ones, d, max(1, (d - ones) // 4) + 1).astype(int)
+    return [np.linspace(0, d, min(n, d) + 1).astype(int) for n in COARSE] + [np.concatenate([np.arange(ones), rest])]
+
+
+def _summary(v: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     """Per vector, sqrt(n) * mean and sqrt(n) * deviation of each segment: dot products of these bound those of the vectors."""
-    cuts = np.linspace(0, v.shape[1], min(segments, v.shape[1]) + 1).astype(int)
     out = []
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        out += [v[:, a:b].mean(axis=1) * np.sqrt(b - a), v[:, a:b].std(axis=1) * np.sqrt(b - a)]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        out.append(v[:, a:b].mean(axis=1) * np.sqrt(b - a))
+        if b - a > 1:
+            out.append(v[:, a:b].std(axis=1) * np.sqrt(b - a))
     return np.stack(out, axis=1)
 
 
@@ -47,38 +59,38 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return np.array([sum(int(a) * int(b) for a, b in zip(u, v)) for u, v in zip(q, x)], dtype=np.int64)
 
 
-def search(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query, candidate, score) index arrays: the k best candidates of each query, ties to the smaller id."""
-    summaries = [(_summary(q, n), _summary(x, n).T) for n in LEVELS]
+def search(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, x_id: np.ndarray, k: int, left: list[float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, candidate, score) index arrays: the k best candidates of each query, ties to the smaller id. ``left``, if
+    given, gets the number of pairs and of those that stay after each level added."""
+    levels = [(_summary(q, c), _summary(x, c).T) for c in _levels(q.shape[1])]
     slack = 1e-9 * np.linalg.norm(q, axis=1) * np.linalg.norm(x, axis=1).max() + 1e-6
     m = min(4 * k, len(x))
-    small = float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0**53  # products of blocks are exact in doubles
     out = []
     for lo in range(0, len(q), STRIP):
         at = slice(lo, min(len(q), lo + STRIP))
-        own = q_row[at, None] == x_row[None, :]
-        bound = summaries[0][0][at] @ summaries[0][1]
-        bound[own] = -np.inf
-        seeds = np.argpartition(-bound, m - 1, axis=1)[:, :m]
-        first = _exact(np.repeat(q[at], m, axis=0), x[seeds.ravel()]).astype(np.float64).reshape(seeds.shape)
-        first[np.take_along_axis(own, seeds, axis=1)] = -np.inf
-        least = -np.sort(-first, axis=1)[:, k - 1] if m >= k else np.full(len(seeds), -np.inf)
-        stay = (bound + slack[at, None] >= least[:, None]) & ~own
-        for left, right in summaries[1:]:
-            if stay.any():
-                stay &= left[at] @ right + slack[at, None] >= least[:, None]
-        if small and stay.mean() > DENSE:  # so many survive that their exact scores are cheapest as one product of blocks
-            scores = np.where(stay, q[at] @ x.T, -np.inf)
-            kth = -np.partition(-scores, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
-            i, j = np.nonzero((scores >= kth[:, None]) & stay)
-            out.append((lo + i, j, scores[i, j].astype(np.int64)))
-            continue
-        a, b = np.nonzero(stay)
-        for s in range(0, len(a), PAIRS):
-            i, j = a[s : s + PAIRS], b[s : s + PAIRS]
-            score = _exact(q[lo + i], x[j])
-            good = score >= least[i]
-            out.append((lo + i[good], j[good], score[good]))
+        least = np.full(at.stop - lo, -np.inf)
+        for c in range(0, len(x), COLUMNS):
+            cols = slice(c, min(len(x), c + COLUMNS))
+            own = q_row[at, None] == x_row[None, cols]
+            stay = ~own
+            counts = [stay.size]
+            for one, two in levels:
+                bound = np.where(stay, one[at] @ two[:, cols], -np.inf)
+                if bound.shape[1] >= m >= k:
+                    best = np.argpartition(-bound, m - 1, axis=1)[:, :m]
+                    first = _exact(np.repeat(q[at], m, axis=0), x[c + best.ravel()]).astype(np.float64).reshape(best.shape)
+                    first[~np.take_along_axis(stay, best, axis=1)] = -np.inf
+                    least = np.maximum(least, -np.partition(-first, k - 1, axis=1)[:, k - 1])
+                stay = bound + slack[at, None] >= np.maximum(least, -1e300)[:, None]
+                counts.append(np.count_nonzero(stay))
+            if left is not None:
+                left[:] = [a + b for a, b in zip(left or [0] * len(counts), counts)]
+            a, b = np.nonzero(stay)
+            for s in range(0, len(a), PAIRS):
+                i, j = a[s : s + PAIRS], c + b[s : s + PAIRS]
+                score = _exact(q[lo + i], x[j])
+                good = score >= least[i]
+                out.append((lo + i[good], j[good], score[good]))
     none = np.empty(0, dtype=np.int64)
     a, b, s = (np.concatenate(p) for p in zip(*out)) if out else (none, none, none)
     order = np.lexsort((x_row[b], x_id[b], -s, a))
@@ -95,7 +107,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
         F.col(id).cast("long").alias("id"), "_q", F.size(v).alias("dim"), v.alias("v"))
     rows = table(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, nq = rows.agg(F.count("*"), F.count_if("_q")).first()
-    cells, blocks = max(1, -(-n // ROWS)), max(1, -(-nq // QUERIES))
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    cells, blocks = max(1, -(-n // ROWS), min(cores, n // LEAST)), max(1, -(-nq // QUERIES))
     at = F.xxhash64("row")
     q = rows.where("_q").withColumn("s", F.pmod(at, F.lit(blocks))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).drop("_q")
     x = rows.withColumn("t", F.pmod(at, F.lit(cells)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("_q")

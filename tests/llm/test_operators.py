@@ -419,3 +419,22 @@ def test_em_finds_accuracies():
     patterns, back, counts = np.unique(votes, axis=0, return_inverse=True, return_counts=True)
     _, _, post = weak.fit_votes(patterns, counts.astype(float))
     assert np.mean((post[back.ravel()] > 0.5) == truth) > 0.88
+
+
+def test_top_k_prunes_and_stays_exact():
+    """Tiles of several strips and column blocks: the results are those of brute force, and the last level leaves few pairs."""
+    rng = np.random.default_rng(8)
+    v = np.floor(64 * rng.normal(size=(3000, 32)) / 6)
+    ids, left = rng.permutation(3000), []
+    q = np.flatnonzero(ids % 20 == 0)
+    old, topk.COLUMNS = topk.COLUMNS, 1000
+    try:
+        i, j, s = topk.search(v[q], q, v, np.arange(3000), ids, 20, left)
+    finally:
+        topk.COLUMNS = old
+    scores = v[q] @ v.T
+    scores[np.arange(len(q)), q] = -np.inf
+    for r in range(len(q)):
+        order = np.lexsort((ids, -scores[r]))[:20]
+        assert (j[i == r] == order).all() and (s[i == r] == scores[r][order]).all()
+    assert left[0] == len(q) * 3000 and left[-1] < 0.3 * left[0]
