@@ -33,6 +33,7 @@ BANDS = 6
 ROWS = 3
 HASHES = BANDS * ROWS
 AGREE = 9  # of HASHES
+LANE = 21  # bits of a minimum that are kept: a band's ROWS minima are the lanes of one long
 PERCENT = 80
 BLOCK = 256
 
@@ -67,40 +68,47 @@ def _alike(percent: int, x: str = "x", y: str = "y") -> Column:
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """h and the low 31 bits of the HASHES minima, m0, m1, ...: a row per distinct line."""
+    """h and b0, b1, ...: a row per distinct line, and the low LANE bits of each band's minima side by side in a long."""
     distinct = lines.groupBy("h").agg(F.min("line").alias("line"))
     raw = distinct.select("h", F.encode("line", "UTF-32").alias("raw"), F.greatest(F.length("line") - SHINGLE, F.lit(0)).alias("last"))
     # One row a shingle: a generator and a hash that are both compiled, unlike a lambda over an array.
     at = raw.select("h", "raw", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
     v = at.select("h", F.xxhash64(F.substring("raw", F.col("i") * 4 + 1, F.lit(4 * SHINGLE))).alias("v"))
-    low = [F.min(F.col("v").bitwiseXOR(F.lit(_mask(i)))).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias(f"m{i}") for i in range(HASHES)]
-    return v.groupBy("h").agg(*low)
-
-
-def _same(x: str, y: str, minima: range) -> list[Column]:
-    return [F.col(f"{x}.m{i}") == F.col(f"{y}.m{i}") for i in minima]
+    minima = [F.min(F.col("v").bitwiseXOR(F.lit(_mask(i)))) for i in range(HASHES)]
+    lane = lambda i: F.shiftleft(minima[i].bitwiseAND(F.lit((1 << LANE) - 1)), LANE * (i % ROWS))
+    bands = []
+    for b in range(BANDS):
+        x = lane(b * ROWS)
+        for r in range(1, ROWS):
+            x = x.bitwiseOR(lane(b * ROWS + r))
+        bands.append(x.alias(f"b{b}"))
+    return v.groupBy("h").agg(*bands)
 
 
 def _agree(x: str, y: str) -> Column:
-    """The number of equal minima of two signatures, as compiled comparisons."""
-    return sum((e.cast("int") for e in _same(x, y, range(HASHES))), F.lit(0))
-
-
-def _band(x: str, y: str, b: int) -> Column:
-    out = F.lit(True)
-    for e in _same(x, y, range(b * ROWS, (b + 1) * ROWS)):
-        out = out & e
-    return out
+    """The number of equal minima of two signatures: lanes of x XOR y that are zero, counted by carries within the lanes."""
+    low = sum(((1 << (LANE - 1)) - 1) << (LANE * r) for r in range(ROWS))
+    top = sum(1 << (LANE * r + LANE - 1) for r in range(ROWS))
+    different = [f"bit_count(((({x}.b{b} ^ {y}.b{b}) & {low}L) + {low}L | ({x}.b{b} ^ {y}.b{b})) & {top}L)" for b in range(BANDS)]
+    return F.expr(f"{HASHES} - ({' + '.join(different)})")
 
 
 def _members(sig: DataFrame) -> DataFrame:
     """key, band, h, rep: a row per line and band that two lines share; ``rep`` is the band's first line."""
-    keys = F.array(*[F.struct(F.xxhash64(F.lit(b), *[F.col(f"m{b * ROWS + r}") for r in range(ROWS)]).alias("key"), F.lit(b).alias("band")) for b in range(BANDS)])
+    keys = F.array(*[F.struct(F.xxhash64(F.lit(b), F.col(f"b{b}")).alias("key"), F.lit(b).alias("band")) for b in range(BANDS)])
     keyed = sig.select("h", F.explode(keys).alias("k")).select("h", "k.key", "k.band")
     full = table(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("rep")).where("n > 1"), "keys")
     return table(keyed.join(full.where("n > 1").select("key", "rep"), "key"), "members")
 
 
+def _barrier(both: DataFrame, **columns: Column) -> DataFrame:
+    """``both`` with further columns that Catalyst does not merge into a filter or join condition above (where they would be
+    built again for every mention, in one method too large to be compiled)."""
+    s = F.struct(*[c.alias(n) for n, c in columns.items()])
+    rest = [c for c in both.columns if c not in columns]
+    return both.select(*rest, F.explode(F.array(s)).alias("_s")).select(*rest, *[F.col(f"_s.{n}") for n in columns])
+
+
 def _across(members: DataFrame, comp: DataFrame, cand: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between lines of one band and different components. ``comp``: h, root; ``cand``: h, sig."""
     m = members.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
@@ -111,9 +119,9 @@ def _across(members: DataFrame, comp: DataFrame, cand: DataFrame, texts: DataFra
     x = rows.select("key", "s", "t", "band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("sig").alias("p"), _full(F.col("line")).alias("x"))
     y = rows.select("key", "s", "t", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("sig").alias("q"), _full(F.col("line")).alias("y"))
     both = x.join(y.hint("merge"), ["key", "s", "t"]).where("a < b and ra <> rb and (s = t or oa <> ob)").where(_agree("p", "q") >= AGREE)
-    for b in range(BANDS - 1):
-        both = both.where((F.col("band") <= b) | ~_band("p", "q", b))  # an earlier band that they share has them
-    return both.where(_alike(percent)).select("a", "b")
+    earlier = " or ".join(f"(band > {b} and p.b{b} = q.b{b})" for b in range(BANDS - 1))
+    both = both.where(f"not ({earlier})")  # an earlier band that they share has them
+    return _barrier(both.select("a", "b", "x", "y"), x=F.col("x"), y=F.col("y")).where(_alike(percent)).select("a", "b")
 
 
 def links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -121,15 +129,14 @@ def links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     sig = table(signatures(lines), "signatures")
     members = _members(sig)
     some = members.select("h").distinct()
-    cand = table(matching(sig, some, "h").select("h", F.struct(*[f"m{i}" for i in range(HASHES)]).alias("sig")), "candidates")
+    cand = table(matching(sig, some, "h").select("h", F.struct(*[f"b{i}" for i in range(BANDS)]).alias("sig")), "candidates")
     texts = table(matching(lines.select("h", "line"), some, "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
     side = lambda h, c: cand.select(F.col("h").alias(h), F.col("sig").alias(c))
     meets = members.where("h <> rep").select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()
     meets = meets.join(side("a", "p"), "a").join(side("b", "q"), "b").select("a", "b", _agree("p", "q").alias("c")).where(F.col("c") >= AGREE)
     best = meets.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
     both = best.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-    # A barrier to Catalyst, which would move the sets into the condition and build them there again and again.
-    both = both.select("a", "b", F.explode(F.array(F.struct(_full(F.col("la")).alias("x"), _full(F.col("lb")).alias("y")))).alias("z")).select("a", "b", "z.x", "z.y")
+    both = _barrier(both, x=_full(F.col("la")), y=_full(F.col("lb")))
     one = table(both.where(_alike(percent)).select("a", "b"), "links_a")
     comp = components(one).select(F.col("node").alias("h"), "root")
     return one.union(table(_across(members, comp, cand, texts, percent), "links_b"))
