@@ -13,8 +13,10 @@ blocks is compared in one task, first by registers, then on the full sets of pai
 band, and only confirmed links leave the task. So no task holds a whole group, a group of copies costs
 one comparison a member, and no link between components is lost except by banding (below 1e-6 at the threshold).
 
-Defined cases: null and empty texts have an empty set, link with nothing and are kept; repeated rows are one document
-(different texts under one doc_id give a row each); ties take the smallest doc_id; null doc_ids take no part; an empty table gives no rows; other columns play no part.
+Every row is a document of its own, told apart by a row number; doc_ids serve only to name components. Defined cases: null
+and empty texts have an empty set, link with nothing and are kept; rows that repeat, and rows of one doc_id with different
+texts, are compared like any others; of a component the row with the smallest (doc_id, row number) is kept, null doc_ids
+last; a component without doc_ids has a null component_id; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataspark.llm import kernels as K
-from strataspark.llm.shared import components, matching, table
+from strataspark.llm.shared import components, matching, stable, table
 
 REGISTERS = 192
 MANTISSA = 10
@@ -93,14 +95,19 @@ def estimate(equal: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (equal - c) / (1 - c)
 
 
-def sketches(docs: DataFrame, size: int, threshold: float, text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, set_hi and set_lo (a hash of the set), regs (binary), bands (one hash a band; none for an empty set)."""
-    bands, rows = banding(threshold)
+def numbered(docs: DataFrame, text: str = "text") -> DataFrame:
+    """row (a number of the input row, the same in every job if ``docs`` is stable), doc_id, text."""
+    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+
+
+def sketches(rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """row, doc_id, n_shingles, set_hi and set_lo (a hash of the set), regs (binary), bands (one hash a band; none for an empty set)."""
+    bands, width = banding(threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = K.random_words(bands, 5)
         for b in batches:
-            for lo, hi, data, off in K.chunks(b.column(1)):
+            for lo, hi, data, off in K.chunks(b.column(2)):
                 h, bounds = shingle_sets(data, off, size)
                 n = np.diff(bounds)
                 some = n > 0
@@ -108,34 +115,36 @@ def sketches(docs: DataFrame, size: int, threshold: float, text: str = "text") -
                 with np.errstate(over="ignore"):
                     sums = [K.per_doc_u64(K.splitmix(h + K.U64(s)), bounds) for s in (1, 2)]
                     key = np.broadcast_to(salt, (hi - lo, bands)).copy()
-                    for j in range(rows):
-                        key = K.splitmix(key * K.U64(31) + regs[:, : bands * rows].reshape(hi - lo, bands, rows)[:, :, j])
+                    for j in range(width):
+                        key = K.splitmix(key * K.U64(31) + regs[:, : bands * width].reshape(hi - lo, bands, width)[:, :, j])
                 ends = np.zeros(hi - lo + 1, dtype=np.int32)
                 np.cumsum(np.where(some, bands, 0), out=ends[1:])
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(lo, hi - lo), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums),
+                    [b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo), pa.array(n), *(pa.array(s.view(np.int64)) for s in sums),
                      pa.array([r.tobytes() for r in regs], type=pa.binary()),
                      pa.ListArray.from_arrays(pa.array(ends), pa.array(key[some].ravel().view(np.int64)))],
-                    names=["doc_id", "n_shingles", "set_hi", "set_lo", "regs", "bands"])
+                    names=["row", "doc_id", "n_shingles", "set_hi", "set_lo", "regs", "bands"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col(text).cast("string").alias("text")).where("doc_id is not null").mapInArrow(
-        run, "doc_id long, n_shingles long, set_hi long, set_lo long, regs binary, bands array<long>")
+    return rows.mapInArrow(run, "row long, doc_id long, n_shingles long, set_hi long, set_lo long, regs binary, bands array<long>")
 
 
-def _sets(docs: DataFrame, size: int, text: str) -> DataFrame:
+def _sets(rows: DataFrame, ids: DataFrame, sk: DataFrame, size: int) -> DataFrame:
+    """id (a row number) and its set, for the rows in ``ids``. They are met by doc_id and row: Spark's runtime filter needs a
+    column of the file."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, data, off in K.chunks(b.column(1)):
                 h, bounds = shingle_sets(data, off, size)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(h.view(np.int64)))], names=["id", "set"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "id long, set array<long>")
+    some = ids.toDF("row").join(sk.select("row", F.coalesce("doc_id", F.lit(0)).alias("key")), "row")
+    return matching(rows.select("row", "text", F.coalesce("doc_id", F.lit(0)).alias("key")), some, "key", "row").select("row", "text").mapInArrow(run, "id long, set array<long>")
 
 
-def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = table(_sets(matching(docs.select("doc_id", text), ids, "doc_id").dropDuplicates(["doc_id"]), size, text), "sets")
+def _confirm(pairs: DataFrame, rows: DataFrame, sk: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of row numbers whose full sets have 100 * intersection >= percent * union."""
+    sets = table(_sets(rows, pairs.select(F.explode(F.array("a", "b"))).distinct(), sk, size), "sets")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     n = F.size(F.array_intersect("x", "y"))
     return both.where(100 * n >= percent * (F.size("x") + F.size("y") - n)).select("a", "b")
@@ -143,8 +152,8 @@ def _confirm(pairs: DataFrame, docs: DataFrame, size: int, percent: int, text: s
 
 def _near(pairs: DataFrame, sk: DataFrame, threshold: float) -> DataFrame:
     """Pairs whose estimate is not clearly below the threshold."""
-    left = sk.select(F.col("doc_id").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
-    right = sk.select(F.col("doc_id").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
+    left = sk.select(F.col("row").alias("a"), F.col("regs").alias("ra"), F.col("n_shingles").alias("na"))
+    right = sk.select(F.col("row").alias("b"), F.col("regs").alias("rb"), F.col("n_shingles").alias("nb"))
     floor = cutoff(threshold)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -161,16 +170,16 @@ def cutoff(threshold: float) -> float:
     return threshold - MARGIN * (threshold * (1 - threshold) / REGISTERS) ** 0.5
 
 
-def links(docs: DataFrame, sk: DataFrame, size: int, percent: int, text: str = "text") -> DataFrame:
-    """Confirmed links (a, b) between classes, enough to connect every component; ``sk`` has one row a class."""
+def links(rows: DataFrame, sk: DataFrame, size: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) between classes, by row number, enough to connect every component; ``sk`` has one row a class."""
     threshold = percent / 100
-    keys = sk.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key"))
+    keys = sk.select(F.col("row").alias("id"), F.explode("bands").alias("key"))
     # Written first, so that the join reads two plain exchanges and a band with very many members can be split.
     full = table(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("rep")).where("n > 1"), "keys")
     members = table(keys.join(full, "key"), "members")
     meets = members.where("id <> rep").groupBy("id", "rep").agg(F.count("*").alias("c"))
     best = meets.groupBy("id").agg(F.max(F.struct("c", (-F.col("rep")).alias("r"))).alias("m")).select(F.col("id").alias("a"), (-F.col("m.r")).alias("b"))
-    one = table(_confirm(_near(best, sk, threshold), docs, size, percent, text), "links_a")
+    one = table(_confirm(_near(best, sk, threshold), rows, sk, size, percent), "links_a")
 
     comp = components(one).select(F.col("node").alias("id"), "root")
     m = members.select("key", "id").join(comp, "id", "left").withColumn("root", F.coalesce("root", "id"))
@@ -182,8 +191,8 @@ def links(docs: DataFrame, sk: DataFrame, size: int, percent: int, text: str = "
     near = near.join(sized, "group")
     of = left.join(near, "id", "left").select("id", "root", F.coalesce("group", F.xxhash64(F.lit("band"), "key")).alias("group")).distinct()
     blocks = of.groupBy("group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    sets = table(_sets(matching(docs.select("doc_id", text), of.select(F.col("id").alias("doc_id")).distinct(), "doc_id").dropDuplicates(["doc_id"]), size, text), "sets_b")
-    full = of.join(blocks, "group").join(sets, "id").join(sk.select(F.col("doc_id").alias("id"), "regs", "bands"), "id")
+    sets = table(_sets(rows, of.select("id").distinct(), sk, size), "sets_b")
+    full = of.join(blocks, "group").join(sets, "id").join(sk.select(F.col("row").alias("id"), "regs", "bands"), "id")
     full = full.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     full = full.select("group", "id", "root", "regs", "bands", "set", "own", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"))
     floor = cutoff(threshold)
@@ -224,18 +233,28 @@ def links(docs: DataFrame, sk: DataFrame, size: int, percent: int, text: str = "
     return one.union(full.groupBy("group", "s", "t").applyInPandas(compare, "a long, b long"))
 
 
+def _ledger(docs: DataFrame, size: int, percent: int, text: str) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept of every row of ``docs``, which is stable."""
+    rows = numbered(docs, text)
+    sk = table(sketches(rows, size, percent / 100), "sketches")
+    group = ["n_shingles", "set_hi", "set_lo"]
+    classes = table(sk.where("n_shingles > 0").groupBy(group).agg(F.min("row").alias("rep")), "reps")
+    # Both sides of this join are plain scans, so that a class with very many rows can be split.
+    of = table(sk.select("row", "doc_id", *group).join(classes, group, "left").select("row", "doc_id", "n_shingles", F.coalesce("rep", "row").alias("rep")), "classes")
+    comp = components(links(rows, sk.join(classes.select(F.col("rep").alias("row")), "row"), size, percent))
+    roots = table(of.join(comp, of["rep"] == comp["node"], "left").select("row", "doc_id", "n_shingles", F.coalesce("root", "rep").alias("root")), "roots")
+    place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "row")
+    first = table(roots.groupBy("root").agg(F.min(place).alias("first")), "first")
+    return roots.join(first, "root").select("row", "doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (place == F.col("first")).alias("kept"))
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (doc_id = component_id)."""
-    sk = table(sketches(docs, size, percent / 100, text), "sketches")
-    classes = sk.where("n_shingles > 0").groupBy("n_shingles", "set_hi", "set_lo").agg(F.min("doc_id").alias("rep"))
-    of = table(sk.select("doc_id", "n_shingles", "set_hi", "set_lo").distinct().join(classes, ["n_shingles", "set_hi", "set_lo"], "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "classes")
-    reps = sk.join(of.where("doc_id = rep and n_shingles > 0").select("doc_id"), "doc_id", "left_semi")
-    comp = components(links(docs, reps, size, percent, text))
-    out = of.join(comp, of["rep"] == comp["node"], "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("root", "rep").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    """Per row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), kept (the component's one row)."""
+    return _ledger(stable(docs), size, percent, text).drop("row")
 
 
 def drop_near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
-    """The documents, one of each component, with the input's columns; rows without a doc_id stay."""
-    gone = near_duplicates(docs, size, percent, text).where("not kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """The documents, one row of each component, with the input's columns."""
+    docs = stable(docs)
+    kept = _ledger(docs, size, percent, text).where("kept").select("row")
+    return docs.select(F.struct("*").alias("in"), F.monotonically_increasing_id().alias("row")).join(kept, "row").select("in.*").select(*docs.columns)

@@ -52,15 +52,16 @@ def drop(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def matching(docs: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of ``docs`` whose ``key`` is in ``ids`` (one row a key), for reading the texts of a few documents.
+def matching(docs: DataFrame, ids: DataFrame, *keys: str) -> DataFrame:
+    """Rows of ``docs`` whose ``keys`` are in ``ids`` (one row a key), for reading the texts of a few documents.
 
     The ids are written first, with a column to filter on: that is what Spark's runtime Bloom filter asks of a join's small
-    side (it also checks its size), so that texts nobody asks for are dropped before the shuffle.
+    side (it also checks its size), so that texts nobody asks for are dropped before the shuffle. It works for keys that are
+    columns of the file.
     """
     docs.sparkSession.conf.set("spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold", "1MB")
-    few = table(ids.select(key).withColumn("n", F.lit(1)), "ids")
-    return docs.join(few.where("n > 0").select(key), key)
+    few = table(ids.select(*keys).withColumn("n", F.lit(1)), "ids")
+    return docs.join(few.where("n > 0").select(*keys), list(keys))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,30 +72,31 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     """Connected components of ``links`` (a, b: long): one row (node, root) per linked node, root the smallest node.
 
-    Alternating large-star and small-star steps: each step is a min per node (pre-aggregated) and an equi-join, so a
-    node with very many links is never gathered; the edge table is written to the shared folder after each pair of
-    steps. Nulls and self-links are ignored; repeated links do no harm; no links give no rows.
+    Alternating large-star and small-star steps: each step is a min per node (pre-aggregated, then written) and an
+    equi-join of two plain scans, so that a node with very many links is never gathered and its share of the join can be
+    split; the edge table is written to the shared folder after each step. Nulls and self-links are ignored; repeated links do no harm; no links give no rows.
     """
 
     def star(edges: DataFrame, large: bool) -> DataFrame:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges.select(
             F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        low = table(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
         near = both.join(low, "a")
         out = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")) if large else near.select(
             F.explode(F.array(F.struct(F.col("a").alias("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
-        return out.where("a <> b").distinct()
+        out = table(out.where("a <> b").distinct(), "links")
+        drop(low)
+        drop(edges)
+        return out
 
     edges = table(links.select(F.col("a").cast("long"), F.col("b").cast("long")).where("a <> b").distinct(), "links")
-    seen = None
     for _ in range(rounds):
-        last, edges = edges, table(star(star(edges, True), False), "links")
-        drop(last)
+        edges = star(star(edges, True), False)
         # Done when every edge points from a node to a root: no node has two targets, no target has one.
-        now = edges.agg(F.count("*"), F.sum(F.pmod(F.xxhash64("a", "b"), F.lit(1 << 40))), F.sum(F.pmod("b", F.lit(1 << 40)))).first()
-        if now == seen or not now[0]:
+        ends = edges.select("a", F.lit(1).alias("out"), F.lit(0).alias("in")).union(edges.select("b", F.lit(0), F.lit(1)))
+        open_ends = ends.groupBy("a").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or (out > 0 and in > 0)")
+        if open_ends.isEmpty():
             break
-        seen = now
     else:
         raise RuntimeError("components did not settle")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
