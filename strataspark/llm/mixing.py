@@ -7,7 +7,8 @@ number of blocks. So any prefix of the mix holds the sources in their target pro
 
 Scale: token offsets and slot ranks are prefix sums over (source, chunk) totals, so no window holds more than one chunk
 of a source and a source with a third of all rows is spread over many tasks. Slots meet sources by an equi-join on a
-grid of u, never by a range join.
+grid of u, never by a range join. Windows over sources hold one short row a source; up to a few million sources fit in a
+task. Products that could leave 64 bits are avoided (blocks by quotient and remainder) or taken as decimals.
 
 Defined cases: a null or empty text has size 0, takes part in nothing and is taken 0 times; a null source is a source
 of its own (last in order); repeated rows (equal id and text) are separate documents; an empty table gives no rows.
@@ -44,12 +45,24 @@ def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     s = s.withColumn("cap", F.lit(cap) * F.col("source_size")).withColumn("all", F.sum("source_size").over(every)).withColumn("ws", F.sum("w").over(every))
     before = every.orderBy(F.expr("cap / cast(w as double)"), F.col("source").asc_nulls_last()).rowsBetween(W.unboundedPreceding, -1)
     s = s.withColumn("cap0", F.coalesce(F.sum("cap").over(before), F.lit(0))).withColumn("w0", F.coalesce(F.sum("w").over(before), F.lit(0)))
-    s = s.withColumn("held", F.expr("(all - cap0) * w >= cap * (ws - w0)"))
+    s = s.withColumn("held", F.expr("cast(all - cap0 as decimal(24, 0)) * cast(w as decimal(12, 0)) >= cast(cap as decimal(24, 0)) * cast(ws - w0 as decimal(12, 0))"))
     s = s.withColumn("held_cap", F.coalesce(F.sum(F.when(F.col("held"), F.col("cap"))).over(every), F.lit(0)))
     s = s.withColumn("free_w", F.col("ws") - F.coalesce(F.sum(F.when(F.col("held"), F.col("w"))).over(every), F.lit(0)))
     return s.select("source", "source_size", F.expr("case when held then cast(cap as double) else cast(w * (all - held_cap) as double) / free_w end").alias("target"))
 
 
+def block_at(token: str) -> Column:
+    """The block of a source's token by its number: ``source_size mod blocks`` blocks of one token more come first."""
+    return F.expr(
+        f"case when {token} < (source_size % blocks) * (source_size div blocks + 1) then {token} div (source_size div blocks + 1) "
+        f"else source_size % blocks + ({token} - (source_size % blocks) * (source_size div blocks + 1)) div (source_size div blocks) end")
+
+
+def block_start(block: str) -> Column:
+    """The number of the first token of a block."""
+    return F.expr(f"{block} * (source_size div blocks) + least({block}, source_size % blocks)")
+
+
 def _offsets(df: DataFrame, key: str, chunk: str, order: list[Column], value: Column) -> DataFrame:
     """``before``: the sum of ``value`` over the rows of the same key that come earlier by (chunk, order)."""
     totals = df.groupBy(key, chunk).agg(F.sum(value).alias("_v"))
@@ -84,12 +97,8 @@ def schedule(docs: DataFrame, cap: int = 3, block_tokens: int = 2048, per_source
     laid = _offsets(d.where("size > 0").select("_id", "source", "size", "_h", F.pmod("_h", F.lit(chunks)).alias("_chunk")), "source", "_chunk", [F.col("_h"), F.col("_id")], F.col("size"))
     src = s.select(F.col("source").alias("_s"), "source_size", "blocks")
     laid = laid.join(src, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    # Block j of a source holds the tokens [j * size / blocks, (j + 1) * size / blocks), rounded down.
-    first = F.expr("((before + 1) * blocks - 1) div source_size")
-    last = F.expr("((before + size) * blocks - 1) div source_size")
-    pieces = laid.withColumn("block", F.explode(F.sequence(first, last)))
-    lo = F.expr("(block * source_size + blocks - 1) div blocks")
-    lo, hi = F.expr("block * source_size div blocks"), F.expr("(block + 1) * source_size div blocks")
+    pieces = laid.withColumn("block", F.explode(F.sequence(block_at("before"), block_at("(before + size - 1)"))))
+    lo, hi = block_start("block"), block_start("(block + 1)")
     pieces = pieces.select("_id", "source", "block", (F.greatest("before", lo) - F.col("before")).alias("start"), (F.least(F.col("before") + F.col("size"), hi) - F.greatest("before", lo)).alias("tokens")).where("tokens > 0")
 
     cells = s.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * GRID), F.least(F.floor(F.col("hi") * GRID), F.lit(GRID - 1))))).select(F.col("source"), "lo", "hi", "blocks", "cell")
@@ -114,8 +123,11 @@ def taken(docs: DataFrame, cap: int = 3, **options) -> DataFrame:
     return out.select("row", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, cap: int = 3, **options) -> DataFrame:
-    """The mix as whole documents with the input's columns: each document as many times as its words were taken, rounded
-    to whole copies (half up); documents taken less than half go."""
-    copies = F.expr("cast(case when size = 0 then 0 else floor((2 * taken + size) / (2 * size)) end as int)")
-    return taken(docs, cap, **options).withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*")
+def mixed_documents(docs: DataFrame, cap: int = 3, seed: int = 7, text: str = "text", **options) -> DataFrame:
+    """The mix as whole documents with the input's columns: each document as many times as its words were taken, the part
+    of a copy that is left rounded up with the chance that it is of one (by a hash of the row), so that the sources keep
+    their targets on average; never more than ``cap`` copies."""
+    chance = F.pmod(F.xxhash64(F.lit(seed + 1), "row.doc_id", F.col("row").getField(text)), F.lit(1 << 20))
+    copies = F.when(F.col("size") > 0, F.expr("(taken * 1048576 + _u * size) div (size * 1048576)")).otherwise(0).cast("int")
+    got = taken(docs, cap, seed=seed, text=text, **options).withColumn("_u", chance)
+    return got.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies))).select("row.*").select(*docs.columns)
