@@ -29,7 +29,9 @@ b as (
     + case when 10 * n_marks > 3 * n_words then 32 else 0 end
     + case when n_letters > 0 and 100 * n_upper > 60 * n_letters then 64 else 0 end as bigint) as fail_bits
   from m)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, fail_bits
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 as base_failed, fail_bits = 0 as kept, fail_bits, (fail_bits & 15) = 0 as kept_v1,
+       case fail_bits when 1 then 'few_words' when 2 then 'repeated_windows' when 4 then 'short_or_long_words' when 8 then 'symbols' when 16 then 'repeated_lines' when 32 then 'marks' when 64 then 'capitals' end as blocking_rule,
+       case when bit_count(fail_bits) = 1 then count(*) over (partition by fail_bits) end as let_back
 from b
 """
 
@@ -66,27 +68,28 @@ select query_id, cast(rank as integer) as rank, vec_id, score from r where rank
 
 op7_preference = r"""
 with t as (
-  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text,
+  select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
          row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as i
   from conversations where conv_id is not null),
-x as (select *, cast(floor(conv_id / 2.0) as bigint) as pair_id, conv_id % 2 as side, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as shown from t),
-n as (select pair_id, side, count(*) as n from x group by 1, 2),
+n as (select conv_id, count(*) as n, max(case when role = 'assistant' then i end) as last from t group by conv_id),
+l as (select t.conv_id, t.text from t join n on n.conv_id = t.conv_id and n.last = t.i),
 p as (
-  select pair_id, coalesce(max(case when side = 0 then n end), 0) as a, coalesce(max(case when side = 1 then n end), 0) as b from n group by 1),
-d as (
-  select p.pair_id, p.a, p.b, coalesce(min(y.i) - 1, least(p.a, p.b)) as n
-  from p left join (
-    select a.pair_id, a.i from x a join x b on a.pair_id = b.pair_id and a.i = b.i and a.side = 0 and b.side = 1 and (a.role <> b.role or a.text <> b.text)) y on y.pair_id = p.pair_id
-  group by p.pair_id, p.a, p.b),
+  select n.conv_id, n.n, n.last, o.text as other, n.last is not null and o.text is not null as paired, a.text as own
+  from n left join l o on o.conv_id = n.conv_id + 1 left join l a on a.conv_id = n.conv_id),
+d as (select *, case when not paired then 0 when own = other then n else last - 1 end as k from p),
+x as (
+  select t.conv_id, t.i, t.role, d.k, 0 as side, t.text from t join d on d.conv_id = t.conv_id
+  union all select t.conv_id, t.i, t.role, d.k, 1, case when t.i = d.last then d.other else t.text end from t join d on d.conv_id = t.conv_id where d.paired),
+y as (select *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as shown from x),
 z as (
-  select x.*, d.n, coalesce(sum(case when x.i > d.n then length(shown) end) over (partition by x.conv_id order by x.i rows between unbounded preceding and 1 preceding), 0) as pos
-  from x join d on d.pair_id = x.pair_id)
-select d.pair_id, d.pair_id * 2 as chosen_id, d.pair_id * 2 + 1 as rejected_id, d.a > 0 and d.b > 0 as paired, cast(d.n as bigint) as prompt_turns,
-  coalesce(string_agg(case when side = 0 and i <= z.n then shown end, '' order by i), '') as prompt,
-  coalesce(string_agg(case when side = 0 and i > z.n then shown end, '' order by i), '') as chosen,
-  coalesce(string_agg(case when side = 0 and i > z.n and role = 'assistant' then cast(cast(pos + length(role) + 5 as bigint) as varchar) || '+' || cast(length(text) + 8 as varchar) end, ',' order by i), '') as chosen_mask,
-  coalesce(string_agg(case when side = 1 and i > z.n then shown end, '' order by i), '') as rejected,
-  coalesce(string_agg(case when side = 1 and i > z.n and role = 'assistant' then cast(cast(pos + length(role) + 5 as bigint) as varchar) || '+' || cast(length(text) + 8 as varchar) end, ',' order by i), '') as rejected_mask
-from d join z on z.pair_id = d.pair_id
-group by d.pair_id, d.a, d.b, d.n
+  select *, coalesce(sum(case when i > k then length(shown) end) over (partition by conv_id, side order by i rows between unbounded preceding and 1 preceding), 0) as pos
+  from y)
+select d.conv_id as pair_id, d.conv_id as chosen_id, d.conv_id + 1 as rejected_id, d.paired, cast(d.k as bigint) as prompt_turns,
+  coalesce(string_agg(case when side = 0 and i <= z.k then shown end, '' order by i), '') as prompt,
+  coalesce(string_agg(case when side = 0 and i > z.k then shown end, '' order by i), '') as chosen,
+  coalesce(string_agg(case when side = 0 and i > z.k and role = 'assistant' then cast(cast(pos + length(role) + 5 as bigint) as varchar) || '+' || cast(length(text) + 8 as varchar) end, ',' order by i), '') as chosen_mask,
+  coalesce(string_agg(case when side = 1 and i > z.k then shown end, '' order by i), '') as rejected,
+  coalesce(string_agg(case when side = 1 and i > z.k and role = 'assistant' then cast(cast(pos + length(role) + 5 as bigint) as varchar) || '+' || cast(length(text) + 8 as varchar) end, ',' order by i), '') as rejected_mask
+from d join z on z.conv_id = d.conv_id
+group by d.conv_id, d.paired, d.k
 """

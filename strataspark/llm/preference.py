@@ -2,6 +2,8 @@
 
 The longest common prefix of turns (same role and text) is rendered once, as the prompt; each side's other turns are its
 completion, with a mask of spans (start, length in characters) that hold the assistant's turns, the text to learn.
+``format_pairs`` takes given pairs of conversations; ``swapped`` makes pairs from a table without preference labels: the
+rejected side is the conversation with its last answer replaced by that of the next conversation.
 
 One aggregation per conversation (a conversation's turns are one row, as a document is) and one equi-join of the sides;
 how many conversations share a turn does not matter. Defined cases: a null text or role is an empty one; turns are
@@ -47,8 +49,12 @@ def _mask(turns: Column) -> Column:
 def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs``: pair_id, chosen_id, rejected_id. A row per pair: prompt_turns, prompt, chosen, rejected and their masks."""
     c = conversations(turns)
+    return format_sides(pairs.join(c.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a")), "chosen_id", "left").join(c.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b")), "rejected_id", "left"))
+
+
+def format_sides(both: DataFrame) -> DataFrame:
+    """As format_pairs, of pair_id, chosen_id, rejected_id and the sides' turns ``a`` and ``b`` (null: a missing side)."""
     none = F.array().cast("array<struct<role:string,text:string>>")
-    both = pairs.join(c.select(F.col("conv_id").alias("chosen_id"), F.col("turns").alias("a")), "chosen_id", "left").join(c.select(F.col("conv_id").alias("rejected_id"), F.col("turns").alias("b")), "rejected_id", "left")
     both = both.withColumn("paired", F.col("a").isNotNull() & F.col("b").isNotNull()).withColumn("a", F.coalesce("a", none)).withColumn("b", F.coalesce("b", none))
     differ = F.array_position(F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y)), F.lit(False))
     both = both.withColumn("n", F.when(differ > 0, differ - 1).otherwise(F.size("a")).cast("int"))
@@ -58,7 +64,14 @@ def format_pairs(turns: DataFrame, pairs: DataFrame) -> DataFrame:
         _text(rest("a")).alias("chosen"), _mask(rest("a")).alias("chosen_mask"), _text(rest("b")).alias("rejected"), _mask(rest("b")).alias("rejected_mask"))
 
 
-def neighbours(turns: DataFrame) -> DataFrame:
-    """The pairs of a table without preference labels: conversation 2i as chosen, 2i + 1 as rejected."""
-    ids = turns.where("conv_id is not null").select(F.expr("cast(floor(conv_id / 2.0D) as bigint)").alias("pair_id")).distinct()
-    return ids.select("pair_id", (F.col("pair_id") * 2).alias("chosen_id"), (F.col("pair_id") * 2 + 1).alias("rejected_id"))
+def swapped(turns: DataFrame) -> DataFrame:
+    """Pairs of a table without preference labels, a row per conversation: pair_id and chosen_id are its id, ``a`` its turns;
+    rejected_id is the next id, ``b`` the same turns with the last answer replaced by the last answer of that conversation
+    (null where either has none)."""
+    c = conversations(turns).withColumn("last", F.array_max(F.transform("turns", lambda x, i: F.when(x["role"] == LEARN, i))))
+    other = c.where("last is not null").select((F.col("conv_id") - 1).alias("conv_id"), F.expr("turns[last].text").alias("other"))
+    both = c.join(other, "conv_id", "left")
+    swap = F.transform("turns", lambda x, i: F.when(i == F.col("last"), F.struct(x["role"].alias("role"), F.col("other").alias("text"))).otherwise(x))
+    return both.select(
+        F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), (F.col("conv_id") + 1).alias("rejected_id"), F.col("turns").alias("a"),
+        F.when(F.col("last").isNotNull() & F.col("other").isNotNull(), swap).alias("b"))

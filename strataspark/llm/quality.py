@@ -128,7 +128,7 @@ def apply_policy(led: DataFrame, policy: str) -> DataFrame:
 
 
 def ablations(led: DataFrame, policy: str) -> DataFrame:
-    """Per rule of the policy: documents it fails, documents that only it fails (what leaving it out would let back in).
+    """Per rule of the policy: its bit, documents it fails, documents that only it fails (what leaving it out would let back in).
 
     The ledger is first counted by distinct bit pattern (at most 2**rules rows), so the ablations read no document.
     """
@@ -138,4 +138,12 @@ def ablations(led: DataFrame, policy: str) -> DataFrame:
     each = patterns.select("fail_bits", "docs", F.explode(rules).alias("r")).select("fail_bits", "docs", "r.*")
     hit = F.col("fail_bits").bitwiseAND(F.col("bit")) != 0
     only = F.col("fail_bits").bitwiseAND(F.lit(m).cast("long")) == F.col("bit")
-    return each.groupBy("rule").agg(F.coalesce(F.sum(F.when(hit, F.col("docs"))), F.lit(0)).alias("fails"), F.coalesce(F.sum(F.when(only, F.col("docs"))), F.lit(0)).alias("only_this"))
+    return each.groupBy("rule", "bit").agg(F.coalesce(F.sum(F.when(hit, F.col("docs"))), F.lit(0)).alias("fails"), F.coalesce(F.sum(F.when(only, F.col("docs"))), F.lit(0)).alias("only_this"))
+
+
+def with_ablations(led: DataFrame, policy: str) -> DataFrame:
+    """The ledger with ``blocking_rule``, the one rule of the policy that a document fails (null if it fails none or several), and
+    ``let_back``, how many documents of the whole ledger leaving that rule out would let back in. A row a rule is broadcast."""
+    rules = ablations(led, policy).select(F.col("rule").alias("blocking_rule"), F.col("bit").alias("_bit"), F.col("only_this").alias("let_back"))
+    failed = F.col("fail_bits").bitwiseAND(F.lit(mask(policy)).cast("long"))
+    return led.join(F.broadcast(rules), failed == F.col("_bit"), "left").drop("_bit")

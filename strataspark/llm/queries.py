@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.llm.shared import documents
+from strataspark.llm.shared import documents, table
 from strataspark.session import ship
 
 
@@ -27,8 +27,9 @@ def op2_rule_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataspark.llm import quality as q
 
     led = q.ledger(documents(spark, sf_dir).select("doc_id", "text"))
-    base = ~q.verdict("base")
-    return led.select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), q.verdict("v2").alias("kept"), "fail_bits")
+    led = table(led.select("row.doc_id", *q.MEASURES, "fail_bits"), "ledger")
+    cols = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return q.with_ablations(led, "v2").select(*cols, (~q.verdict("base")).alias("base_failed"), q.verdict("v2").alias("kept"), "fail_bits", q.verdict("v1").alias("kept_v1"), "blocking_rule", "let_back")
 
 
 def op3_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +42,7 @@ def op3_segment_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataspark.llm.lines import line_ledger
 
-    return line_ledger(documents(spark, sf_dir)).drop("row")
+    return line_ledger(documents(spark, sf_dir)).select("doc_id", "pos", "first_doc_id", "first_pos", "kept")
 
 
 def op5_weak_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), ",").alias(c)
-    out = p.format_pairs(turns, p.neighbours(turns))
+    out = p.format_sides(p.swapped(turns))
     return out.select("pair_id", "chosen_id", "rejected_id", "paired", "prompt_turns", "prompt", "chosen", spans("chosen_mask"), "rejected", spans("rejected_mask"))
 
 
