@@ -67,18 +67,28 @@ def humanize_slug_q(spark: SparkSession, sf: str) -> DataFrame:
     return _parts(spark, sf).select("p_partkey", T.humanize_slug(F.concat(F.lit("a/b/"), F.regexp_replace("p_name", " ", "-"), F.lit("_"), "p_type")).alias("title"))
 
 
-_NAME = "case p_partkey % 4 when 0 then p_name when 1 then 'ns:' || p_type when 2 then replace(p_name, ' ', '_') else split_part(p_name, ' ', 1) end"
+#: Names of every kind that the rule tells apart, by part.
+_NAME = """case p_partkey % 16 when 0 then p_name when 1 then 'ns:' || p_type when 2 then replace(p_name, ' ', '_') when 3 then split_part(p_name, ' ', 1)
+  when 4 then 'Q' || p_size when 5 then 'Provincia' when 6 then 'País' when 7 then p_brand when 8 then 'DenHaagHousing' when 9 then '' when 10 then '  layer' || p_size || ' '
+  when 11 then 'Word:' || p_size when 12 then replace(p_name, ' ', '') when 13 then 'USA' when 14 then replace(p_type, ' ', '-') end"""
 
 
-@register("technical_name", f"select p_partkey, p_partkey % 4 <> 0 as technical from (select p_partkey, {_NAME} as n from part) p")
+def _technical(n: str) -> str:
+    return rf"(coalesce({n}, '') = '' or (strpos(trim({n}), ' ') = 0 and (regexp_matches(trim({n}), '^[a-z_]+:[A-Za-z]') or strpos(trim({n}), '_') > 0 or (length(trim({n})) < 20 and not regexp_matches(substr(trim({n}), 2), '[A-Z]') and (regexp_matches(trim({n}), '[0-9]') or not regexp_matches(trim({n}), '^\p{{Lu}}'))))))"
+
+
+@register("technical_name", f"select p_partkey, {_technical('n')} as technical from (select p_partkey, {_NAME} as n from part) p")
 def technical_name_q(spark: SparkSession, sf: str) -> DataFrame:
     return _parts(spark, sf).select("p_partkey", T.technical_name(F.expr(_NAME)).alias("technical"))
 
 
-@register("best_description", f"select p_partkey, case when p_partkey % 4 = 0 then p_name when p_partkey % 3 = 0 then null else p_type || ' part' end as description from part")
+_TITLE = "case p_partkey % 5 when 0 then upper(p_name) when 1 then p_type || ' part' when 2 then replace(p_name, ' ', '-') when 3 then '' end"
+
+
+@register("best_description", f"""select p_partkey, case when not {_technical('a')} then a when coalesce(t, '') <> '' and not {_technical('t')} and lower(t) <> lower(p_name) then t
+  when coalesce(t, '') <> '' and (strpos(t, ' ') > 0 or strpos(t, '-') > 0) then t else a end as description from (select p_partkey, p_name, {_NAME} as a, {_TITLE} as t from part) p""")
 def best_description_q(spark: SparkSession, sf: str) -> DataFrame:
-    title = F.when(F.col("p_partkey") % 3 == 0, F.upper("p_name")).otherwise(F.concat_ws(" ", "p_type", F.lit("part")))
-    return _parts(spark, sf).select("p_partkey", T.best_description(title, F.expr(_NAME), F.col("p_name")).alias("description"))
+    return _parts(spark, sf).select("p_partkey", T.best_description(F.expr(_TITLE), F.expr(_NAME), F.col("p_name")).alias("description"))
 
 
 @register("sanitize_filename", "select p_partkey, replace(p_name, ' ', '-') || '-' || lower(p_type) || '.tif' as name, 'file-' || substr(sha256('***' || cast(p_partkey as varchar) || '.x/'), 1, 0) as odd from part")
@@ -184,43 +194,78 @@ def meaningful_keyword_q(spark: SparkSession, sf: str) -> DataFrame:
     return _parts(spark, sf).select("p_partkey", F.array_join(F.filter(ks, meaningful_keyword), ",").alias("keywords"))
 
 
-#: Phrases that servers give when nobody wrote a description.
-BOILERPLATE = ("geoserver", "this is the reference implementation", "mapserver", "no description", "default workspace", "layer-group type layer")
+#: Phrases of servers' default descriptions, and titles that say nothing.
+BOILERPLATE_PHRASES = (
+    "this is the reference implementation of wfs",
+    "this is the default geoserver",
+    "this is a geoserver instance",
+    "geoserver web feature service",
+    "mapserver web feature service",
+    "supports all wfs operations including",
+    "reference implementation of wfs",
+    "deegree web feature service",
+    "qgis server wfs",
+    "a compliant implementation of ogc",
+)
+BOILERPLATE_TITLES = ("geoserver", "mapserver", "web feature service", "wfs")
 
 
 def boilerplate_text(c):
-    t = F.lower(F.trim(c))
-    hit = t == ""
-    for p in BOILERPLATE:
+    """One of the titles, or a text that holds one of the phrases; a mere mention of a server is none, nor is no text."""
+    t = F.lower(c)
+    hit = F.trim(t).isin(*BOILERPLATE_TITLES)
+    for p in BOILERPLATE_PHRASES:
         hit = hit | t.contains(p)
-    return F.coalesce(hit, F.lit(True))
-
-
-@register("boilerplate_text", "select p_partkey, p_partkey % 3 <> 0 as boilerplate from part")
-def boilerplate_text_q(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("A GeoServer of "), "p_name")).otherwise(" ")
-    return _parts(spark, sf).select("p_partkey", boilerplate_text(t).alias("boilerplate"))
+    return F.coalesce(hit, F.lit(False))
 
 
-#: Licence ids that are accepted, and deprecated ones.
-LICENSES = ("CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "ODbL-1.0", "ODC-By-1.0", "PDDL-1.0", "MIT", "Apache-2.0", "OGL-UK-3.0")
-DEPRECATED = ("proprietary", "various")
+_ABOUT = """case p_partkey % 8 when 0 then p_name when 1 then 'A GeoServer of ' || p_name when 2 then ' ' when 3 then ' GeoServer ' when 4 then p_name || ' GeoServer Web Feature Service ' || p_type
+  when 5 then 'Supports all WFS operations including ' || p_type when 6 then 'QGIS Server, WFS of ' || p_name end"""
 
 
-def license_gap(c, url):
-    """Why a licence id fails: missing, todo, deprecated, needs_url, misspelled, unknown; null if it is fine."""
-    known = F.array(*[F.lit(x) for x in LICENSES])
-    lower = F.array(*[F.lit(x.lower()) for x in LICENSES])
+@register("boilerplate_text", f"""select p_partkey, coalesce(trim(lower(t)) in ({", ".join(f"'{x}'" for x in BOILERPLATE_TITLES)}) or regexp_matches(lower(t), '{"|".join(BOILERPLATE_PHRASES)}'), false) as boilerplate
+  from (select p_partkey, {_ABOUT} as t from part) p""")
+def boilerplate_text_q(spark: SparkSession, sf: str) -> DataFrame:
+    return _parts(spark, sf).select("p_partkey", boilerplate_text(F.expr(_ABOUT)).alias("boilerplate"))
+
+
+#: Identifiers of the public SPDX list in common use for data and code; callers with the whole list pass it.
+LICENSES = (
+    "0BSD", "AAL", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "APSL-2.0", "Artistic-1.0", "Artistic-2.0",
+    "BSD-1-Clause", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "BUSL-1.0", "C-UDA-1.0", "CC-BY-1.0", "CC-BY-2.0", "CC-BY-2.5",
+    "CC-BY-3.0", "CC-BY-3.0-AT", "CC-BY-3.0-DE", "CC-BY-3.0-IGO", "CC-BY-3.0-NL", "CC-BY-3.0-US", "CC-BY-4.0", "CC-BY-NC-1.0", "CC-BY-NC-2.0", "CC-BY-NC-2.5",
+    "CC-BY-NC-3.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-3.0", "CC-BY-NC-ND-4.0", "CC-BY-NC-SA-3.0", "CC-BY-NC-SA-4.0", "CC-BY-ND-3.0", "CC-BY-ND-4.0", "CC-BY-SA-2.0", "CC-BY-SA-2.5",
+    "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC-PDDC", "CC0-1.0", "CDDL-1.0", "CDDL-1.1", "CDLA-Permissive-1.0", "CDLA-Permissive-2.0", "CDLA-Sharing-1.0", "CECILL-2.1",
+    "CECILL-B", "CECILL-C", "DL-DE-BY-2.0", "DL-DE-ZERO-2.0", "ECL-2.0", "EFL-2.0", "EPL-1.0", "EPL-2.0", "etalab-2.0", "EUPL-1.1",
+    "EUPL-1.2", "GFDL-1.3-only", "GFDL-1.3-or-later", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "HPND", "ISC", "LGPL-2.1-only",
+    "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "LPPL-1.3c", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "MS-RL",
+    "NCSA", "NLOD-1.0", "NLOD-2.0", "O-UDA-1.0", "ODbL-1.0", "ODC-By-1.0", "OFL-1.1", "OGC-1.0", "OGDL-Taiwan-1.0", "OGL-Canada-2.0",
+    "OGL-UK-1.0", "OGL-UK-2.0", "OGL-UK-3.0", "OSL-3.0", "PDDL-1.0", "PostgreSQL", "PSF-2.0", "Python-2.0", "SISSL", "TAPR-OHL-1.0",
+    "Unlicense", "UPL-1.0", "Vim", "W3C", "WTFPL", "X11", "Zlib", "ZPL-2.1",
+)
+
+
+def license_gap(c, url, ids=LICENSES):
+    """Why a licence id fails: missing, todo, deprecated, needs_url, misspelled, unknown; null if it is fine. ``ids``: the
+    accepted identifiers."""
+    t = F.trim(c)
+    known = F.array(*[F.lit(x) for x in ids])
+    lower = F.array(*[F.lit(x.lower()) for x in ids])
     return (
-        F.when(c.isNull() | (F.trim(c) == ""), "missing").when(F.upper(c).startswith("TODO"), "todo").when(F.lower(c).isin(*DEPRECATED), "deprecated")
-        .when((c == "other") & url.isNull(), "needs_url").when((c == "other") | F.array_contains(known, c), None).when(F.array_contains(lower, F.lower(c)), "misspelled").otherwise("unknown")
+        F.when(F.coalesce(t, F.lit("")) == "", "missing").when(F.upper(t).startswith("TODO"), "todo").when(t == "proprietary", "deprecated")
+        .when((t == "other") & url.isNull(), "needs_url").when((t == "other") | F.array_contains(known, t), None).when(F.array_contains(lower, F.lower(t)), "misspelled").otherwise("unknown")
     )
 
 
-@register("license_gap", "select p_partkey, case p_partkey % 7 when 0 then 'missing' when 1 then 'todo' when 2 then 'deprecated' when 3 then 'needs_url' when 4 then null when 5 then 'misspelled' else 'unknown' end as gap from part")
+_LICENSE = "case p_partkey % 10 when 0 then '' when 1 then 'todo: ask' when 2 then 'proprietary' when 3 then 'other' when 4 then 'MIT' when 5 then 'cc-by-4.0' when 6 then p_brand when 7 then ' EUPL-1.2 ' when 8 then 'various' end"
+_LINK = "case when p_partkey % 20 < 10 then 'https://example.org/' || p_brand end"
+
+
+@register("license_gap", f"""select p_partkey, case when coalesce(trim(c), '') = '' then 'missing' when upper(trim(c)) like 'TODO%' then 'todo' when trim(c) = 'proprietary' then 'deprecated' when trim(c) = 'other' and u is null then 'needs_url'
+  when trim(c) = 'other' or trim(c) in ({", ".join(f"'{x}'" for x in LICENSES)}) then null when lower(trim(c)) in ({", ".join(f"'{x.lower()}'" for x in LICENSES)}) then 'misspelled' else 'unknown' end as gap
+  from (select p_partkey, {_LICENSE} as c, {_LINK} as u from part) p""")
 def license_gap_q(spark: SparkSession, sf: str) -> DataFrame:
-    c = F.element_at(F.array(*[F.lit(x) for x in ("", "TODO: ask", "proprietary", "other", "MIT", "cc-by-4.0", "WTF")]), (F.col("p_partkey") % 7 + 1).cast("int"))
-    return _parts(spark, sf).select("p_partkey", license_gap(c, F.lit(None).cast("string")).alias("gap"))
+    return _parts(spark, sf).select("p_partkey", license_gap(F.expr(_LICENSE), F.expr(_LINK)).alias("gap"))
 
 
 def derive_provenance(providers):

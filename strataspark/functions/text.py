@@ -1,8 +1,12 @@
-"""Column expressions on names, paths, ids, versions and metadata text. All run inside whole-stage code generation."""
+"""Column expressions on names, paths, ids, versions and metadata text. All run in the JVM."""
 
 from __future__ import annotations
 
+import json
 import re
+import sys
+import unicodedata
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -15,10 +19,29 @@ def parse_semver(v: Column) -> Column:
     return F.struct(part(1).alias("major"), part(2).alias("minor"), part(3).alias("patch"))
 
 
+@lru_cache
+def _decomposed() -> tuple[str, str, str]:
+    """By Unicode's compatibility decomposition: the characters that become one ASCII character, these, and (as JSON) what
+    others become that give several."""
+    one, to, many = [], [], {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        x = unicodedata.normalize("NFKD", c).encode("ascii", "ignore").decode()
+        if len(x) == 1 and ord(c) < 0x10000:
+            one.append(c)
+            to.append(x)
+        elif x:
+            many[c] = x
+    return "".join(one), "".join(to), json.dumps(many)
+
+
 def ascii_fold(c: Column) -> Column:
-    """Accents off (a fixed list of Latin letters), other characters beyond ASCII dropped."""
-    plain = F.translate(c, "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāēīōūčšž", "aaaaaaceeeeiiiinooooouuuuyyaeioucsz")
-    return F.regexp_replace(plain, r"[^\x00-\x7F]", "")
+    """Characters decomposed (NFKD) and what is beyond ASCII dropped. The tables are made at plan time and stand in the plan
+    as constants; texts with characters that become several take the slower way."""
+    one, to, many = _decomposed()
+    table = F.from_json(F.lit(many), "map<string,string>")
+    x = F.translate(c, one, to)
+    folded = F.array_join(F.transform(F.split(x, ""), lambda ch: F.coalesce(F.try_element_at(table, ch), ch)), "")
+    return F.regexp_replace(F.when(x.rlike(r"[^\x00-\x7F]"), folded).otherwise(x), r"[^\x00-\x7F]", "")
 
 
 def normalize_collection_id(c: Column) -> Column:
@@ -55,19 +78,28 @@ def slugify(c: Column) -> Column:
 
 
 def humanize_slug(c: Column) -> Column:
-    """The last path segment with separators as spaces and lower-case tokens capitalised; acronyms stay."""
-    words = F.split(F.regexp_replace(F.element_at(F.split(c, "/"), -1), "[-_]+", " "), " ")
-    return F.array_join(F.transform(words, lambda w: F.when(w == F.lower(w), F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))).otherwise(w)), " ")
+    """The last path segment with separators as spaces and tokens without capitals capitalised; null gives an empty text."""
+    words = F.filter(F.split(F.regexp_replace(F.element_at(F.split(c, "/"), -1), "[-_]+", " "), r"\s+"), lambda w: w != "")
+    title = lambda w: F.when(w.rlike(r"\p{Lu}"), w).otherwise(F.concat(F.upper(F.substring(w, 1, 1)), F.substr(w, F.lit(2))))
+    return F.coalesce(F.array_join(F.transform(words, title), " "), F.lit(""))
 
 
 def technical_name(c: Column) -> Column:
-    """Is text an identifier rather than a title: a namespace, an underscore without spaces, or one short lower-case word or number."""
-    return F.coalesce(c.rlike(r"^\w+:\S+$") | (c.contains("_") & ~c.contains(" ")) | c.rlike(r"^[a-z0-9]{1,12}$"), F.lit(True))
+    """Is text an identifier rather than a title: without spaces, and a lower-case namespace prefix, an underscore, or short,
+    with no capital after its first character and either a digit or no capital at all. No text counts as one."""
+    t = F.trim(c)
+    short = (F.length(t) < 20) & ~F.substr(t, F.lit(2)).rlike("[A-Z]") & (t.rlike(r"\p{Nd}") | ~t.rlike(r"^\p{Lu}"))
+    return F.coalesce((c == "") | (~t.contains(" ") & (t.rlike(r"^[a-z_]+:[A-Za-z]") | t.contains("_") | short)), F.lit(True))
 
 
 def best_description(title: Column, abstract: Column, name: Column) -> Column:
-    """The abstract unless it is technical, else the title unless it repeats the name."""
-    return F.when(abstract.isNotNull() & (F.trim(abstract) != "") & ~technical_name(abstract), abstract).when(title.isNotNull() & (F.lower(title) != F.lower(name)), title)
+    """The abstract unless it is technical; else the title unless it is, or repeats the name; else a title with spaces or
+    dashes; else the abstract."""
+    has_title = F.coalesce(title != "", F.lit(False))
+    return (
+        F.when(~technical_name(abstract), abstract).when(has_title & ~technical_name(title) & (F.lower(title) != F.lower(name)), title)
+        .when(has_title & technical_name(abstract) & title.rlike("[ -]"), title).otherwise(abstract)
+    )
 
 
 def sanitize_filename(c: Column) -> Column:

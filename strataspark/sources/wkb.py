@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _parts(b: bytes, at: int = 0) -> tuple[list[tuple[int, np.ndarray]], int]:
-    """((dimension, coordinates) of every point set, line or ring; the position after the geometry). Rings have dimension 2."""
+def _parts(b: bytes, at: int = 0) -> tuple[list[tuple[int, np.ndarray, int]], int]:
+    """((dimension, coordinates, sign) of every point set, line or ring; the position after the geometry). Rings have
+    dimension 2; a polygon's first ring is its shell (sign 1), the others are holes (-1), whichever way they turn."""
     order = "<" if b[at] else ">"
     (code,) = struct.unpack_from(order + "I", b, at + 1)
     at += 5
@@ -39,11 +40,11 @@ def _parts(b: bytes, at: int = 0) -> tuple[list[tuple[int, np.ndarray]], int]:
         return out[~np.isnan(out).any(axis=1)]
 
     if kind == 1:
-        return [(0, coords(1))], at
+        return [(0, coords(1), 1)], at
     if kind == 2:
-        return [(1, coords(count()))], at
+        return [(1, coords(count()), 1)], at
     if kind == 3:
-        return [(2, coords(count())) for _ in range(count())], at
+        return [(2, coords(count()), -1 if i else 1) for i in range(count())], at
     if kind not in (4, 5, 6, 7):
         raise ValueError(f"geometry type {kind}")
     out = []
@@ -62,18 +63,19 @@ def _summary(b: bytes | None) -> tuple[float | None, ...]:
         parts, _ = _parts(bytes(b))
     except (ValueError, IndexError, struct.error):
         return nothing
-    parts = [(d, c) for d, c in parts if len(c)]
+    parts = [(d, c, sign) for d, c, sign in parts if len(c)]
     if not parts:
         return nothing
-    every = np.concatenate([c for _, c in parts])
+    every = np.concatenate([c for _, c, _ in parts])
     weight, cx, cy = 0.0, 0.0, 0.0
-    top = max(d for d, _ in parts)
+    top = max(d for d, _, _ in parts)
     if top == 2:
         origin = parts[0][1][0]
-        for d, c in parts:
-            if d == 2:  # rings turn against their shells in holes, so signed areas add up
+        for d, c, sign in parts:
+            if d == 2:
                 x, y = (c - origin).T
                 cross = x[:-1] * y[1:] - x[1:] * y[:-1]
+                cross = cross * (sign * np.sign(cross.sum()))
                 weight += cross.sum() / 2
                 cx += ((x[:-1] + x[1:]) * cross).sum() / 6
                 cy += ((y[:-1] + y[1:]) * cross).sum() / 6
@@ -81,7 +83,7 @@ def _summary(b: bytes | None) -> tuple[float | None, ...]:
             return (*every.min(axis=0).tolist(), *every.max(axis=0).tolist(), float(cx / weight + origin[0]), float(cy / weight + origin[1]))
         weight, cx, cy = 0.0, 0.0, 0.0
     if top >= 1:
-        for d, c in parts:
+        for d, c, _ in parts:
             if d >= 1 and len(c) > 1:
                 step = np.hypot(*np.diff(c, axis=0).T)
                 mid = (c[:-1] + c[1:]) / 2
