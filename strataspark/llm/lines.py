@@ -33,6 +33,7 @@ BANDS = 6
 ROWS = 3
 HASHES = BANDS * ROWS
 AGREE = 9  # of HASHES
+STEP = 3  # shingles hashed for each generated row
 LANE = 21  # bits of a minimum that are kept: a band's ROWS minima are the lanes of one long
 PERCENT = 80
 BLOCK = 256
@@ -71,10 +72,11 @@ def signatures(lines: DataFrame) -> DataFrame:
     """h and b0, b1, ...: a row per distinct line, and the low LANE bits of each band's minima side by side in a long."""
     distinct = lines.groupBy("h").agg(F.min("line").alias("line"))
     raw = distinct.select("h", F.encode("line", "UTF-32").alias("raw"), F.greatest(F.length("line") - SHINGLE, F.lit(0)).alias("last"))
-    # One row a shingle: a generator and a hash that are both compiled, unlike a lambda over an array.
-    at = raw.select("h", "raw", F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
-    v = at.select("h", F.xxhash64(F.substring("raw", F.col("i") * 4 + 1, F.lit(4 * SHINGLE))).alias("v"))
-    minima = [F.min(F.col("v").bitwiseXOR(F.lit(_mask(i)))) for i in range(HASHES)]
+    # Rows of STEP shingles from a generator and hashes that are all compiled, unlike a lambda over an array.
+    at = raw.select("h", "raw", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(STEP))).alias("i"))
+    cut = lambda j: F.substring("raw", F.least(F.col("i") + j, F.col("last")) * 4 + 1, F.lit(4 * SHINGLE))
+    v = at.select("h", *[F.xxhash64(cut(j)).alias(f"v{j}") for j in range(STEP)])
+    minima = [F.min(F.least(*[F.col(f"v{j}").bitwiseXOR(F.lit(_mask(i))) for j in range(STEP)])) for i in range(HASHES)]
     lane = lambda i: F.shiftleft(minima[i].bitwiseAND(F.lit((1 << LANE) - 1)), LANE * (i % ROWS))
     bands = []
     for b in range(BANDS):
