@@ -10,10 +10,11 @@ line number).
 Scale: lines with the same text are one row before anything else (pre-aggregated, so a line that a third of all documents
 share costs a row a task). Shingles are exploded and hashed in generated code and aggregated in the partitioning that the
 first aggregation left, without a second shuffle. Bands are counted before they are joined, so the few that have two lines
-meet their lines in a join that can be split. In round A every line is compared with one line only, of the bands' first
-lines the one that it agrees with most. Bands that still hold two components after that are cut into blocks of about BLOCK
-lines; a pair of blocks meets in one task, each pair of lines of different components in the first band they share, and
-only confirmed links leave the task. Texts are fetched for candidates alone.
+meet their lines in a join that can be split. Links are found in two linear rounds first: every line with the one that it
+agrees with most of its bands' first lines, then with the others, where they are not yet of one component. Bands that hold
+two components after that are cut into blocks of about BLOCK lines; a pair of blocks meets in one task, each pair of lines of
+different components in the first band they share, and only confirmed links leave the task. Texts are fetched for
+candidates alone.
 
 Defined cases: null and empty texts have no lines; blank lines are always kept and never compared; a null doc_id sorts
 last; repeated rows of one document are repeated lines, of which one stays; very long lines are lines like any other;
@@ -123,7 +124,13 @@ def _across(members: DataFrame, comp: DataFrame, cand: DataFrame, texts: DataFra
     both = x.join(y.hint("merge"), ["key", "s", "t"]).where("a < b and ra <> rb and (s = t or oa <> ob)").where(_agree("p", "q") >= AGREE)
     earlier = " or ".join(f"(band > {b} and p.b{b} = q.b{b})" for b in range(BANDS - 1))
     both = both.where(f"not ({earlier})")  # an earlier band that they share has them
-    return _barrier(both.select("a", "b", "x", "y"), x=F.col("x"), y=F.col("y")).where(_alike(percent)).select("a", "b")
+    return both.where(_alike(percent)).select("a", "b")
+
+
+def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose lines have at least ``percent`` of all their shingles in common."""
+    both = pairs.select("a", "b").join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
+    return table(_barrier(both, x=_full(F.col("la")), y=_full(F.col("lb"))).where(_alike(percent)).select("a", "b"), "links")
 
 
 def links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -134,14 +141,15 @@ def links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     cand = table(matching(sig, some, "h").select("h", F.struct(*[f"b{i}" for i in range(BANDS)]).alias("sig")), "candidates")
     texts = table(matching(lines.select("h", "line"), some, "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
     side = lambda h, c: cand.select(F.col("h").alias(h), F.col("sig").alias(c))
-    meets = members.where("h <> rep").select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()
-    meets = meets.join(side("a", "p"), "a").join(side("b", "q"), "b").select("a", "b", _agree("p", "q").alias("c")).where(F.col("c") >= AGREE)
-    best = meets.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
-    both = best.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-    both = _barrier(both, x=_full(F.col("la")), y=_full(F.col("lb")))
-    one = table(both.where(_alike(percent)).select("a", "b"), "links_a")
-    comp = components(one).select(F.col("node").alias("h"), "root")
-    return one.union(table(_across(members, comp, cand, texts, percent), "links_b"))
+    near = lambda pairs: pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").select("a", "b", _agree("p", "q").alias("c")).where(F.col("c") >= AGREE)
+    best = lambda pairs: pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
+    meets = table(near(members.where("h <> rep").select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()), "meets")
+    found = _confirm(best(meets), texts, percent)
+    comp = components(found).select(F.col("node").alias("h"), "root")
+    root = lambda df, h, r: df.join(comp.toDF(h, r), h, "left").withColumn(r, F.coalesce(r, h))
+    found = found.union(_confirm(root(root(meets, "a", "ra"), "b", "rb").where("ra <> rb"), texts, percent))
+    comp = components(found).select(F.col("node").alias("h"), "root")
+    return found.union(table(_across(members, comp, cand, texts, percent), "links_across"))
 
 
 def line_ledger(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
