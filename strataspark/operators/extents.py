@@ -237,16 +237,19 @@ def measured_bounds(df: DataFrame, by: list[str], lon: str = "lon", lat: str = "
     return a.select(*by, F.when(short, back(F.col("c"))).otherwise(F.col("a")).alias("xmin"), "ymin", F.when(short, back(F.col("d"))).otherwise(F.col("b")).alias("xmax"), "ymax")
 
 
-@register("measured_bounds", sql("items", """, g as (select l_orderkey, min(lon) as a, max(lon) as b, min(case when lon < 0 then lon + 360 else lon end) as c, max(case when lon < 0 then lon + 360 else lon end) as d, min(lat) as y0, max(lat) as y1 from (select l_orderkey % 500 as l_orderkey, case when ln % 2 = 0 then lon else -lon end as lon, lat from items where abs(lon) > 170) i group by l_orderkey)
+_SHIFTED = "case when lon < 0 then lon + 360 else lon end"
+#: Groups of 500 keys; those of the even ones lie about the antimeridian, those of the others anywhere.
+_HUGGING = "case when l_orderkey % 2 = 1 then lon when lon >= 0 then 180 - lon / 20 else -180 - lon / 20 end"
+
+
+@register("measured_bounds", sql("items", f""", i as (select l_orderkey % 500 as l_orderkey, {_HUGGING} as lon, lat from items),
+  g as (select l_orderkey, min(lon) as a, max(lon) as b, min({_SHIFTED}) as c, max({_SHIFTED}) as d, min(lat) as y0, max(lat) as y1 from i group by l_orderkey)
   select l_orderkey, round(case when d - c < b - a then case when c > 180 then c - 360 else c end else a end, 6) as xmin, round(y0, 6) as ymin, round(case when d - c < b - a then case when d > 180 then d - 360 else d end else b end, 6) as xmax, round(y1, 6) as ymax from g"""))
 def measured_bounds_q(spark: SparkSession, sf: str) -> DataFrame:
-    it = _items(spark, sf).where("abs(lon) > 170").select((F.col("l_orderkey") % 500).alias("l_orderkey"), F.expr("case when ln % 2 = 0 then lon else -lon end").alias("lon"), "lat")
+    it = _items(spark, sf).select((F.col("l_orderkey") % 500).alias("l_orderkey"), F.expr(_HUGGING).alias("lon"), "lat")
     return _round(measured_bounds(it, ["l_orderkey"]), *EDGES)
 
 
-_SHIFTED = "case when lon < 0 then lon + 360 else lon end"
-
-
 @register("measured_bounds_items", sql("items", f""", i as (select l_orderkey, case when l_orderkey % 3 = 0 and ln % 2 = 0 then -lon else lon end as lon, lat from items),
   g as (select l_orderkey, min(lon) as a, max(lon) as b, min({_SHIFTED}) as c, max({_SHIFTED}) as d, min(lat) as y0, max(lat) as y1 from i group by l_orderkey)
   select l_orderkey, round(case when d - c < b - a then case when c > 180 then c - 360 else c end else a end, 6) as xmin, round(y0, 6) as ymin, round(case when d - c < b - a then case when d > 180 then d - 360 else d end else b end, 6) as xmax, round(y1, 6) as ymax from g"""))

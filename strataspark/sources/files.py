@@ -19,15 +19,18 @@ def scan_hive_table(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("basePath", root).option("recursiveFileLookup", "false").parquet(root)
 
 
-def scan_geojson(spark: SparkSession, path: str) -> DataFrame:
+def scan_geojson(spark: SparkSession, path: str, properties: list[str] | None = None) -> DataFrame:
     """A row per feature: properties as columns, geometry_type, and geometry as JSON text. A file that is not JSON gives one row
-    with ``corrupt``; collections without features give none."""
+    with ``corrupt``; collections without features give none. ``properties`` names the columns; without it they are found in a
+    first pass, and are then as many as the features have distinct names."""
     raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
     ok = F.get_json_object("value", "$.type").isNotNull()
     feats = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
     rows = raw.select("file", F.when(~F.coalesce(ok, F.lit(False)), True).otherwise(False).alias("corrupt"), F.explode_outer(F.when(F.coalesce(ok, F.lit(False)), feats)).alias("f")).where("corrupt or f is not null")
     props = F.get_json_object("f", "$.properties")
-    keys = [r[0] for r in rows.select(F.explode(F.json_object_keys(props)).alias("k")).distinct().orderBy("k").collect()]  # bounded by the schema's width
+    keys = properties
+    if keys is None:
+        keys = [r[0] for r in rows.select(F.explode(F.json_object_keys(props)).alias("k")).distinct().orderBy("k").collect()]
     m = F.from_json(props, "map<string,string>")
     geo = F.get_json_object("f", "$.geometry")
     return rows.select("file", "corrupt", F.get_json_object(geo, "$.type").alias("geometry_type"), geo.alias("geometry"), *[F.try_element_at(m, F.lit(k)).alias(k if k not in ("file", "corrupt", "geometry", "geometry_type") else f"properties.{k}") for k in keys])
@@ -101,8 +104,9 @@ def scan_parquet_footers(files: DataFrame) -> DataFrame:
 
 
 def sink_hive_partitioned(df: DataFrame, root: str, cell: str, sort: list[str] | None = None) -> None:
-    """Write with the cell as partition key, sorted within; Spark's commit protocol leaves nothing behind a failed job."""
-    keyed = df.repartition(cell)
+    """Write with the cell as partition key, sorted within; Spark's commit protocol leaves nothing behind a failed job. Small
+    cells share a task and a hot one is split over several (a rebalance), so it gets more than one file."""
+    keyed = df.hint("rebalance", cell)
     (keyed.sortWithinPartitions(cell, *sort) if sort else keyed).write.mode("errorifexists").partitionBy(cell).parquet(root)
 
 
@@ -117,12 +121,15 @@ def sink_items_mirror(items: DataFrame, targets: DataFrame, path: str) -> None:
 def publish(spark: SparkSession, root: str, collection: str, df: DataFrame, assets: DataFrame, version: str, breaking: bool = False, message: str = "", removed: list[str] | None = None, replace_asset: bool = False) -> None:
     """Append a batch to a versioned table: data first, the log row last, so readers see complete versions only.
 
-    ``df`` has an ``asset`` column; ``assets`` is (asset, sha256, size_bytes) of the batch. Rows are appended; with
+    A version is published once: its data folder is written anew by a retry, and a version that the log has is left as it is,
+    so a stream may repeat its last batch. ``df`` has an ``asset`` column; ``assets`` is (asset, sha256, size_bytes) of the batch. Rows are appended; with
     ``replace_asset`` readers take only each asset's newest rows.
     """
     base = f"{root.rstrip('/')}/{collection}"
-    df.withColumn("version", F.lit(version)).write.mode("append").partitionBy("version").parquet(f"{base}/data")
     old = read_log(spark, root, collection)
+    if old is not None and not old.where(F.col("version") == version).isEmpty():
+        return
+    df.write.mode("overwrite").parquet(f"{base}/data/version={version}")
     state = assets.select("asset", "sha256", "size_bytes").withColumn("version", F.lit(version))
     if old is not None:
         last = old.agg(F.max("ord")).first()[0]
@@ -186,7 +193,7 @@ def import_schema(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
 
 def split_layers(df: DataFrame, layer: str, root: str) -> DataFrame:
     """One output per layer, and a status row per layer."""
-    df.repartition(layer).write.mode("overwrite").partitionBy(layer).parquet(root)
+    df.hint("rebalance", layer).write.mode("overwrite").partitionBy(layer).parquet(root)
     return df.groupBy(layer).agg(F.count("*").alias("rows")).withColumn("status", F.lit("success"))
 
 

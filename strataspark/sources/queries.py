@@ -19,13 +19,13 @@ def scan_hive_table_q(spark: SparkSession, sf: str) -> DataFrame:
     return S.scan_hive_table(spark, root).where("l_returnflag = 'A'").groupBy("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"), F.sum("l_orderkey").alias("keys"))
 
 
-@register("scan_geojson")
+@register("scan_geojson", sql("points", "select id, collection as name, 'Point' as geometry_type, lon from points"))
 def scan_geojson_q(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "geojson")
     feature = F.concat(F.lit('{"type":"Feature","properties":{"id":'), F.col("id").cast("string"), F.lit(',"name":"'), "collection", F.lit('"},"geometry":{"type":"Point","coordinates":['), F.col("lon").cast("string"), F.lit(","), F.col("lat").cast("string"), F.lit("]}}"))
     doc = view(spark, sf, "points").groupBy(F.floor(F.col("id") / 4000).alias("k")).agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("value"))
     doc.select("value").write.option("maxRecordsPerFile", 1).text(root)  # one document a file, of at most 4000 features
-    out = S.scan_geojson(spark, root)
+    out = S.scan_geojson(spark, root, ["id", "name"])
     return out.select(F.col("id").cast("long").alias("id"), F.col("name"), "geometry_type", F.get_json_object("geometry", "$.coordinates[0]").cast("double").alias("lon"))
 
 
@@ -36,7 +36,7 @@ def scan_tabular_q(spark: SparkSession, sf: str) -> DataFrame:
     return S.scan_tabular(spark, root, "\t").withColumn("c_custkey", F.col("c_custkey").cast("long"))
 
 
-@register("scan_stac_items")
+@register("scan_stac_items", sql("points", "select 'i' || cast(id as varchar) as id, collection, lon as west, strftime(ts, '%Y-%m-%d') as day from points"))
 def scan_stac_items_q(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "items")
     pts = view(spark, sf, "points")
@@ -142,9 +142,9 @@ def partition_metadata_q(spark: SparkSession, sf: str) -> DataFrame:
     return S.partition_metadata(e)
 
 
-@register("bbox_columns_wkb")
+@register("bbox_columns_wkb", sql("points", "select id, lon as bbox_xmin, lat as bbox_ymin, lon as bbox_xmax, lat as bbox_ymax from points"))
 def bbox_columns_wkb_q(spark: SparkSession, sf: str) -> DataFrame:
-    """Boxes of WKB points made from the points view; must equal their coordinates (see tests)."""
+    """Boxes of WKB points made from the points view; must equal their coordinates."""
     ship(spark)
     pts = view(spark, sf, "points").select("id", "lon", "lat")
     df = pts.mapInArrow(_to_wkb, "id long, geometry binary")

@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 from strataspark.plans.views import sql, view
 from strataspark.registry import register
 from strataspark.session import scratch
+from strataspark.sources import files
 
 
 def incremental_ingest(spark: SparkSession, source: str, schema: str, checkpoint: str, publish: Callable[[DataFrame, int], None], files_per_batch: int = 1000) -> None:
     """Every new Parquet file under ``source`` goes into exactly one micro-batch, and each batch to ``publish(df, batch_id)``.
 
     The batch id is the version's key: a batch that is retried after a failure has the same id and files, so a publish that
-    overwrites by id is exactly once. Returns when all files now there are done; run again for later ones.
+    takes a version once (as ``sources.files.publish`` does) is exactly once. Returns when all files now there are done; run again for later ones.
     """
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(source)
     stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
@@ -38,8 +39,14 @@ def _stage(spark: SparkSession, sf: str) -> tuple[str, str]:
 def incremental_ingest_q(spark: SparkSession, sf: str) -> DataFrame:
     source, schema = _stage(spark, sf)
     target = scratch(spark, "ingested")
-    incremental_ingest(spark, source, schema, scratch(spark, "checkpoint"), lambda df, n: df.write.mode("overwrite").parquet(f"{target}/version={n}"), files_per_batch=2)
-    return spark.read.parquet(target).groupBy("collection").agg(F.count("*").alias("n"))
+
+    def put(df: DataFrame, n: int) -> None:
+        rows = df.withColumn("asset", F.col("collection").cast("string"))
+        assets = rows.groupBy("asset").agg(F.sha2(F.concat_ws(",", F.count("*").cast("string"), F.lit(n)), 256).alias("sha256"), F.count("*").alias("size_bytes"))
+        files.publish(df.sparkSession, target, "items", rows, assets, f"1.{n}.0")
+
+    incremental_ingest(spark, source, schema, scratch(spark, "checkpoint"), put, files_per_batch=2)
+    return files.read_version(spark, target, "items").groupBy("collection").agg(F.count("*").alias("n"))
 
 
 @register("incremental_extent", sql("items", "select collection, round(min(lon), 6) as xmin, round(min(lat), 6) as ymin, round(max(lon), 6) as xmax, round(max(lat), 6) as ymax, cast(count(*) as bigint) as items from items group by collection"))

@@ -176,3 +176,51 @@ def test_concurrent_publish_has_one_winner(spark, tmp_path):
 def test_missing_version_is_an_error(spark, tmp_path):
     with pytest.raises(ValueError):
         S.read_version(spark, str(tmp_path), "none")
+
+
+def test_wkb_centroids_follow_ring_order_not_winding(spark):
+    square = lambda x, y, s, back=False: [(x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y)][:: -1 if back else 1]
+    ring = lambda r: struct.pack("<I", len(r)) + b"".join(struct.pack("<dd", *p) for p in r)
+    polygon = lambda *rings: struct.pack("<BII", 1, 3, len(rings)) + b"".join(map(ring, rings))
+    multi = struct.pack("<BII", 1, 6, 2) + polygon(square(0, 0, 2)) + polygon(square(10, 0, 1, back=True))
+    shapes = [multi, polygon(square(0, 0, 10), square(6, 6, 2)), polygon(square(0, 0, 10), square(6, 6, 2, back=True)), polygon(square(0, 0, 10, back=True), square(6, 6, 2))]
+    df = spark.createDataFrame([(i, bytearray(g)) for i, g in enumerate(shapes)], "i int, geometry binary")
+    got = [(r["centroid_x"], r["centroid_y"]) for r in wkb.bbox_columns(df, centroid=True).orderBy("i").collect()]
+    holed = (100 * 5 - 4 * 7) / 96
+    assert got[0] == pytest.approx(((4 * 1 + 1 * 10.5) / 5, (4 * 1 + 1 * 0.5) / 5))
+    assert all(g == pytest.approx((holed, holed)) for g in got[1:])
+
+
+@pytest.mark.parametrize(("text", "plain"), [("Plzeň", "Plzen"), ("Győr", "Gyor"), ("ﬁle", "file"), ("Ｅｓｒｉ", "Esri"), ("données", "donnees"), ("½ x", "12 x"), ("世", ""), ("abc", "abc"), (None, None)])
+def test_ascii_fold(spark, text, plain):
+    assert one(spark, x=T.ascii_fold(F.lit(text).cast("string")))["x"] == plain
+
+
+@pytest.mark.parametrize(("text", "technical"), [
+    ("bu_building_emprise_v2", True), ("ns:LayerName", True), ("layer", True), ("parcels2024", True), ("Q4", True), ("", True), (None, True), ("   ", True), ("DenHaagHousing", False), ("USA", False),
+    ("Provincia", False), ("País", False), ("Building - building_emprise", False), ("averyverylonglowercasename", False), (" layer1 ", True),
+])
+def test_technical_name(spark, text, technical):
+    assert one(spark, x=T.technical_name(F.lit(text).cast("string")))["x"] is technical
+
+
+def test_best_description_falls_back(spark):
+    pick = lambda t, a, n="layer": one(spark, x=T.best_description(*[F.lit(v).cast("string") for v in (t, a, n)]))["x"]
+    assert pick("A title", "An abstract") == "An abstract" and pick("A title", "abs_1") == "A title" and pick("Layer", "abs_1") == "abs_1"
+    assert pick("my-layer", "abs_1") == "my-layer" and pick(None, "abs_1") == "abs_1" and pick(None, None) is None
+
+
+def test_humanize_keeps_long_words(spark):
+    assert one(spark, x=T.humanize_slug(F.lit("a/b/" + "w" * 1500 + "-IGN")))["x"] == "W" + "w" * 1499 + " IGN"
+
+
+def test_publish_takes_a_version_once(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (2, "b")], "id long, asset string")
+    assets = df.selectExpr("asset", "asset as sha256", "id as size_bytes")
+    root = str(tmp_path / "t")
+    S.publish(spark, root, "c", df, assets, "1.0.0")
+    S.publish(spark, root, "c", df, assets, "1.0.0")
+    df.write.mode("overwrite").parquet(f"{root}/c/data/version=1.1.0")  # a publish that was lost before its log row
+    assert S.read_version(spark, root, "c").count() == 2
+    S.publish(spark, root, "c", df, assets, "1.1.0")
+    assert S.read_version(spark, root, "c").count() == 4
