@@ -70,6 +70,8 @@ def test_policy_and_ablation(docs, empty):
     without = tuple(r for r in quality.POLICIES["v2"] if r != "few_words")
     assert led.where(quality.verdict(without)).count() - kept.count() == rows["few_words"]["only_this"]
     assert quality.ledger(empty).count() == 0
+    each = quality.with_ablations(led, "v2")
+    assert each.count() == docs.count() and each.where("blocking_rule = 'few_words'").select("let_back").distinct().collect() == [(rows["few_words"]["only_this"],)]
 
 
 def closure(pairs, nodes):
@@ -261,6 +263,43 @@ def test_mixing(docs, empty, texts):
     assert mixing.mixed_documents(docs).columns == docs.columns
 
 
+def test_mixing_by_brute_force(spark, docs):
+    """``taken`` from the shuffled order, the blocks and the golden-ratio slots, in Python integers."""
+    d, s, _, _ = mixing.schedule(docs)
+    size = {r["source"]: r for r in s.collect()}
+    laid = defaultdict(list)
+    for r in d.where("size > 0").select("_id", "source", "size", "_h").collect():
+        laid[r["source"]].append((r["_h"] % max(1, d.count() // mixing.CHUNK_DOCS), r["_h"], r["_id"], r["size"]))
+    uses = {k: Counter() for k in size}
+    rank = Counter()
+    for slot in range(int(round(sum(r["target"] * r["blocks"] / r["source_size"] for r in size.values())))):
+        u = slot * mixing.GOLDEN % 2**32 / 2**32
+        k = next(k for k, r in size.items() if r["lo"] <= u < r["hi"])
+        if rank[k] < 3 * size[k]["blocks"]:
+            uses[k][rank[k] % size[k]["blocks"]] += 1
+        rank[k] += 1
+    want = {}
+    for k, rows in laid.items():
+        n, q = size[k]["source_size"], size[k]["blocks"]
+        cuts = np.cumsum([0] + [n // q + (j < n % q) for j in range(q)])
+        of = np.repeat([uses[k][j] for j in range(q)], np.diff(cuts))
+        at = 0
+        for _, _, i, m in sorted(rows):
+            want[i] = int(of[at : at + m].sum())
+            at += m
+    got = mixing.taken(docs).select("row.doc_id", "taken").collect()
+    ids = {r["_id"]: r["doc_id"] for r in d.select("_id", "row.doc_id").collect()}
+    assert Counter((r["doc_id"], r["taken"]) for r in got) == Counter((i, want.get(k, 0)) for k, i in ids.items())
+
+
+@pytest.mark.parametrize(("size", "blocks"), [(10, 3), (12, 4), (7, 7), (10**13 + 7, 4_882_812_501), (9 * 10**18, 10**9 + 9)])
+def test_blocks_cover_a_source_of_any_size(spark, size, blocks):
+    tokens = sorted({0, 1, size // 3, size // 2, size - 2, size - 1})
+    df = spark.createDataFrame([(t, size, blocks) for t in tokens], "t long, source_size long, blocks long").withColumn("b", mixing.block_at("t"))
+    for r in df.withColumn("lo", mixing.block_start("b")).withColumn("hi", mixing.block_start("(b + 1)")).collect():
+        assert 0 <= r["b"] < blocks and r["lo"] <= r["t"] < r["hi"] and r["hi"] - r["lo"] in (size // blocks, size // blocks + 1)
+
+
 def test_targets_fill_like_water(spark):
     sizes = {"a": 100, "b": 1, "c": 5, "d": 300, None: 2}
     got = {r["source"]: r["target"] for r in mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()}
@@ -415,14 +454,46 @@ def test_lattice_sums_all_segmentations():
 def test_preference(spark):
     turns = [(0, 0, "user", "hi"), (0, 1, "assistant", "a"), (1, 0, "user", "hi"), (1, 1, "assistant", "b"), (1, 2, "user", None), (2, 0, "system", "s"), (None, 0, "user", "x"), (1, 2, "user", None)]
     df = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, turns int")
-    got = {r["pair_id"]: r for r in preference.format_pairs(df, preference.neighbours(df)).collect()}
+    pairs = spark.createDataFrame([(0, 0, 1), (1, 2, 3)], "pair_id long, chosen_id long, rejected_id long")
+    got = {r["pair_id"]: r for r in preference.format_pairs(df, pairs).collect()}
     assert got[0]["prompt"] == "<|user|>\nhi<|end|>\n" and got[0]["chosen"] == "<|assistant|>\na<|end|>\n" and got[0]["paired"]
     for side in ("chosen", "rejected"):
         t = got[0][side]
         assert [t[s["start"] : s["start"] + s["length"]] for s in got[0][f"{side}_mask"]] == [("a" if side == "chosen" else "b") + "<|end|>\n"]
     assert got[0]["rejected"].count("<|user|>") == 2
     assert not got[1]["paired"] and got[1]["rejected"] == ""
-    assert preference.format_pairs(df.where("false"), preference.neighbours(df.where("false"))).count() == 0
+    assert preference.format_sides(preference.swapped(df.where("false"))).count() == 0
+
+
+def test_preference_prefixes_by_brute_force(spark):
+    """Random conversations that share prefixes of any length, some equal, some a prefix of the other."""
+    rng = np.random.default_rng(6)
+    role = lambda i: ("user", "assistant")[i % 2]
+    convs, rows = {}, []
+    for p in range(40):
+        base = [(role(i), f"t{rng.integers(3)}") for i in range(rng.integers(0, 6))]
+        for side in (0, 1):
+            convs[2 * p + side] = base[: rng.integers(0, len(base) + 1)] + [(role(i), f"x{rng.integers(2)}") for i in range(rng.integers(0, 3))]
+    rows = [(c, i, *t) for c, ts in convs.items() for i, t in enumerate(ts)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    pairs = spark.createDataFrame([(p, 2 * p, 2 * p + 1) for p in range(40)], "pair_id long, chosen_id long, rejected_id long")
+    show = lambda ts: "".join(f"<|{r}|>\n{t}<|end|>\n" for r, t in ts)
+    for r in preference.format_pairs(df, pairs).collect():
+        a, b = convs[r["chosen_id"]], convs[r["rejected_id"]]
+        n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+        assert (r["prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) == (n, show(a[:n]), show(a[n:]), show(b[n:]))
+        for text, mask, turns in ((r["chosen"], r["chosen_mask"], a[n:]), (r["rejected"], r["rejected_mask"], b[n:])):
+            assert [text[m["start"] : m["start"] + m["length"]] for m in mask] == [t + "<|end|>\n" for who, t in turns if who == "assistant"]
+    swapped = {r["chosen_id"]: r for r in preference.format_sides(preference.swapped(df)).collect()}
+    for c, ts in convs.items():
+        if ts:
+            answers = [i for i, t in enumerate(ts) if t[0] == "assistant"]
+            other = [t for who, t in convs.get(c + 1, []) if who == "assistant"]
+            paired = bool(answers and other)
+            assert swapped[c]["paired"] == paired
+            if paired and other[-1] != ts[answers[-1]][1]:
+                n = answers[-1]
+                assert swapped[c]["prompt"] == show(ts[:n]) and swapped[c]["rejected"] == show([("assistant", other[-1]), *ts[n + 1 :]])
 
 
 def test_weak_labels(spark, docs, empty):
