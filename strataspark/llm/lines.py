@@ -113,8 +113,9 @@ def _barrier(both: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _across(members: DataFrame, comp: DataFrame, cand: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between lines of one band and different components. ``comp``: h, root; ``cand``: h, sig."""
-    m = members.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    """Confirmed links (a, b) between lines of one band and different components, but for the band's first line, which the
+    linear rounds have compared with all others. ``comp``: h, root; ``cand``: h, sig."""
+    m = members.where("h <> rep").join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
     keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo < hi").select("key", "blocks")
     left = table(m.join(keys, "key"), "mixed")
     rows = left.join(cand, "h").join(texts, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
