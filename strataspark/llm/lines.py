@@ -143,12 +143,13 @@ def links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = table(matching(lines.select("h", "line"), some, "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
     side = lambda h, c: cand.select(F.col("h").alias(h), F.col("sig").alias(c))
     near = lambda pairs: pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").select("a", "b", _agree("p", "q").alias("c")).where(F.col("c") >= AGREE)
-    best = lambda pairs: pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b")
     meets = table(near(members.where("h <> rep").select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()), "meets")
-    found = _confirm(best(meets), texts, percent)
+    best = table(meets.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"), "best")
+    found = _confirm(best, texts, percent)
     comp = components(found).select(F.col("node").alias("h"), "root")
     root = lambda df, h, r: df.join(comp.toDF(h, r), h, "left").withColumn(r, F.coalesce(r, h))
-    found = found.union(_confirm(root(root(meets, "a", "ra"), "b", "rb").where("ra <> rb"), texts, percent))
+    rest = meets.join(best, ["a", "b"], "left_anti")
+    found = found.union(_confirm(root(root(rest, "a", "ra"), "b", "rb").where("ra <> rb"), texts, percent))
     comp = components(found).select(F.col("node").alias("h"), "root")
     return found.union(table(_across(members, comp, cand, texts, percent), "links_across"))
 
