@@ -15,8 +15,9 @@ chunk's distinct words are joined to the word table and meet the chunk's texts i
 bounded by the vocabulary (its expected counts), never by the corpus.
 
 Defined cases: null and empty texts are the end alone; repeated rows are counted and scored as often as they occur; a null
-doc_id counts as held out (it has no checksum); an empty training set scores by the vocabulary's own ranks; very long
-words go through the same recursion; other columns play no part.
+doc_id counts as held out (it has no checksum); an empty training set scores by the vocabulary's own ranks; words of more than
+LONG characters go through the same recursion by slices of positions, in bounded memory (where probabilities are learnt, they
+count as words of LONG characters); other columns play no part.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from strataspark.llm.shared import table
 
 ITERATIONS = 2
 CHUNK = 4 << 20
+LONG = 4096  # characters of a word from which its lattice is not built at once
 FLUSH = 400_000  # distinct words a counting task holds before it emits them
 LETTERS = 1 << 21  # the flat alphabet behind single characters: code points and the end of a word
 FLOOR = 1e-4  # share of mass for single characters that are no pieces
@@ -105,7 +107,7 @@ def codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, length
 
 
-def _hashes(code: np.ndarray, length: np.ndarray, longest: int | None = None) -> np.ndarray:
+def _hashes(code: np.ndarray, length: np.ndarray | None, longest: int | None = None) -> np.ndarray:
     """Hash of every substring (of up to ``longest`` characters) by (word, start, length - 1)."""
     n, m = code.shape
     out = np.zeros((n, m, min(longest or m, m)), dtype=np.uint64)
@@ -132,6 +134,24 @@ def forward(w: np.ndarray, length: np.ndarray, stop: float) -> tuple[np.ndarray,
     return a[np.arange(n), length] + stop, a
 
 
+def forward_long(pieces: Pieces, word: str, stop: float, size: int = 1 << 16) -> float:
+    """As ``forward``, of one word of any length: the lattice of ``size`` positions at a time, and the sums of the positions
+    that the pieces begun so far can reach."""
+    code, length = codes([word])
+    k, here = pieces.longest, 0.0
+    ahead = np.full(k, -np.inf)
+    for lo in range(0, int(length[0]), size):
+        part = code[:, lo : lo + size + k]
+        _, w = pieces.weights(_hashes(part, None, k), np.array([part.shape[1]]))
+        if w.shape[2] < k:
+            w = np.pad(w, ((0, 0), (0, 0), (0, k - w.shape[2])), constant_values=-np.inf)
+        for step in w[0, : min(size, int(length[0]) - lo)]:
+            ahead = np.logaddexp(ahead, here + step)
+            here = ahead[0]
+            ahead = np.append(ahead[1:], -np.inf)
+    return float(here) + stop
+
+
 def expected(w: np.ndarray, i: np.ndarray, a: np.ndarray, length: np.ndarray, count: np.ndarray, out: np.ndarray) -> float:
     """Add each piece's expected uses in the counted words to ``out``; returns the expected number of pieces."""
     n, m, k = w.shape
@@ -173,9 +193,8 @@ def vocabulary(path: str) -> tuple[list[str], np.ndarray]:
     return names, np.log(p / p.sum() * (1 - FLOOR))
 
 
-def _batches(words: list[bytes], limit: int = 40_000) -> Iterator[tuple[np.ndarray, list[str]]]:
+def _batches(text: list[str], limit: int = 40_000) -> Iterator[tuple[np.ndarray, list[str]]]:
     """(places, words) of similar length, at most ``limit`` characters of padded lattice a batch."""
-    text = [w.decode("utf-8", "replace") for w in words]
     order = np.argsort(np.fromiter(map(len, text), dtype=np.int64, count=len(text)), kind="stable")
     lo = 0
     while lo < len(order):
@@ -194,13 +213,14 @@ def _adapt(counts: DataFrame, names: list[str], logp: np.ndarray, stop: float) -
         pieces = Pieces(*shared.value)
         out, uses, n = np.zeros(len(pieces.names)), 0.0, 0
         for b in batches:
-            c = b.column(1).to_numpy()
-            for at, words in _batches(b.column(0).to_pylist()):
+            n += int(b.column(1).to_numpy().sum())
+            whole = [w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]
+            c = np.repeat(b.column(1).to_numpy(), [-(-len(w) // LONG) for w in whole])
+            for at, words in _batches([w[j : j + LONG] for w in whole for j in range(0, len(w), LONG)]):
                 code, length = codes(words)
                 i, w = pieces.weights(_hashes(code, length, pieces.longest), length)
                 _, a = forward(w, length, 0.0)
                 uses += expected(w, i, a, length, c[at].astype(float), out)
-                n += int(c[at].sum())
         ids = np.flatnonzero(out)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(ids, [-1, -2])), pa.array(np.append(out[ids], [uses, n]))], names=["piece", "uses"])
 
@@ -247,7 +267,10 @@ def score(docs: DataFrame, vocabulary_path: str, text: str = "text", iterations:
         for b in batches:
             c = b.column(1).to_numpy(zero_copy_only=False)
             out = np.empty(len(c))
-            for at, ws in _batches(b.column(0).to_pylist()):
+            for at, ws in _batches([w.decode("utf-8", "replace") for w in b.column(0).to_pylist()]):
+                if len(ws[0]) > LONG:
+                    out[at] = [forward_long(pieces, x, last) for x in ws]
+                    continue
                 code, length = codes(ws)
                 _, w = pieces.weights(_hashes(code, length, pieces.longest), length)
                 out[at], _ = forward(w, length, last)

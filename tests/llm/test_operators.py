@@ -537,3 +537,40 @@ def test_top_k_prunes_and_stays_exact():
         order = np.lexsort((ids, -scores[r]))[:20]
         assert (j[i == r] == order).all() and (s[i == r] == scores[r][order]).all()
     assert left[0] == len(q) * 3000 and left[-1] < 0.3 * left[0]
+
+
+def test_lattice_score_by_brute_force(spark, texts):
+    """Without adaptation a text's score is, word by word, the sum over all ways to spell it, in plain Python."""
+    import math
+    from functools import cache
+
+    rows = [(i, x) for i, x in texts if x is None or len(x) < 2000]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    names, logp = lattice.vocabulary(path)
+    p, stop = {n: math.exp(w) * 0.7 for n, w in zip(names, logp)}, 0.3
+    train = [x for i, x in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2]
+    n = sum(len((x or "").encode().lower().split()) for x in train) + len(train)
+    end = (len(train) + 1) / (n + 2)
+
+    @cache
+    def spelt(word: str) -> float:
+        sums = [1.0] + [0.0] * len(word)
+        for j in range(1, len(word) + 1):
+            sums[j] = sum(sums[i] * (p.get(word[i:j], 0.0) + (lattice.FLOOR / lattice.LETTERS if j - i == 1 else 0.0)) for i in range(max(0, j - 20), j))
+        return sums[-1] * stop / (1 - stop) * (1 - end)
+
+    want = Counter((i, round(sum(math.log10(spelt(w.decode())) for w in (x or "").encode().lower().split()) + math.log10(end), 6)) for i, x in rows)
+    assert Counter((r["doc_id"], round(r["score"], 6)) for r in lattice.score(docs, path, iterations=0).collect()) == want
+
+
+def test_lattice_of_very_long_words(spark):
+    names, logp = lattice.vocabulary(queries.tokenizer_path("piece_bpe_32k.model"))
+    pieces = lattice.Pieces(names, logp)
+    for word in ("a", "international" * 30, "zq" * 9 + "é世"):
+        code, length = lattice.codes([word])
+        _, w = pieces.weights(lattice._hashes(code, length, pieces.longest), length)
+        whole, _ = lattice.forward(w, length, -0.5)
+        assert [lattice.forward_long(pieces, word, -0.5, size) for size in (1, 7, 1000)] == pytest.approx([whole[0]] * 3)
+    df = spark.createDataFrame([(1, "abcde" * 40_000), (2, "a b")], "doc_id long, text string")
+    assert all(np.isfinite(r["score"]) for r in lattice.score(df, queries.tokenizer_path("piece_bpe_32k.model")).collect())
