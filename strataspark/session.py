@@ -32,13 +32,22 @@ def session(app: str = "strataspark", master: str | None = None, partitions: int
     return spark
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share (``spark.checkpoint.dir``); where that is unset, in a temporary one."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, in local mode, a temporary one; a cluster
+    must name it."""
     import tempfile
+
+    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="strataspark-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
     import uuid
 
-    base = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="strataspark-")
-        spark.sparkContext.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/strataspark-{uuid.uuid4().hex}/{name}"
+    return f"{shared_dir(spark)}/strataspark-{uuid.uuid4().hex}/{name}"
