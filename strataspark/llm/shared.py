@@ -2,22 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strataspark.session import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset, as in tests, a temporary one."""
-    found = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="strataspark-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
+from strataspark.session import shared_dir, ship
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
