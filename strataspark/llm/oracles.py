@@ -93,3 +93,25 @@ select d.conv_id as pair_id, d.conv_id as chosen_id, d.conv_id + 1 as rejected_i
 from d join z on z.conv_id = d.conv_id
 group by d.conv_id, d.paired, d.k
 """
+
+op4_fuzzy_lines = r"""
+with recursive t as (select doc_id, string_split(text, chr(10)) as ls from documents where text is not null),
+l as (
+  select doc_id, p - 1 as pos, ls[p] as line from (select doc_id, ls, unnest(range(1, len(ls) + 1)) as p from t) x where regexp_matches(ls[p], '[^\x20\x09-\x0D]')),
+d as (select line, row_number() over (order by line) as k from (select distinct line from l) x),
+s as (select distinct k, substr(line, i, 8) as g from (select k, line, unnest(range(1, greatest(length(line) - 7, 1) + 1)) as i from d) x),
+n as (select k, count(*) as n from s group by k),
+f as (select g, count(*) as c from s group by g),
+o as (select s.k, s.g, n.n, row_number() over (partition by s.k order by f.c, s.g) as r from s join f on f.g = s.g join n on n.k = s.k),
+p as (select k, g, n from o where r <= n - (4 * n + 4) // 5 + 1),
+c as (select distinct a.k as a, b.k as b, a.n as na, b.n as nb from p a join p b on a.g = b.g and a.k < b.k where 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+j as (select a, b, na, nb, count(*) as i from c join s x on x.k = a join s y on y.k = b and y.g = x.g group by a, b, na, nb),
+links as (select a, b from j where 180 * i >= 80 * (na + nb)),
+edges as (select a, b from links union all select b, a from links),
+reach as (select a as k, b as other from edges union select r.k, e.b from reach r join edges e on e.a = r.other),
+comp as (select k, least(k, min(other)) as root from reach group by k),
+w as (select l.doc_id, l.pos, coalesce(comp.root, d.k) as root from l join d on d.line = l.line left join comp on comp.k = d.k),
+first as (select root, min(row(doc_id, pos)) as best from w group by root),
+z as (select w.doc_id, w.pos, best from w join first on first.root = w.root)
+select doc_id, cast(pos as integer) as pos, best[1] as first_doc_id, cast(best[2] as integer) as first_pos, doc_id = best[1] and pos = best[2] as kept from z
+"""
