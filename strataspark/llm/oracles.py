@@ -115,3 +115,21 @@ first as (select root, min(row(doc_id, pos)) as best from w group by root),
 z as (select w.doc_id, w.pos, best from w join first on first.root = w.root)
 select doc_id, cast(pos as integer) as pos, best[1] as first_doc_id, cast(best[2] as integer) as first_pos, doc_id = best[1] and pos = best[2] as kept from z
 """
+
+op10_repeats = r"""
+with b as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
+w as (select doc_id, p, md5(substr(h, 2 * p + 1, 400)) as m from (select doc_id, h, unnest(range(0, greatest(length(h) // 2 - 199, 0))) as p from b) x),
+often as (select m from w group by m having count(*) > 1),
+r as (select doc_id, p from w where m in (select m from often)),
+g as (select doc_id, p, case when p <= lag(p) over (partition by doc_id order by p) + 200 then 0 else 1 end as opens from r),
+i as (select doc_id, p, sum(opens) over (partition by doc_id order by p) as run from g),
+runs as (select doc_id, run, min(p) as lo, max(p) + 200 as hi from i group by doc_id, run),
+total as (select doc_id, sum(hi - lo) as removed, count(*) as spans, max(hi) as hi from runs group by doc_id),
+gaps as (
+  select doc_id, coalesce(lag(hi) over (partition by doc_id order by lo), 0) as s, lo as e from runs
+  union all select b.doc_id, coalesce(total.hi, 0), length(h) // 2 from b left join total on total.doc_id = b.doc_id),
+k as (select gaps.doc_id, string_agg(substr(h, 2 * s + 1, 2 * (e - s)), '' order by s) as kept from gaps join b on b.doc_id = gaps.doc_id group by gaps.doc_id)
+select b.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, cast(coalesce(spans, 0) as bigint) as n_spans,
+       sha256(unhex(coalesce(kept, ''))) as kept_sha256
+from b join k on k.doc_id = b.doc_id left join total on total.doc_id = b.doc_id
+"""
