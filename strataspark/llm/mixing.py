@@ -33,6 +33,12 @@ def size_of(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text).cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def _shuffled(seed: int, id: str, text: str) -> Column:
+    """A number of 60 bits by which documents are shuffled: of a hash that any SQL engine has."""
+    key = F.concat_ws("|", F.lit(str(seed)), F.coalesce(F.col(id).cast("string"), F.lit("")), F.coalesce(F.col(text).cast("string"), F.lit("")))
+    return F.conv(F.substring(F.md5(key.cast("binary")), 1, 15), 16, 10).cast("long")
+
+
 def targets(sizes: DataFrame, cap: int = 3) -> DataFrame:
     """Per source (source, source_size): ``target``, its share by weight 1, 2, 3, 1, ... of the sum of all sizes, at most
     ``cap`` times its size, with the excess reshared by weight among the others until none is above.
@@ -79,7 +85,7 @@ def schedule(docs: DataFrame, cap: int = 3, block_tokens: int = 2048, per_source
     ``block_tokens`` is the largest block; a mix of fewer than ``per_source`` such blocks a source gets smaller ones, so
     that targets are met to about one part in ``per_source`` at any size.
     """
-    d = docs.select(F.struct("*").alias("row"), size_of(text).alias("size"), F.col(source).cast("string").alias("source"), F.xxhash64(F.lit(seed), "doc_id", text).alias("_h"))
+    d = docs.select(F.struct("*").alias("row"), size_of(text).alias("size"), F.col(source).cast("string").alias("source"), _shuffled(seed, "doc_id", text).alias("_h"))
     d = table(d.withColumn("_id", F.monotonically_increasing_id()), "sized")
     sizes = d.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))
     t = targets(sizes.select("source", "source_size"), cap)

@@ -133,3 +133,39 @@ select b.doc_id, cast(length(h) // 2 as bigint) as n_bytes, cast(coalesce(remove
        sha256(unhex(coalesce(kept, ''))) as kept_sha256
 from b join k on k.doc_id = b.doc_id left join total on total.doc_id = b.doc_id
 """
+
+op8_source_schedule = r"""
+with d as (
+  select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as bigint) as size,
+         cast('0x' || substr(md5('7|' || coalesce(cast(doc_id as varchar), '') || '|' || coalesce(text, '')), 1, 15) as bigint) as h
+  from documents),
+s as (select source, cast(sum(size) as bigint) as source_size, row_number() over (order by source nulls last) as k from d group by source),
+a as (select *, (k - 1) % 3 + 1 as w, 3 * source_size as cap, sum(source_size) over () as total, count(*) over () as n from s),
+b as (
+  select *, sum(w) over () as ws, coalesce(sum(cap) over (order by cap / cast(w as double), k rows between unbounded preceding and 1 preceding), 0) as cap0,
+         coalesce(sum(w) over (order by cap / cast(w as double), k rows between unbounded preceding and 1 preceding), 0) as w0
+  from a),
+c as (select *, (total - cap0) * w >= cap * (ws - w0) as held from b),
+e as (select *, coalesce(sum(case when held then cap end) over (), 0) as held_cap, ws - coalesce(sum(case when held then w end) over (), 0) as free_w from c),
+t as (select source, k, source_size, total, n, case when held then cast(cap as double) else cast(w * (total - held_cap) as double) / free_w end as target from e),
+q as (select *, cast(ceil(source_size / greatest(1, least(2048, total // greatest(1, n * 1000)))) as bigint) as blocks from t where source_size > 0),
+r as (select *, target * blocks / source_size as share, sum(target * blocks / source_size) over (order by k rows between unbounded preceding and current row) as hi from q),
+x as (select *, max(hi) over () as ends from r),
+y as (select *, (hi - share) / ends as lo, case when hi >= ends then 1.0e0 else hi / ends end as top from x),
+slots as (select i as slot, (i * 2654435769) % 4294967296 / 4294967296.0e0 as u from range(cast((select round(max(ends)) from x) as bigint)) g(i)),
+ranked as (select y.k, blocks, row_number() over (partition by y.k order by slot) - 1 as rank from slots join y on u >= lo and u < top),
+uses as (select k, rank % blocks as block, count(*) as uses from ranked where rank < 3 * blocks group by 1, 2),
+laid as (
+  select doc_id, size, source, h, coalesce(sum(size) over (partition by source order by h % greatest(1, (select count(*) from d) // 4096), h rows between unbounded preceding and 1 preceding), 0) as before
+  from d where size > 0),
+m as (select laid.*, q.k, source_size // blocks as len, source_size % blocks as more, before + size - 1 as last from laid join q on laid.source is not distinct from q.source),
+p as (
+  select *, unnest(range(cast(case when before < more * (len + 1) then before // (len + 1) else more + (before - more * (len + 1)) // len end as bigint),
+                         cast(case when last < more * (len + 1) then last // (len + 1) else more + (last - more * (len + 1)) // len end as bigint) + 1)) as block
+  from m),
+got as (
+  select p.doc_id, sum((least(before + size, (p.block + 1) * len + least(p.block + 1, more)) - greatest(before, p.block * len + least(p.block, more))) * uses) as taken
+  from p join uses on uses.k = p.k and uses.block = p.block group by p.doc_id)
+select d.doc_id, d.size, t.source_size, t.target, cast(coalesce(got.taken, 0) as bigint) as taken
+from d join t on d.source is not distinct from t.source left join got on got.doc_id = d.doc_id
+"""
