@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,15 +11,22 @@ from pyspark.sql import functions as F
 from strataspark.session import shared_dir, ship
 
 
+COLLECT = 2.0  # seconds between calls of the driver's collector
+_collected = 0.0
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The driver's collector is asked to run afterwards, since Spark frees a finished step's shuffle files only when it does.
+    The driver's collector is asked to run now and then, since Spark frees finished steps' shuffle files only when it does.
     """
+    global _collected
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/strataspark-{uuid.uuid4().hex}/{name}"
     df.write.parquet(path)
-    spark.sparkContext._jvm.System.gc()
+    if time.monotonic() - _collected > COLLECT:
+        spark.sparkContext._jvm.System.gc()
+        _collected = time.monotonic()
     out = spark.read.schema(df.schema).parquet(path)
     out.shared_path = path
     return out

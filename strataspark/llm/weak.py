@@ -29,8 +29,8 @@ from strataspark.llm import kernels as K
 from strataspark.llm.quality import measure
 from strataspark.llm.shared import stable, table
 
-SAMPLE = 20_000
-PARTS = 1
+SAMPLE = 10_000  # the training sample, in memory as hashed features: some 100 MB
+PARTS = 1  # tasks that train on shares of it; their weights are averaged
 BITS = 18
 STEPS = 20
 TRUST = 0.995  # accuracy of the judged labels
@@ -142,11 +142,9 @@ def classify(docs: DataFrame, labels: DataFrame, text: str = "text", threshold:
     some = post.orderBy(F.desc("weight"), F.xxhash64("n"), "n").limit(sample)
 
     def fit(key: tuple, t: pa.Table) -> pa.Table:
-        t = t.combine_chunks().sort_by("n")
-        features: list[np.ndarray] = []
-        for lo, hi, data, off in K.chunks(t.column("text").combine_chunks()):
-            features += _features(data, off)
-        w, bias = train(features, t.column("posterior").to_numpy(), t.column("weight").to_numpy())
+        order = np.argsort(t.column("n").to_numpy())
+        features = [f for c in t.column("text").chunks for _, _, data, off in K.chunks(c) for f in _features(data, off)]
+        w, bias = train([features[i] for i in order], t.column("posterior").to_numpy()[order], t.column("weight").to_numpy()[order])
         return pa.table({"docs": pa.array([len(features)], type=pa.int64()), "w": pa.array([w.astype("<f4").tobytes()], type=pa.binary()), "bias": pa.array([bias], type=pa.float64())})
 
     picked = rows.join(F.broadcast(some), "n").select("n", "text", "posterior", "weight", F.pmod(F.xxhash64("n"), F.lit(PARTS)).alias("part"))
