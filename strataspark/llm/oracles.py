@@ -169,3 +169,31 @@ got as (
 select d.doc_id, d.size, t.source_size, t.target, cast(coalesce(got.taken, 0) as bigint) as taken
 from d join t on d.source is not distinct from t.source left join got on got.doc_id = d.doc_id
 """
+
+op13_spelling = r"""
+with recursive tbl as (
+  select list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, case when c & 1 = 1 then 3988292384 else 0 end))) as crc),
+runs as (
+  select doc_id, r, count(*) as k from (
+    select doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{00C0}-\x{00FF}]+')) as r
+    from documents) x where length(r) >= 6 group by 1, 2),
+hashed as (
+  select r, k, xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(coalesce(cast(doc_id as varchar), '') || ':' || r, ''), lambda c: case when ord(c) < 128 then [cast(ord(c) as bigint)] else [195, cast(ord(c) - 64 as bigint)] end))),
+    lambda c, b: xor(c >> 8, crc[1 + (xor(c, b) & 255)])), 4294967295) as h
+  from runs, tbl),
+slipped as (
+  select case when h % 199 = 0 then substring(r, 1, h % length(r)) || substring(r, h % length(r) + 2) else r end as word, k from hashed),
+words as (select word, cast(sum(k) as bigint) as n from slipped where length(word) >= 6 group by 1 having sum(k) >= 5),
+cut as (select word, n, p, substring(word, 1, p - 1) || substring(word, p + 1) as v from (select word, n, unnest(range(1, length(word) + 1)) as p from words) x),
+pairs as (
+  select x.word as a, x.n as na, y.word as b, y.n as nb from cut x join cut y on x.v = y.v and x.p = y.p and x.word <> y.word
+  union select c.word, c.n, w.word, w.n from cut c join words w on c.v = w.word
+  union select w.word, w.n, c.word, c.n from cut c join words w on c.v = w.word),
+best as (select a, count(*) as n_near, max(nb) as m from pairs group by a),
+forms as (
+  select p.a as word, min(p.b) as form, p.nb as form_n from pairs p join best on best.a = p.a and p.nb = best.m and p.nb >= 5 * p.na group by p.a, p.nb),
+chain as (select word, form as here, 1 as step from forms union all select c.word, f.form, step + 1 from chain c join forms f on f.word = c.here),
+roots as (select word, arg_max(here, step) as root from chain group by word)
+select w.word, w.n, cast(coalesce(best.n_near, 0) as bigint) as n_near, f.form, f.form_n, coalesce(r.root, w.word) as root
+from words w left join best on best.a = w.word left join forms f on f.word = w.word left join roots r on r.word = w.word
+"""

@@ -84,6 +84,12 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataspark.llm.spelling import spelling_variants
+
+    return spelling_variants(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
