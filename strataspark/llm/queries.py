@@ -84,6 +84,12 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataspark.llm.shards import shard_documents
+
+    return shard_documents(documents(spark, sf_dir))
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataspark.llm.spelling import spelling_variants
 
