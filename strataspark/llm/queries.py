@@ -84,6 +84,12 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(documents(spark, sf_dir))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataspark.llm.align import align_tokens
+
+    return align_tokens(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op12_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataspark.llm.shards import shard_documents
 
