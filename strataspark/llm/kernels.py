@@ -12,8 +12,10 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 CHUNK = 1 << 20
+SPAN = 256  # bytes from which a span is hashed by itself
 U64 = np.uint64
 _MULTIPLIER = 0x9E3779B97F4A7C15  # odd, so that it has an inverse modulo 2**64
 
@@ -40,7 +42,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 @lru_cache(maxsize=4)
 def _powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """P**i and P**-i modulo 2**64 for i below n."""
-    p = int(splitmix(np.array([_MULTIPLIER + seed], dtype=U64))[0]) | 1
+    p = int(splitmix(np.array([_MULTIPLIER + seed], dtype=U64))[0]) & ~7 | 5  # 5 modulo 8: low powers stay far from 1
     q = pow(p, -1, 1 << 64)
     out = []
     for base in (p, q):
@@ -61,9 +63,11 @@ def powers(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """64-bit hashes of any substrings of a buffer: prefix sums of byte codes times powers of an odd base."""
+    """64-bit hashes of any substrings of a buffer: prefix sums of byte codes times powers of an odd base. Modulo 2**64 there are
+    texts of 512 characters and more that any such sum confuses, so spans of SPAN bytes or more get a hash that is not linear."""
 
     def __init__(self, data: np.ndarray, seed: int = 0):
+        self.data, self.seed = data, seed
         up, self.down = powers(len(data) + 1, seed)
         self.prefix = np.zeros(len(data) + 1, dtype=U64)
         with np.errstate(over="ignore"):
@@ -72,7 +76,12 @@ class Rolling:
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
             h = (self.prefix[end] - self.prefix[start]) * self.down[start]
-            return splitmix(h + (end - start).astype(U64))
+            h = splitmix(h + (end - start).astype(U64))
+        far = np.flatnonzero(end - start >= SPAN)
+        if len(far):
+            raw = memoryview(np.ascontiguousarray(self.data))
+            h[far] = np.fromiter((xxhash.xxh3_64_intdigest(raw[s:e], self.seed) for s, e in zip(start[far].tolist(), end[far].tolist())), dtype=U64, count=len(far))
+        return h
 
     def grams(self, n: int) -> np.ndarray:
         """The hash of the n bytes from every position that has n bytes after it."""
