@@ -12,7 +12,8 @@ Queries meet all rows in tiles of bounded size (QUERIES by ROWS), dealt out by h
 tile returns at most k rows a query. Inside a tile, strips of STRIP queries by COLUMNS rows bound the memory. Defined
 cases: vectors that are null, empty or hold null or non-finite components, and rows without vec_id, take no part; vectors
 meet only vectors of their own length; ties go to the smaller vec_id; repeated rows count as separate rows, each a query of
-its own; an empty table gives no rows; other columns play no part.
+its own; an empty table gives no rows; other columns play no part. Components that are finite only before scaling count as
+non-finite; scores that a long cannot hold stand at its ends.
 """
 
 from __future__ import annotations
@@ -56,7 +57,8 @@ def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Inner products of paired rows, exact: in doubles while every partial sum is below 2**53, else in Python integers."""
     if len(q) and float(np.abs(q).max()) * float(np.abs(x).max()) * q.shape[1] < 2.0**53:
         return np.einsum("ij,ij->i", q, x).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(u, v)) for u, v in zip(q, x)], dtype=np.int64)
+    low, high = -(1 << 63), (1 << 63) - 1
+    return np.array([min(high, max(low, sum(int(a) * int(b) for a, b in zip(u, v)))) for u, v in zip(q, x)], dtype=np.int64)
 
 
 def search(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, x_id: np.ndarray, k: int, left: list[float] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,7 +83,7 @@ def search(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, x
                     first = _exact(np.repeat(q[at], m, axis=0), x[c + best.ravel()]).astype(np.float64).reshape(best.shape)
                     first[~np.take_along_axis(stay, best, axis=1)] = -np.inf
                     least = np.maximum(least, -np.partition(-first, k - 1, axis=1)[:, k - 1])
-                stay = bound + slack[at, None] >= np.maximum(least, -1e300)[:, None]
+                stay &= ~(bound + slack[at, None] < least[:, None])  # a bound that overflows to no number leaves the pair in
                 counts.append(np.count_nonzero(stay))
             if left is not None:
                 left[:] = [a + b for a, b in zip(left or [0] * len(counts), counts)]
@@ -102,7 +104,7 @@ def search(q: np.ndarray, q_row: np.ndarray, x: np.ndarray, x_row: np.ndarray, x
 def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the rows where ``queries`` holds, against every other row."""
     v = F.col(vector).cast("array<double>")
-    good = F.col(id).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.col(id).isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x * scale) < float("inf")))
     rows = vectors.withColumn("_q", F.coalesce(queries, F.lit(False))).where(good).select(
         F.col(id).cast("long").alias("id"), "_q", F.size(v).alias("dim"), v.alias("v"))
     rows = table(rows.withColumn("row", F.monotonically_increasing_id()), "vectors")
@@ -111,6 +113,8 @@ def top_k(vectors: DataFrame, queries: Column, k: int = 20, scale: float = 64.0,
     cells, blocks = max(1, -(-n // ROWS), min(cores, n // LEAST)), max(1, -(-nq // QUERIES))
     at = F.xxhash64("row")
     q = rows.where("_q").withColumn("s", F.pmod(at, F.lit(blocks))).withColumn("t", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).drop("_q")
+    # Read a second time: the sides of a co-group must not share columns by their inner names.
+    rows = rows.sparkSession.read.schema(rows.schema).parquet(rows.shared_path)
     x = rows.withColumn("t", F.pmod(at, F.lit(cells)).cast("int")).withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).drop("_q")
 
     def tile(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
