@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strataspark.llm.shared import table
+from strataspark.llm.shared import stable, table
 
 ITERATIONS = 2
 CHUNK = 4 << 20
@@ -238,7 +238,8 @@ def _adapt(counts: DataFrame, names: list[str], logp: np.ndarray, stop: float) -
 def score(docs: DataFrame, vocabulary_path: str, text: str = "text", iterations: int = ITERATIONS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, mixture_score of every document."""
     spark = docs.sparkSession
-    d = docs.withColumn("train", train_column())
+    # The row's number deals rows to chunks: repeated rows must not meet in one.
+    d = stable(docs).withColumn("train", train_column()).withColumn("_row", F.monotonically_increasing_id())
     counts = table(word_counts(d.select(text, "train"), text), "counts")
     words, total, once = counts.agg(F.count_if(F.col("c") > 0), F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") == 1)).first()
     ends, all_bytes = d.agg(F.count_if("train"), F.coalesce(F.sum(F.octet_length(F.col(text).cast("string"))), F.lit(0))).first()
@@ -253,7 +254,7 @@ def score(docs: DataFrame, vocabulary_path: str, text: str = "text", iterations:
     ln10 = np.log(10)
 
     chunks = max(1, all_bytes // CHUNK)
-    keyed = d.select(F.col("doc_id").cast("long").alias("doc_id"), (~F.col("train")).alias("held_out"), F.col(text).cast("string").alias("text")).withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)))
+    keyed = d.select(F.col("doc_id").cast("long").alias("doc_id"), (~F.col("train")).alias("held_out"), F.col(text).cast("string").alias("text"), "_row").withColumn("chunk", F.pmod(F.xxhash64("_row"), F.lit(chunks)))
 
     def vocab_of(key: tuple, t: pa.Table) -> pa.Table:
         seen: set = set()
