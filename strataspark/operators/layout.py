@@ -208,24 +208,27 @@ def tile_bounds_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spread_sample(df: DataFrame, order: list[str], k: int) -> DataFrame:
-    """At most k rows spread evenly over the order, both ends in.
+    """At most k rows spread evenly over the order, both ends in, with all their columns.
 
-    Positions come from range partitions and their counts (a table of one row a partition), not from one global window.
+    Positions come from range partitions and their counts (a table of one row a partition), not from one global window. The
+    ranges are written once: the counts and the ranks must see the same partitions. A table that lies in order needs none of
+    this: ``sources.footers.sample_row_groups`` reads a few of its row groups.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    path = scratch(df.sparkSession, "spread")
+    df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()).write.parquet(path)
+    ranged = df.sparkSession.read.parquet(path)
     counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     base = counts.select("_p", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_n").over(W.partitionBy(F.lit(1))).alias("_all"))
-    pos = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_p").orderBy(*order))).join(F.broadcast(base), "_p").withColumn("_i", F.col("_base") + F.col("_rn") - 1)
-    # Row i of n is kept when it is floor(j * (n - 1) / (k - 1)) for some j below k; exact in integers.
-    n = F.col("_all")
-    j = F.ceil(F.col("_i") * (k - 1) / (n - 1))
-    keep = (n <= k) | (F.floor(j * (n - 1) / (k - 1)) == F.col("_i"))
-    return pos.where(keep).drop("_p", "_rn", "_base", "_all", "_i")
+    pos = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("_p").orderBy(*order))).join(base, "_p").withColumn("_i", F.col("_base") + F.col("_rn") - 1)
+    # Row i of n is kept when it is j * (n - 1) div (k - 1) for some j below k.
+    at = "((_i * {k} + _all - 2) div (_all - 1)) * (_all - 1) div {k} = _i".format(k=f"{k - 1}L")
+    keep = F.expr(f"_all <= {k} or " + (at if k > 1 else "_i = 0")) if k > 0 else F.lit(False)
+    return pos.where(keep).select(*df.columns)
 
 
 @register("spread_sample", sql("points", ", r as (select id, row_number() over (order by lon, id) - 1 as i, count(*) over () as n from points), p as (select distinct cast(floor(j * ((select max(n) from r) - 1) / 99.0e0) as bigint) as i from (select unnest(range(0, 100)) as j) s) select id from r join p on r.i = p.i"))
 def spread_sample_q(spark: SparkSession, sf: str) -> DataFrame:
-    return spread_sample(_points(spark, sf).select("id", "lon"), ["lon", "id"], 100).select("id")
+    return spread_sample(_points(spark, sf), ["lon", "id"], 100).select("id")
 
 
 @register("partition_prune", sql("items", "select l_orderkey, ln from items where collection in (3, 7)"))

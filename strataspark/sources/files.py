@@ -3,15 +3,12 @@ versioned tables, exports."""
 
 from __future__ import annotations
 
-import io
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataspark.operators.schemas import drop_derived
 from strataspark.operators.versions import merge_assets
+from strataspark.sources.footers import scan_parquet_footers  # noqa: F401
 
 
 def scan_hive_table(spark: SparkSession, root: str) -> DataFrame:
@@ -76,41 +73,6 @@ def scan_files(spark: SparkSession, root: str, max_depth: int | None = None, hid
     return df if hidden else df.where(~F.col("rel").rlike(r"(^|/)\."))
 
 
-def scan_parquet_footers(files: DataFrame) -> DataFrame:
-    """A row per (path, row group, column): min, max, null_count, rows, type, and the file's ``geo`` metadata.
-
-    ``files`` has a path a row, and is spread over tasks by its own partitioning. The path is a URI that Arrow's file systems
-    open, and only the footer is read, by seeking; for stores that Spark alone reads, ``files`` has ``content`` too, as the
-    binaryFile source gives it.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if content is not None:
-                    meta = pq.read_metadata(io.BytesIO(content))
-                else:
-                    store, name = fs.FileSystem.from_uri(path)
-                    with store.open_input_file(name) as f:
-                        meta = pq.read_metadata(f)
-                geo = (meta.metadata or {}).get(b"geo")
-                rows = []
-                for g in range(meta.num_row_groups):
-                    group = meta.row_group(g)
-                    for c in range(group.num_columns):
-                        col = group.column(c)
-                        s = col.statistics
-                        known = s is not None and s.has_min_max
-                        rows.append((path, g, col.path_in_schema, str(s.min) if known else None, str(s.max) if known else None, s.null_count if s is not None and s.has_null_count else None, group.num_rows, col.physical_type, geo.decode() if geo else None))
-                yield pa.RecordBatch.from_pylist([dict(zip(("path", "row_group", "column", "min", "max", "null_count", "rows", "type", "geo"), r)) for r in rows], schema=pa.schema([("path", pa.string()), ("row_group", pa.int64()), ("column", pa.string()), ("min", pa.string()), ("max", pa.string()), ("null_count", pa.int64()), ("rows", pa.int64()), ("type", pa.string()), ("geo", pa.string())]))
-
-    content = F.col("content") if "content" in files.columns else F.lit(None).cast("binary").alias("content")
-    return files.select("path", content).mapInArrow(run, "path string, row_group long, column string, min string, max string, null_count long, rows long, type string, geo string")
-
-
 def sink_hive_partitioned(df: DataFrame, root: str, cell: str, sort: list[str] | None = None) -> None:
     """Write with the cell as partition key, sorted within; Spark's commit protocol leaves nothing behind a failed job. Small
     cells share a task and a hot one is split over several (a rebalance), so it gets more than one file."""

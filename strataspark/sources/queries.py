@@ -9,6 +9,7 @@ from strataspark.plans.views import sql, view
 from strataspark.registry import register
 from strataspark.session import scratch, ship
 from strataspark.sources import files as S
+from strataspark.sources import footers
 from strataspark.sources import wkb
 
 
@@ -77,6 +78,27 @@ def scan_parquet_footers_q(spark: SparkSession, sf: str) -> DataFrame:
     return f.groupBy("column").agg(F.sum("rows").alias("rows"), F.min(F.col("min").cast("long")).cast("string").alias("lo"), F.max(F.col("max").cast("long")).cast("string").alias("hi"))
 
 
+_FLAT = {"l_orderkey": "l_orderkey", "l_returnflag": "l_returnflag", "l_linenumber": "l_linenumber", "half": "case when l_linenumber % 2 = 0 then l_partkey end", "l_tax": "l_tax", "shipped": "l_shipdate"}
+
+
+@register("column_statistics_footers", " union all ".join(f"""select '{c}' as "column", cast(min({e}) as varchar) as "min", cast(max({e}) as varchar) as "max", cast(count(*) - count({e}) as bigint) as null_count from lineitem""" for c, e in _FLAT.items()))
+def column_statistics_footers_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Of a table written here: its timestamps have no statistics in footers, so those chunks alone are read."""
+    path = scratch(spark, "measured")
+    view(spark, sf, "lineitem").select(*[F.expr(e).alias(c) for c, e in _FLAT.items()], F.array("l_tax").alias("nested")).write.parquet(path)
+    return footers.column_statistics(spark, path)
+
+
+@register("spread_sample_groups", sql("points", "select cast(least(100, count(*)) as bigint) as n, (select lon from points order by lon, id limit 1) as first_lon, (select id from points order by lon, id limit 1) as first_id, (select lon from points order by lon desc, id desc limit 1) as last_lon, (select id from points order by lon desc, id desc limit 1) as last_id from points"))
+def spread_sample_groups_q(spark: SparkSession, sf: str) -> DataFrame:
+    """100 rows of a table written in order of longitude, from few of its row groups: its first and its last row are in."""
+    path = scratch(spark, "in_order")
+    view(spark, sf, "points").select("id", "lon", "lat", "collection").repartitionByRange("lon", "id").sortWithinPartitions("lon", "id").write.option("parquet.block.size", 1 << 16).parquet(path)
+    s = footers.sample_row_groups(spark, path, 100, ["lon", "id"])
+    ends = s.agg(F.count("*").alias("n"), F.min(F.struct("lon", "id")).alias("a"), F.max(F.struct("lon", "id")).alias("b"))
+    return ends.select("n", F.col("a.lon").alias("first_lon"), F.col("a.id").alias("first_id"), F.col("b.lon").alias("last_lon"), F.col("b.id").alias("last_id"))
+
+
 @register("sink_hive_partitioned", sql("points", "select collection, cast(count(*) as bigint) as n from points group by collection"))
 def sink_hive_partitioned_q(spark: SparkSession, sf: str) -> DataFrame:
     root = scratch(spark, "cells")
