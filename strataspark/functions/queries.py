@@ -91,9 +91,15 @@ def best_description_q(spark: SparkSession, sf: str) -> DataFrame:
     return _parts(spark, sf).select("p_partkey", T.best_description(F.expr(_TITLE), F.expr(_NAME), F.col("p_name")).alias("description"))
 
 
-@register("sanitize_filename", "select p_partkey, replace(p_name, ' ', '-') || '-' || lower(p_type) || '.tif' as name, 'file-' || substr(sha256('***' || cast(p_partkey as varchar) || '.x/'), 1, 0) as odd from part")
+_ODD_NAME = """case p_partkey % 10 when 0 then concat('(', p_name, ') ', p_type, '!.TIF') when 1 then concat('Données ', p_brand, '.Shp') when 2 then concat('Plzeň_', p_name) when 3 then concat('日本語', '.shp') when 4 then concat('..', p_type, ' .tar.gz ')
+  when 5 then concat(p_type, '/../', p_name, '.CSV') when 6 then concat('a -. ', p_brand, '. -b.json') when 7 then concat('[', p_type, ']{', p_brand, '}') when 8 then concat('.', lower(p_type)) else concat(p_type, '--', p_brand, '.') end"""
+
+
+@register("sanitize_filename", f"""with t as (select p_partkey, regexp_replace({_ODD_NAME}, '[/\\\\]', '-', 'g') as n from part), s as (select p_partkey, n, regexp_replace(n, '^(.+)\\.[^.]+$', '\\1') as stem from t),
+x as (select p_partkey, stem, lower(regexp_replace(substr(n, length(stem) + 1), '\\s', '', 'g')) as ext, regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(stem)), '[^\\x00-\\x7F]', '', 'g'), '[\\s()\\[\\]{{}}]', '-', 'g'), '-+', '-', 'g') as y from s)
+select p_partkey, case when trim(y, '-.') = '' then 'file_' || substr(sha256(stem), 1, 6) else regexp_replace(regexp_replace(trim(y, '-.'), '-+\\.', '.', 'g'), '\\.-+', '.', 'g') end || ext as name from x""")
 def sanitize_filename_q(spark: SparkSession, sf: str) -> DataFrame:
-    return _parts(spark, sf).select("p_partkey", T.sanitize_filename(F.concat(F.lit("("), "p_name", F.lit(") "), "p_type", F.lit("!.TIF"))).alias("name"), F.substring(T.sanitize_filename(F.lit("***")), 1, 5).alias("odd"))
+    return _parts(spark, sf).select("p_partkey", T.sanitize_filename(F.expr(_ODD_NAME)).alias("name"))
 
 
 @register("filename_issues", sql("files", "select path, concat_ws(',', case when size_bytes % 4 = 0 then 'invalid_characters' end, case when size_bytes % 5 = 0 then 'reserved_name' end, case when size_bytes % 6 = 0 then 'zero_bytes' end, case when size_bytes % 7 = 0 then 'reserved_parent' end) as issues from files"))
@@ -177,21 +183,30 @@ def geo_metadata_fields_q(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("p_partkey", "primary_column", "crs", "geometry_type", F.col("bbox")[0].alias("west"))
 
 
-@register("parse_nodata", "select p_partkey, case p_partkey % 3 when 0 then cast(p_size as double) when 1 then p_retailprice end as nodata from part")
+_NODATA = """case p_partkey % 14 when 0 then concat(' ', cast(p_size as string), ' ') when 1 then cast(p_retailprice as string) when 2 then 'none' when 3 then 'nan' when 4 then 'inf' when 5 then concat('-', cast(p_size as string)) when 6 then concat(cast(p_size as string), 'e-2')
+  when 7 then '' when 8 then concat('+', cast(p_size as string), '.') when 9 then '-Infinity' when 10 then concat('.', cast(p_size as string)) when 11 then '1 2' when 12 then concat(cast(p_size as string), '0000000000000000000000') end"""
+
+
+@register("parse_nodata", """select p_partkey, case when p_partkey % 14 = 0 then p_size when p_partkey % 14 = 5 then -p_size end::bigint as integer,
+  case p_partkey % 14 when 1 then p_retailprice when 6 then cast(p_size || 'e-2' as double) when 8 then cast(p_size as double) when 10 then cast('0.' || p_size as double) when 12 then cast(p_size || '0000000000000000000000' as double) end as real from part""")
 def parse_nodata_q(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit(" "), F.col("p_size").cast("string"))).when(F.col("p_partkey") % 3 == 1, F.col("p_retailprice").cast("string")).otherwise("none")
-    return _parts(spark, sf).select("p_partkey", T.parse_nodata(t).alias("nodata"))
+    return _parts(spark, sf).select("p_partkey", T.parse_nodata(F.expr(_NODATA)).alias("n")).select("p_partkey", "n.integer", "n.real")
 
 
 def meaningful_keyword(k):
-    """Not slug-like, namespaced or code-like, and not a bare number."""
-    return ~k.rlike(r"^[a-z0-9]+([-_][a-z0-9]+)+$") & ~k.contains(":") & ~k.rlike(r"^[A-Z]{1,3}\d+$") & ~k.rlike(r"^\d+$") & (F.length(k) > 2)
+    """A term to find data by, not an identifier: no underscore, no colon, and not a short code (up to three letters, then up to four
+    digits, in eight characters at most)."""
+    t = F.trim(k)
+    code = (F.length(t) <= 8) & t.rlike(r"^[A-Za-z]{1,3}\d{1,4}[A-Za-z0-9]*$")
+    return F.coalesce((t != "") & ~t.contains("_") & ~t.contains(":") & ~code, F.lit(False))
 
 
-@register("meaningful_keyword", "select p_partkey, p_name || ',' || p_type as keywords from part")
+_WORDS = """array(p_name, replace(p_name, ' ', '_'), replace(p_name, ' ', '-'), concat('ns:', p_type), concat('AB', cast(p_size as string)), concat('covid', cast(p_size as string)), concat('x', cast(p_partkey as string), 'abcdefg'), cast(2000 + p_size as string), ' ', concat(' ', substring(p_type, 1, 2), ' '), concat('a', cast(p_partkey % 100000 as string)))"""
+
+
+@register("meaningful_keyword", f"""select p_partkey, array_to_string(list_filter({_WORDS.replace("array(", "list_value(")}, lambda k: trim(k) <> '' and not regexp_matches(trim(k), '[_:]') and not (length(trim(k)) <= 8 and regexp_full_match(trim(k), '[A-Za-z]{{1,3}}[0-9]{{1,4}}[A-Za-z0-9]*'))), ',') as keywords from part""")
 def meaningful_keyword_q(spark: SparkSession, sf: str) -> DataFrame:
-    ks = F.array("p_name", F.regexp_replace("p_name", " ", "-"), F.concat(F.lit("ns:"), "p_type"), F.lit("AB12"), F.col("p_size").cast("string"), "p_type")
-    return _parts(spark, sf).select("p_partkey", F.array_join(F.filter(ks, meaningful_keyword), ",").alias("keywords"))
+    return _parts(spark, sf).select("p_partkey", F.array_join(F.filter(F.expr(_WORDS), meaningful_keyword), ",").alias("keywords"))
 
 
 #: Phrases of servers' default descriptions, and titles that say nothing.
@@ -284,28 +299,125 @@ def derive_provenance_q(spark: SparkSession, sf: str) -> DataFrame:
     return _parts(spark, sf).select("p_partkey", derive_provenance(F.slice(providers, F.lit(1), F.when(k == 2, 3).otherwise(2))).alias("provenance"))
 
 
-def metadata_rules(c: dict):
-    """Array of errors over columns title, email, doi, orcid, url, date (missing required, or malformed)."""
-    bad = lambda col, p: col.isNotNull() & ~col.rlike(p)
-    return F.array_compact(F.array(
-        F.when(c["title"].isNull() | (F.trim(c["title"]) == ""), "title missing"), F.when(bad(c["email"], r"^[^@\s]+@[^@\s]+\.[^@\s]+$"), "email"), F.when(bad(c["doi"], r"^10\.\d{4,9}/\S+$"), "doi"),
-        F.when(bad(c["orcid"], r"^\d{4}-\d{4}-\d{4}-\d{3}[\dX]$"), "orcid"), F.when(bad(c["url"], r"^https?://\S+$"), "url"), F.when(bad(c["date"], r"^\d{4}-\d{2}-\d{2}$"), "date")))
+#: Patterns of addresses, identifiers, dates and links, and the roles a provider may have.
+EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
+DOI = r"^10\.\d{4,}/\S+$"
+ORCID = r"^\d{4}-\d{4}-\d{4}-\d{3}[\dX]$"
+ISO_DATE = r"^\d{4}-\d{2}-\d{2}$"
+LINK = r"""^https?://[^\s<>"{}|\\^`\[\]]+$"""
+ROLES = ("licensor", "producer", "processor", "host")
+
+METADATA = """contact struct<name: string, email: string>, license string, license_url string, providers array<struct<name: string, roles: array<string>, url: string, email: string>>, doi string,
+  defaults struct<year: bigint, start: string, end: string, nodata: array<double>>, authors array<struct<name: string, orcid: string, email: string>>, related_dois array<string>, citations array<string>, upstream_version_url string"""
+
+
+def metadata_rules(m, ids=LICENSES):
+    """Array of what is wrong with a record of the fields in METADATA (``m(name)`` gives a field's column), in their order.
+
+    Required: contact with name and email, license. Optional, checked where given: providers (names, roles, at most one host, which
+    has a link or an address), doi, defaults (year from 1800 to 2100 or a start, dates that exist, finite nodata), authors (names,
+    ORCIDs, addresses), related DOIs, citations, the upstream version's link. ``ids``: the accepted licences.
+    """
+    blank = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    bad = lambda c, p: ~blank(c) & ~c.rlike(p)
+    say = lambda i, what: F.concat(F.lit(what[0]), i.cast("string"), F.lit(what[1]))
+    some = lambda *whens: F.array_compact(F.array(*whens))
+    every = lambda c, f: F.coalesce(F.flatten(F.transform(c, f)), F.array().cast("array<string>"))
+
+    contact, email = m("contact"), m("contact")["email"]
+    none = contact.isNull()
+    first = some(
+        F.when(none, "contact missing"), F.when(~none & blank(contact["name"]), "contact.name empty"), F.when(~none & blank(email), "contact.email empty"), F.when((email != "") & ~email.rlike(EMAIL), "contact.email format"),
+        F.when(m("license").isNull(), "license missing").when(blank(m("license")), "license empty").otherwise(F.concat(F.lit("license "), license_gap(m("license"), F.nullif(m("license_url"), F.lit("")), ids))))
+
+    def provider(p, i):
+        unknown = F.transform(F.filter(F.coalesce(p["roles"], F.array().cast("array<string>")), lambda r: ~F.coalesce(r.isin(*ROLES), F.lit(False))), lambda r: F.concat(say(i, ("providers[", "].roles ")), F.coalesce(r, F.lit("null"))))
+        return F.concat(some(F.when(p.isNull(), say(i, ("providers[", "] no mapping"))).when(p["name"].isNull(), say(i, ("providers[", "].name missing"))).when(blank(p["name"]), say(i, ("providers[", "].name empty")))), unknown)
+
+    is_host = lambda p: F.coalesce(F.array_contains(p["roles"], "host"), F.lit(False))
+    hosts = F.coalesce(F.size(F.filter(m("providers"), is_host)), F.lit(0))
+    reach = lambda p, i: some(F.when(is_host(p) & blank(p["url"]) & blank(p["email"]), say(i, ("providers[", "] unreachable host"))), F.when(is_host(p) & bad(p["email"], EMAIL), say(i, ("providers[", "].email format"))))
+
+    d = m("defaults")
+    day = lambda f: F.when(d[f].isNotNull() & ~d[f].rlike(ISO_DATE), f"defaults.{f} format").when(d[f].isNotNull() & F.try_to_date(d[f], "yyyy-MM-dd").isNull(), f"defaults.{f} no date")
+    finite = lambda x, i: some(F.when(F.isnan(x) | (F.abs(x) == float("inf")), say(i, ("defaults.nodata[", "] not finite"))))
+    rest = some(F.when(bad(m("doi"), DOI), "doi format"))
+    defaults = some(F.when((d["year"] < 1800) | (d["year"] > 2100), "defaults.year range"), day("start"), day("end"), F.when(d["year"].isNotNull() & d["start"].isNotNull(), "defaults.year and start"), F.when(F.size(d["nodata"]) == 0, "defaults.nodata empty"))
+    author = lambda a, i: some(
+        F.when(a.isNull(), say(i, ("authors[", "] none"))).when(a["name"].isNull(), say(i, ("authors[", "].name missing"))).when(blank(a["name"]), say(i, ("authors[", "].name empty"))),
+        F.when(bad(a["orcid"], ORCID), say(i, ("authors[", "].orcid format"))), F.when(bad(a["email"], EMAIL), say(i, ("authors[", "].email format"))))
+    listed = lambda f, p: lambda x, i: some(F.when(x.isNull(), say(i, (f"{f}[", "] no text"))).when(F.trim(x) == "", say(i, (f"{f}[", "] empty"))).when(bad(x, p), say(i, (f"{f}[", "] format"))))
+    link = m("upstream_version_url")
+    last = some(F.when(F.trim(link) == "", "upstream_version_url empty").when(bad(link, LINK), "upstream_version_url format"))
+    return F.concat(
+        first, every(m("providers"), provider), some(F.when(hosts > 1, "providers several hosts")), every(m("providers"), reach), rest, defaults, every(d["nodata"], finite),
+        every(m("authors"), author), every(m("related_dois"), listed("related_dois", DOI)), every(m("citations"), listed("citations", "(?s).*")), last)
+
+
+_RECORD = """to_json(named_struct(
+  'contact', case when p_partkey % 11 = 0 then null else named_struct('name', case when p_partkey % 7 = 0 then ' ' else p_name end, 'email', case p_partkey % 5 when 0 then 'a@b' when 1 then '' else 'a@b.org' end) end,
+  'license', case p_partkey % 4 when 0 then 'CC-BY-4.0' when 1 then null when 2 then 'other' else 'mit' end, 'license_url', case when p_partkey % 8 = 2 then 'https://x.org' end,
+  'providers', case p_partkey % 6 when 0 then array(named_struct('name', p_name, 'roles', array('host', 'maker'), 'url', '', 'email', null)) when 1 then array(named_struct('name', '', 'roles', array('host'), 'url', 'https://x.org', 'email', 'no'), named_struct('name', 'b', 'roles', array('host', 'producer'), 'url', null, 'email', 'b@b.org')) end,
+  'doi', case p_partkey % 3 when 0 then '10.1234/x y' when 1 then '10.5281/z.1' end,
+  'defaults', case p_partkey % 9 when 0 then named_struct('year', 1700, 'start', '2024-01-02', 'end', '2024-02-30', 'nodata', array()) when 1 then named_struct('year', null, 'start', '2024', 'end', '2024-12-31', 'nodata', array(0.0, 'NaN')) end,
+  'authors', case when p_partkey % 10 = 3 then array(named_struct('name', null, 'orcid', '0000-0002-1825-0097', 'email', 'x'), named_struct('name', ' ', 'orcid', '0000', 'email', ' ')) end,
+  'related_dois', case when p_partkey % 10 = 4 then array('10.1/x', '', '10.1234/ok') end, 'citations', case when p_partkey % 10 = 5 then array('c', ' ') end,
+  'upstream_version_url', case p_partkey % 12 when 0 then ' ' when 1 then 'ftp://x' when 2 then 'https://x.org/v1' end))"""
+
+
+def _metadata_sql() -> str:
+    """The oracle: the rules applied to the same cases, one condition a line, joined in their order."""
+    k = "p_partkey"
+    rows = [
+        (f"{k} % 11 = 0", "contact missing"), (f"{k} % 11 <> 0 and {k} % 7 = 0", "contact.name empty"), (f"{k} % 11 <> 0 and {k} % 5 = 1", "contact.email empty"), (f"{k} % 11 <> 0 and {k} % 5 = 0", "contact.email format"),
+        (f"{k} % 4 = 1", "license missing"), (f"{k} % 4 = 2 and {k} % 8 <> 2", "license needs_url"), (f"{k} % 4 = 3", "license misspelled"),
+        (f"{k} % 6 = 1", "providers[0].name empty"), (f"{k} % 6 = 0", "providers[0].roles maker"), (f"{k} % 6 = 1", "providers several hosts"), (f"{k} % 6 = 0", "providers[0] unreachable host"), (f"{k} % 6 = 1", "providers[0].email format"),
+        (f"{k} % 3 = 0", "doi format"), (f"{k} % 9 = 0", "defaults.year range"), (f"{k} % 9 = 1", "defaults.start format"), (f"{k} % 9 = 0", "defaults.end no date"), (f"{k} % 9 = 0", "defaults.year and start"), (f"{k} % 9 = 0", "defaults.nodata empty"), (f"{k} % 9 = 1", "defaults.nodata[1] not finite"),
+        (f"{k} % 10 = 3", "authors[0].name missing"), (f"{k} % 10 = 3", "authors[0].email format"), (f"{k} % 10 = 3", "authors[1].name empty"), (f"{k} % 10 = 3", "authors[1].orcid format"),
+        (f"{k} % 10 = 4", "related_dois[0] format"), (f"{k} % 10 = 4", "related_dois[1] empty"), (f"{k} % 10 = 5", "citations[1] empty"), (f"{k} % 12 = 0", "upstream_version_url empty"), (f"{k} % 12 = 1", "upstream_version_url format"),
+    ]
+    return "select p_partkey, concat_ws(', ', " + ", ".join(f"case when {c} then '{t}' end" for c, t in rows) + ") as errors from part"
+
+
+@register("metadata_rules", _metadata_sql())
+def metadata_rules_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Records written as JSON text and read with their schema, as files of records are."""
+    record = F.from_json(F.expr(_RECORD.replace("array(0.0, 'NaN')", "array(0.0D, double('NaN'))").replace("'nodata', array())", "'nodata', cast(array() as array<double>))")), METADATA)
+    rows = _parts(spark, sf).select("p_partkey", record.alias("m"))
+    return rows.select("p_partkey", F.array_join(metadata_rules(lambda f: F.col("m")[f]), ", ").alias("errors"))
 
 
-@register("metadata_rules", "select p_partkey, concat_ws(',', case when p_partkey % 2 = 0 then 'title missing' end, case when p_partkey % 3 = 0 then 'email' end, case when p_partkey % 5 = 0 then 'doi' end, case when p_partkey % 7 = 0 then 'orcid' end, case when p_partkey % 11 = 0 then 'url' end, case when p_partkey % 13 = 0 then 'date' end) as errors from part")
-def metadata_rules_q(spark: SparkSession, sf: str) -> DataFrame:
-    pick = lambda m, bad, good: F.when(F.col("p_partkey") % m == 0, F.lit(bad)).otherwise(F.lit(good))
-    c = {"title": F.when(F.col("p_partkey") % 2 == 1, F.col("p_name")), "email": pick(3, "a@b", "a@b.org"), "doi": pick(5, "11.1/x", "10.1234/x"), "orcid": pick(7, "0000", "0000-0002-1825-009X"), "url": pick(11, "ftp:x", "https://x.org"), "date": pick(13, "2024", "2024-01-02")}
-    return _parts(spark, sf).select("p_partkey", F.array_join(metadata_rules(c), ",").alias("errors"))
+def safe_path(c, base: str):
+    """'traversal' where a path, resolved against an absolute folder (or from the root), lies outside it; null if it is fine."""
+    inside = lambda p: F.concat(F.lit("/"), T.resolve_href(F.lit(""), p))
+    root = "/" + base.strip("/")
+    full = inside(F.when(c.startswith("/"), c).otherwise(F.concat(F.lit(root + "/"), c)))
+    return F.when(~((full == root) | full.startswith(root.rstrip("/") + "/")), "traversal")
+
+
+def item_id_problem(c):
+    """Why an item id is refused: empty, control, query, encoded, separator; null if it is fine."""
+    return (
+        F.when(F.coalesce(c, F.lit("")) == "", "empty").when(c.rlike(r"[\x00-\x1f]"), "control").when(c.rlike("[?#]"), "query").when(c.contains("%"), "encoded").when(c.contains("..") | c.rlike(r"[/\\]"), "separator")
+    )
+
+
+def remote_url_problem(c):
+    """Why a remote URL is refused: empty, scheme, host, traversal, control; null if it is fine."""
+    scheme, rest = F.lower(F.regexp_extract(c, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), F.regexp_replace(c, r"^[A-Za-z][A-Za-z0-9+.-]*:", "")
+    host = F.regexp_extract(rest, r"^//([^/?#]*)", 1)
+    path = F.regexp_replace(F.regexp_replace(rest, "^//[^/?#]*", ""), "(?s)[?#].*$", "")
+    return (
+        F.when(F.coalesce(c, F.lit("")) == "", "empty").when(~scheme.isin("s3", "gs", "az", "http", "https"), "scheme").when(host == "", "host").when(path.contains(".."), "traversal").when(c.rlike(r"[\x00-\x1f]"), "control")
+    )
 
 
-def safe_path(c):
-    """Why a path is unsafe: traversal, control characters, absolute, backslash; null if it is fine."""
-    return F.when(c.rlike(r"(^|/)\.\.(/|$)"), "traversal").when(c.rlike(r"[\x00-\x1f\x7f]"), "control").when(c.startswith("/"), "absolute").when(c.contains("\\"), "backslash")
+_PATHS = """case p_partkey % 8 when 0 then concat('a/../', p_brand) when 1 then concat('../', p_brand) when 2 then concat('/data/base/', p_brand) when 3 then concat('/data/basement/', p_brand) when 4 then concat('../base/', p_brand) when 5 then concat('a/../../', p_brand, '/x') when 6 then 'x/..' else p_name end"""
+_ITEMS = """case p_partkey % 8 when 0 then '' when 1 then concat(p_type, chr(9)) when 2 then concat(p_type, '?a=1') when 3 then concat('%2e', p_type) when 4 then concat(p_type, '/x') when 5 then concat('v1..', p_type) when 6 then concat(p_type, '.v1 2024') end"""
+_URLS = """case p_partkey % 9 when 0 then '' when 1 then concat('s3://', p_type, '/a') when 2 then concat('ftp://', p_type) when 3 then 'https:///x' when 4 then concat('gs://', p_type, '/../a') when 5 then concat('HTTPS://x.org/', p_type, '?a=..#b') when 6 then concat('az://c/', chr(10), p_type) when 7 then p_name end"""
 
 
-@register("safe_path", "select p_partkey, case p_partkey % 4 when 0 then 'traversal' when 1 then 'control' when 2 then 'absolute' end as problem from part")
+@register("safe_path", """select p_partkey, case when p_partkey % 8 in (1, 3, 5) then 'traversal' end as path, case p_partkey % 8 when 0 then 'empty' when 1 then 'control' when 2 then 'query' when 3 then 'encoded' when 4 then 'separator' when 5 then 'separator' when 7 then 'empty' end as item,
+  case p_partkey % 9 when 0 then 'empty' when 2 then 'scheme' when 3 then 'host' when 4 then 'traversal' when 6 then 'control' when 7 then 'scheme' when 8 then 'empty' end as url from part""")
 def safe_path_q(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.col("p_partkey") % 4
-    p = F.concat(F.when(k == 0, "a/../").when(k == 1, "a\t/").when(k == 2, "/a/").otherwise("a/"), "p_name")
-    return _parts(spark, sf).select("p_partkey", safe_path(p).alias("problem"))
+    return _parts(spark, sf).select("p_partkey", safe_path(F.expr(_PATHS), "/data/base").alias("path"), item_id_problem(F.expr(_ITEMS)).alias("item"), remote_url_problem(F.expr(_URLS)).alias("url"))

@@ -102,11 +102,22 @@ def best_description(title: Column, abstract: Column, name: Column) -> Column:
     )
 
 
+def stem(name: Column) -> Column:
+    """A file name without its last suffix; a name that only begins or ends with a dot has none."""
+    return F.regexp_replace(name, r"^(.+)\.[^.]+$", "$1")
+
+
 def sanitize_filename(c: Column) -> Column:
-    """Lower case with dashes, a clean suffix kept; a hash where nothing is left."""
-    stem, ext = F.regexp_replace(c, r"\.[^.]*$", ""), F.lower(F.regexp_extract(c, r"(\.[A-Za-z0-9]+)$", 1))
-    x = F.regexp_replace(F.regexp_replace(F.lower(stem), "[^a-z0-9_-]+", "-"), "^-+|-+$", "")
-    return F.concat(F.when(x == "", F.concat(F.lit("file-"), short_hash(c))).otherwise(x), ext)
+    """A safe file name: lower case ASCII (marks decomposed, other characters dropped), with dashes for white space, brackets, control
+    characters and path separators, never several in a row, at an end or beside a dot; the suffix in lower case, without white
+    space. A stem of which nothing is left becomes ``file_`` and a hash."""
+    safe = F.regexp_replace(c, r"[/\\]", "-")
+    s = stem(safe)
+    x = F.regexp_replace(F.lower(ascii_fold(s)), r"[\s()\[\]{}\x00-\x1f\x7f]", "-")
+    for pattern, to in (("-+", "-"), (r"^[-.]+|[-.]+$", ""), (r"-+\.", "."), (r"\.-+", ".")):
+        x = F.regexp_replace(x, pattern, to)
+    ext = F.regexp_replace(F.lower(F.substr(safe, F.length(s) + 1)), r"[\s\x00-\x1f\x7f]", "")
+    return F.concat(F.when(x == "", F.concat(F.lit("file_"), short_hash(s))).otherwise(x), ext)
 
 
 #: Device names that some file systems reserve.
@@ -232,16 +243,42 @@ def crs_to_epsg(crs: Column) -> Column:
 
 
 def parse_nodata(c: Column) -> Column:
-    """Text to a number, null for empty, none, nan-free text that is no number."""
-    return F.trim(c).try_cast("double")
+    """A number in text as (integer, real), one of them set: without point and exponent an integer (beyond 64 bits a real), else a
+    real. Both null where the text is no number: nothing, words, "nan" and "inf" too."""
+    t = F.trim(F.regexp_replace(c, r"^\s+|\s+$", ""))
+    whole, number = t.rlike(r"^[+-]?\d+$"), t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    integer = F.when(whole, F.regexp_replace(t, r"^\+", "").try_cast("long"))
+    return F.struct(integer.alias("integer"), F.when(number & integer.isNull(), t.try_cast("double")).alias("real"))
+
+
+def _glob_class(items: str) -> str:
+    """A regex class of what stands between a glob's brackets; ranges that run backwards hold nothing."""
+    no, out, i = items.startswith("!"), "", 0
+    items = items[no:]
+    quote = lambda ch: "\\" + ch if ch in "\\[]^&-~" else ch
+    while i < len(items):
+        if i + 2 < len(items) and items[i + 1] == "-":
+            if items[i] <= items[i + 2]:
+                out += f"{quote(items[i])}-{quote(items[i + 2])}"
+            i += 3
+        else:
+            out += quote(items[i])
+            i += 1
+    return (f"[{'^' * no}{out}]") if out else ("." if no else "(?!)")
 
 
 def glob_to_regex(glob: str) -> str:
-    """An anchored regex of a glob, made at plan time: * and ? within and across segments, [..] as classes."""
-    out = ""
-    for ch in glob:
-        out += {"*": ".*", "?": ".", "[": "[", "]": "]"}.get(ch, re.escape(ch))
-    return f"^{out}$"
+    """An anchored regex of a glob, made at plan time: * and ? within and across segments, [..] as classes ([!..] for all others);
+    a bracket that is never closed stands for itself."""
+    out, i = "", 0
+    while i < len(glob):
+        ch, i = glob[i], i + 1
+        end = glob.find("]", i + 1 + glob.startswith("!", i)) if ch == "[" else -1
+        if end > 0:
+            out, i = out + _glob_class(glob[i:end]), end + 1
+        else:
+            out += {"*": ".*", "?": "."}.get(ch, re.escape(ch))
+    return f"(?s)^{out}\\z"
 
 
 def any_glob(c: Column, globs: list[str], case: bool = True) -> Column:

@@ -51,22 +51,6 @@ def uncommitted_changes_q(spark: SparkSession, sf: str) -> DataFrame:
     return uncommitted_changes(_files(spark, sf), _stored(spark, sf))
 
 
-def is_current(files: DataFrame, by_path: DataFrame, by_name: DataFrame, tolerance: float = 2.0) -> DataFrame:
-    """Is a file unchanged: its stored state is found by path, else by bare name; mtime within 2 s, else the same size."""
-    p = by_path.select("path", F.struct("size_bytes", "mtime").alias("_p"))
-    n = by_name.select("name", F.struct("size_bytes", "mtime").alias("_n"))
-    s = F.coalesce("_p", "_n")
-    ok = (F.abs(F.col("mtime") - s["mtime"]) <= tolerance) | (F.col("size_bytes") == s["size_bytes"])
-    return files.join(p, "path", "left").join(n, "name", "left").select("path", F.coalesce(ok, F.lit(False)).alias("current"))
-
-
-@register("is_current", sql("stored", """, n as (select name, max(size_bytes) as size_bytes, max(mtime) as mtime from stored group by name)
-  select f.path, coalesce(abs(f.mtime - case when s.path is not null then s.mtime else n.mtime end) <= 2 or f.size_bytes = case when s.path is not null then s.size_bytes else n.size_bytes end, false) as current from files f left join stored s on s.path = f.path left join n on n.name = f.name"""))
-def is_current_q(spark: SparkSession, sf: str) -> DataFrame:
-    s = _stored(spark, sf)
-    return is_current(_files(spark, sf), s, s.groupBy("name").agg(F.max("size_bytes").alias("size_bytes"), F.max("mtime").alias("mtime")))
-
-
 def freshness_status(current: DataFrame, stored: DataFrame) -> DataFrame:
     """missing, breaking, stale or fresh per file, with the sorted changes. Both sides: path, mtime, bbox, feature_count,
     schema_fingerprint. Only a changed mtime leads to a comparison of the rest."""
@@ -264,30 +248,75 @@ def media_type_q(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def structure_checklist(files: DataFrame) -> DataFrame:
-    """Pass or fail rows: no files at the root, one primary a directory, no mixed structure, ids valid."""
-    one = files.groupBy("dir").agg(F.count_if(F.col("ext").isin(*PRIMARY)).alias("primaries"), F.bool_or(F.col("dir") == "").alias("root"), F.bool_and(T.collection_id_problem(F.col("dir")).isNull()).alias("valid"))
-    flags = one.join(mixed_structure(files).withColumn("mixed", F.lit(True)), "dir", "left").agg(F.count_if("root").alias("root_assets"), F.count_if(F.col("primaries") > 1).alias("several_primaries"), F.count_if("mixed").alias("mixed_structure"), F.count_if(~F.col("valid")).alias("invalid_ids"))
-    names = ("root_assets", "several_primaries", "mixed_structure", "invalid_ids")
-    return flags.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), F.col(n).alias("failures"), (F.col(n) == 0).alias("passed")) for n in names])).alias("r")).select("r.*")
+    """Rules of a tree (rule, failures, passed) from its listing, where files at the root have dir ''.
+
+    root_catalog and root_readme always pass (they are generated; ``failures`` tells that one lacks); no geo-asset at the root; one
+    a directory; no directory with files both in it and below; names that are, hold, or are part of their directory's name, which
+    passes while at most half of the geo-assets differ; ids that are valid.
+    """
+    asset = F.col("ext").isin(*PRIMARY)
+    parent, stem = F.lower(F.regexp_replace("dir", "^.*/", "")), F.lower(T.stem(F.col("name")))
+    named = stem.contains(parent) | parent.contains(stem)
+    at_root = F.col("dir") == ""
+    per = files.groupBy("dir").agg(F.count_if(asset).alias("assets"), F.count_if(asset & ~at_root & ~named).alias("misnamed"), F.count_if(at_root & (F.col("name") == "catalog.json")).alias("catalog"), F.count_if(at_root & (F.col("name") == "README.md")).alias("readme"))
+    valid = T.collection_id_problem(F.col("dir")).isNull() | at_root
+    mixed = mixed_structure(files.where(asset & ~at_root)).withColumn("mixed", F.lit(True))
+    s = per.join(mixed, "dir", "left").agg(
+        F.sum("catalog").alias("catalog"), F.sum("readme").alias("readme"), F.sum(F.when(at_root, F.col("assets"))).alias("root"), F.count_if(~at_root & (F.col("assets") > 1)).alias("several"),
+        F.count_if("mixed").alias("mixed"), F.sum("misnamed").alias("misnamed"), F.sum("assets").alias("all"), F.count_if(~valid).alias("invalid"))
+    count = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    lacks = lambda c: F.when(count(c) > 0, 0).otherwise(1).cast("long")
+    rules = [("root_catalog", lacks("catalog"), F.lit(True)), ("root_readme", lacks("readme"), F.lit(True)), ("no_root_geo_assets", count("root"), None), ("single_geo_asset_per_dir", count("several"), None), ("no_mixed_structure", count("mixed"), None),
+             ("geo_asset_naming", count("misnamed"), count("misnamed") <= F.expr("coalesce(all, 0) div 2")), ("valid_ids", count("invalid"), None)]
+    return s.select(F.explode(F.array(*[F.struct(F.lit(n).alias("rule"), c.alias("failures"), (c == 0 if ok is None else ok).alias("passed")) for n, c, ok in rules])).alias("r")).select("r.*")
+
+
+_ROOTED = """select case when size_bytes % 40 = 0 then name else path end as path, case when size_bytes % 40 = 0 then '' when size_bytes % 41 = 0 then concat(dir, '/', stem) when size_bytes % 43 = 0 then concat('Bad ', dir) else dir end as dir, name, stem, ext, collection from {files}
+  union all select distinct 'catalog.json', '', 'catalog.json', 'catalog', 'json', collection from {files} where collection = 'c1'"""
+
+
+@register("structure_checklist", sql("files", f""", r as ({_ROOTED.replace("{files}", "files")}), a as (select *, lower(regexp_replace(dir, '^.*/', '')) as p, lower(stem) as s from r where ext in {_P}), d as (select dir, count(*) as n from a group by dir),
+  f as (select (select case when count(*) > 0 then 0 else 1 end from r where dir = '' and name = 'catalog.json') as c, (select case when count(*) > 0 then 0 else 1 end from r where dir = '' and name = 'README.md') as m, (select count(*) from a where dir = '') as o, (select count(*) from d where dir <> '' and n > 1) as v,
+    (select count(*) from d where dir <> '' and exists (select 1 from d b where b.dir like d.dir || '/%')) as x, (select count(*) from a where dir <> '' and not contains(s, p) and not contains(p, s)) as g, (select count(*) from a) as n,
+    (select count(distinct dir) from r where dir <> '' and not regexp_full_match(dir, '[a-z0-9][a-z0-9_-]*(/[a-z0-9][a-z0-9_-]*)*')) as i)
+  select unnest(['root_catalog', 'root_readme', 'no_root_geo_assets', 'single_geo_asset_per_dir', 'no_mixed_structure', 'geo_asset_naming', 'valid_ids']) as rule, unnest([c, m, o, v, x, g, i])::bigint as failures, unnest([true, true, o = 0, v = 0, x = 0, g <= n // 2, i = 0]) as passed from f"""))
+def structure_checklist_q(spark: SparkSession, sf: str) -> DataFrame:
+    return structure_checklist(spark.sql(_ROOTED, files=_files(spark, sf)))
 
 
-@register("structure_checklist", sql("files", f""", d as (select dir, count(case when ext in {_P} then 1 end) as p from files group by dir), m as (select cast(count(*) as bigint) as n from d a where exists (select 1 from d b where b.dir like a.dir || '/%')),
-  s as (select cast(count(case when p > 1 then 1 end) as bigint) as n from d) select 'root_assets' as rule, cast(0 as bigint) as failures, true as passed union all select 'several_primaries', n, n = 0 from s union all select 'mixed_structure', n, n = 0 from m union all select 'invalid_ids', 0, true"""))
-def structure_checklist_q(spark: SparkSession, sf: str) -> DataFrame:
-    return structure_checklist(_files(spark, sf))
+#: Extensions by what they hold; other geo-assets are of neither kind.
+VECTOR, RASTER = ("parquet", "geojson", "shp", "gpkg", "fgb"), ("tif", "tiff", "jp2")
+
 
+def structure_pattern(files: DataFrame, by: list[str], collection: str | None = None) -> DataFrame:
+    """Per group of a listing (columns ``by``, path, ext) the kind of tree, its collections and whether one is nested.
 
-def structure_pattern(files: DataFrame, by: list[str]) -> DataFrame:
-    """The kind of tree: empty, flat, raster or vector or mixed items, by format flags, directories and mean depth."""
-    raster, vector = F.col("ext").isin("tif", "tiff", "jp2"), F.col("ext").isin("parquet", "geojson", "shp", "gpkg")
-    a = files.groupBy(*by).agg(F.count("*").alias("n"), F.countDistinct("dir").alias("dirs"), F.bool_or(raster).alias("raster"), F.bool_or(vector).alias("vector"), F.avg(F.size(F.split("path", "/"))).alias("depth"))
-    kind = F.when(~F.col("raster") & ~F.col("vector"), "empty").when((F.col("dirs") == 1) & (F.col("depth") <= 2), "flat").when(F.col("raster") & F.col("vector"), "mixed").when(F.col("raster"), "raster_items").otherwise("vector_items")
-    return a.select(*by, kind.alias("pattern"), "dirs")
+    empty: no geo-asset; flat: no collection; raster_items or raster_collection (rasters alone, in paths of two directories or more
+    on average, or less); vector_collection; mixed; else single_collection or multiple_collections. ``collection`` names a column
+    with a file's collection, which is else its directory.
+    """
+    own = F.nullif(F.col(collection) if collection else T.infer_collection_id(F.col("path")), F.lit(""))
+    ready = F.col("ext").isin(*VECTOR, *RASTER, *PRIMARY, "pmtiles")
+    depth = F.size(F.split("path", "/")) - 1
+    rows = files.select(*by, ready.alias("ready"), F.when(ready, own).alias("own"), F.col("ext").isin(*VECTOR).alias("v"), F.col("ext").isin(*RASTER).alias("r"), F.when(ready, depth).alias("depth"))
+    a = rows.groupBy(*by).agg(F.bool_or("ready").alias("ready"), F.countDistinct("own").alias("collections"), F.bool_or("v").alias("v"), F.bool_or("r").alias("r"), F.avg("depth").alias("depth"), F.coalesce(F.bool_or(F.col("own").contains("/")), F.lit(False)).alias("nested"))
+    kind = (
+        F.when(~F.col("ready"), "empty").when(F.col("collections") == 0, "flat").when(F.col("r") & ~F.col("v"), F.when(F.col("depth") >= 2, "raster_items").otherwise("raster_collection")).when(F.col("v") & ~F.col("r"), "vector_collection")
+        .when(F.col("v"), "mixed").when(F.col("collections") == 1, "single_collection").otherwise("multiple_collections")
+    )
+    return a.select(*by, kind.alias("pattern"), "collections", "nested")
 
 
-@register("structure_pattern", sql("files", "select collection, case when not bool_or(ext = 'tif') and not bool_or(ext in ('parquet', 'geojson', 'shp')) then 'empty' when count(distinct dir) = 1 and avg(len(string_split(path, '/'))) <= 2 then 'flat' when bool_or(ext = 'tif') and bool_or(ext in ('parquet', 'geojson', 'shp')) then 'mixed' when bool_or(ext = 'tif') then 'raster_items' else 'vector_items' end as pattern, cast(count(distinct dir) as bigint) as dirs from files group by collection"))
+_TREES = """select cast(user_id % 10 as bigint) as tree, path, regexp_replace(path, '^.*[.]', '') as ext from (select user_id, case user_id % 10
+  when 0 then concat('a', cast(event_id % 3 as string), '.parquet') when 1 then concat('sat/s', cast(event_id % 4 as string), '/b.tif') when 2 then concat('dem/', event_type, '.tif') when 3 then concat('roads/', event_type, '.parquet') when 4 then concat('x/', event_type, case when event_id % 2 = 0 then '.tif' else '.shp' end)
+  when 5 then concat('t/', event_type, '.csv') when 6 then concat('t', cast(event_id % 3 as string), '/y.csv') when 7 then concat('d/', event_type, '.txt') when 8 then concat('a/b/', event_type, case when event_id % 2 = 0 then '.txt' else '.pmtiles' end) else concat('h/year=', cast(event_id % 5 as string), '/', event_type, '.parquet') end as path from {events}) e group by 1, 2, 3"""
+
+
+@register("structure_pattern", "with t as (" + _TREES.replace("{events}", "events") + """), f as (select *, ext not in ('txt') as ready, ext in ('parquet', 'shp') as v, ext = 'tif' as r, nullif(array_to_string(list_filter(string_split(path, '/')[1:-2], lambda s: not contains(s, '=')), '/'), '') as own from t),
+  g as (select tree, bool_or(ready) as ready, count(distinct case when ready then own end) as collections, bool_or(v) as v, bool_or(r) as r, avg(case when ready then len(string_split(path, '/')) - 1 end) as depth, coalesce(bool_or(case when ready then contains(own, '/') end), false) as nested from f group by tree)
+  select tree, case when not ready then 'empty' when collections = 0 then 'flat' when r and not v then case when depth >= 2 then 'raster_items' else 'raster_collection' end when v and not r then 'vector_collection' when v then 'mixed' when collections = 1 then 'single_collection' else 'multiple_collections' end as pattern, cast(collections as bigint) as collections, nested from g""")
 def structure_pattern_q(spark: SparkSession, sf: str) -> DataFrame:
-    return structure_pattern(_files(spark, sf), ["collection"])
+    return structure_pattern(spark.sql(_TREES, events=view(spark, sf, "events")), ["tree"])
 
 
 def catalog_totals(status: DataFrame, by: tuple[str, ...] = ("collection",)) -> DataFrame:
@@ -387,9 +416,9 @@ def resume_filter(work: DataFrame, report: DataFrame, key: list[str]) -> DataFra
     return work.where("coalesce(name, '') <> ''").join(report.where("status in ('success', 'skipped')"), key, "left_anti")
 
 
-@register("glob_filter", sql("files", "select path from files where (regexp_matches(lower(name), '^view_.*$') or regexp_matches(lower(name), '^.*[.]csv$')) and not regexp_matches(lower(name), '^.*_1.[.].*$')"))
+@register("glob_filter", sql("files", "select path from files where (regexp_matches(lower(name), '^view_.*$') or regexp_matches(lower(name), '^.*[.]csv$') or regexp_matches(lower(name), '^.*_[5-7][.][^a-m].*$')) and not regexp_matches(lower(name), '^.*_1[!0-4][.].*$')"))
 def glob_filter_q(spark: SparkSession, sf: str) -> DataFrame:
-    return glob_filter(_files(spark, sf), "name", ["VIEW_*", "*.csv"], ["*_1?.*"], case=False).select("path")
+    return glob_filter(_files(spark, sf), "name", ["VIEW_*", "*.csv", "*_[5-7].[!a-m]*"], ["*_1[0-4!].*"], case=False).select("path")
 
 
 def glob_filter(df: DataFrame, col: str, include: list[str] | None, exclude: list[str] | None, case: bool = True) -> DataFrame:
@@ -450,17 +479,6 @@ def preview_limit(df: DataFrame, by: list[str], name: str, k: int = 5) -> DataFr
     return top.select(*by, F.concat(F.array_join(F.sort_array("x"), ", "), more).alias("preview"))
 
 
-def infer_collections(files: DataFrame) -> DataFrame:
-    """File groups by numeric suffix: the base, its members and a confidence of 0.5 + 0.1 a member, at most 0.8."""
-    base = F.regexp_extract("stem", r"^(.*?)[_-]?\d+$", 1)
-    return files.withColumn("base", base).where("base <> ''").groupBy("dir", "base").agg(F.countDistinct("stem").alias("members")).where("members >= 2").select("dir", "base", "members", F.round(F.least(F.lit(0.8), 0.5 + 0.1 * F.col("members")), 6).alias("confidence"))
-
-
-@register("infer_collections", sql("files", "select dir, base, cast(count(distinct stem) as bigint) as members, round(least(0.8e0, 0.5e0 + 0.1e0 * count(distinct stem)), 6) as confidence from (select *, regexp_extract(stem, '^(.*?)[_-]?[0-9]+$', 1) as base from files) f where base <> '' group by dir, base having count(distinct stem) >= 2"))
-def infer_collections_q(spark: SparkSession, sf: str) -> DataFrame:
-    return infer_collections(_files(spark, sf))
-
-
 @register("distinct_links", sql("stored", "select collection, name, min(path) as path from files group by collection, name"))
 def distinct_links_q(spark: SparkSession, sf: str) -> DataFrame:
     return distinct_links(_files(spark, sf), ["collection", "name"], "path")

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from strataspark.functions.text import parse_nodata
 from strataspark.operators.schemas import drop_derived
 from strataspark.operators.versions import merge_assets
 from strataspark.sources.footers import scan_parquet_footers  # noqa: F401
@@ -158,7 +159,8 @@ def import_schema(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame
     if missing:
         raise ValueError(f"missing columns: {', '.join(missing)}")
     text = lambda c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) if c in raw.columns else F.lit(None).cast("string")
-    return raw.select(text("name").alias("name"), text("dtype").alias("dtype"), F.coalesce(text("nullable").try_cast("boolean"), F.lit(True)).alias("nullable"), text("nodata").try_cast("double").alias("nodata"), text("description").alias("description"))
+    nodata = parse_nodata(text("nodata"))
+    return raw.select(text("name").alias("name"), text("dtype").alias("dtype"), F.coalesce(text("nullable").try_cast("boolean"), F.lit(True)).alias("nullable"), F.coalesce(nodata["integer"].cast("double"), nodata["real"]).alias("nodata"), text("description").alias("description"))
 
 
 def split_layers(df: DataFrame, layer: str, root: str) -> DataFrame:
