@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strataspark.plans.views import sql, view
 from strataspark.registry import register
+from strataspark.session import scratch
 
 NESTED = ("array", "map", "struct", "binary", "variant")
 
@@ -43,11 +45,55 @@ def band_statistics_q(spark: SparkSession, sf: str) -> DataFrame:
     return band_statistics(view(spark, sf, "pixels").select("band", F.round("value", 1).alias("value")), ["band"], nodata=0.1)
 
 
-def percentile_stretch(pixels: DataFrame, by: list[str], low: float = 0.02, high: float = 0.98) -> DataFrame:
+GRID = 1024  # cells of a sketch; a pass leaves about three of them
+INSIDE = 100_000  # values of a bracket that are counted one by one
+
+
+def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: list[float], inside: int = INSIDE) -> DataFrame:
+    """(by, i, v): the i-th quantile of each group, interpolated between its two ranks, exactly, with no buffer that grows.
+
+    Every rank has a bracket of values, at first all. While a bracket holds more than ``inside`` values, a pass narrows it: a
+    mergeable sketch of the values inside gives a grid of their quantiles, and the cells about the rank are the next bracket
+    (a pass leaves about 3 / GRID of the values; one value that fills a bracket ends it). Then the distinct values inside are
+    counted, and the rank found by adding up. Nulls and NaN have no rank; groups without values, and null groups, no row.
+    """
+    spark, keys = df.sparkSession, by
+    by = [f"_k{j}" for j in range(len(keys))]
+    rows = df.where(F.col(value).isNotNull() & ~F.isnan(value)).select(*[F.col(k).alias(b) for k, b in zip(keys, by)], F.col(value).cast("double").alias("_v"))
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(quantiles)])).alias("w")
+    at = rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, "n", wanted).select(*by, "w.i", ((F.col("n") - 1) * F.col("w.q")).alias("pos"), "n")
+    at = at.select(*by, "i", F.floor("pos").alias("r0"), F.least(F.floor("pos") + 1, F.col("n") - 1).alias("r1"), (F.col("pos") - F.floor("pos")).alias("part"), F.lit(float("-inf")).alias("lo"), F.lit(float("inf")).alias("hi"), F.lit(0).cast("long").alias("below"), F.col("n").alias("held"))
+
+    def written(x: DataFrame) -> DataFrame:
+        path = scratch(spark, "brackets")
+        x.write.parquet(path)
+        return spark.read.parquet(path)
+
+    at = written(at)
+    within = (F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi"))
+    names = [*by, "i", "r0", "r1", "part"]
+    while not at.where((F.col("held") > inside) & (F.col("lo") < F.col("hi"))).isEmpty():
+        wide = at.where((F.col("held") > inside) & (F.col("lo") < F.col("hi")))
+        grid = F.percentile_approx(F.when(within, F.col("_v")), [k / GRID for k in range(GRID + 1)], 10 * GRID)
+        cells = rows.join(wide, by).groupBy(*names).agg(grid.alias("g"), F.first("below").alias("below"), F.first("held").alias("held"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+        cell = lambda r, more: F.floor((F.col(r) - F.col("below")) * GRID / F.col("held")) + more
+        low, high = F.greatest(cell("r0", -1), F.lit(0)), F.least(cell("r1", 3), F.lit(GRID))
+        next_ = cells.select(*names, F.when(cell("r0", -1) > 0, F.element_at("g", (low + 1).cast("int"))).otherwise(F.col("lo")).alias("lo"), F.when(cell("r1", 3) < GRID, F.element_at("g", (high + 1).cast("int"))).otherwise(F.col("hi")).alias("hi"), F.col("held").alias("_before"))
+        counted = rows.join(next_, by).groupBy(*names, "lo", "hi", "_before").agg(F.count_if(F.col("_v") < F.col("lo")).alias("below"), F.count_if(within).alias("held"))
+        # A bracket that does not shrink holds few distinct values, or values that fill many cells: they are counted.
+        counted = counted.withColumn("held", F.when(F.col("held") < F.col("_before"), F.col("held")).otherwise(F.lit(0)))
+        at = written(counted.select(*names, "lo", "hi", "below", "held").union(at.where((F.col("held") <= inside) | (F.col("lo") >= F.col("hi"))).select(*names, "lo", "hi", "below", "held")))
+    held = rows.join(at.drop("held"), by).where(within).groupBy(*names, "below", "_v").agg(F.count("*").alias("c"))
+    upto = F.sum("c").over(W.partitionBy(*by, "i").orderBy("_v")) + F.col("below")
+    first = lambda r: F.min(F.when(F.col("_upto") > F.col(r), F.col("_v")))
+    return held.withColumn("_upto", upto).groupBy(*by, "i", "part").agg(first("r0").alias("a"), first("r1").alias("b")).select(*[F.col(b).alias(k) for k, b in zip(keys, by)], "i", F.when(F.col("part") == 0, F.col("a")).otherwise(F.col("a") + (F.col("b") - F.col("a")) * F.col("part")).alias("v"))
+
+
+def percentile_stretch(pixels: DataFrame, by: list[str], low: float = 0.02, high: float = 0.98, inside: int = INSIDE) -> DataFrame:
     """Values stretched from the low and high percentile of their group to 0..255; invalid values to 0."""
-    q = pixels.where("value is not null and not isnan(value)").groupBy(*by).agg(F.percentile("value", F.array(F.lit(low), F.lit(high))).alias("q")).select(*by, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    q = exact_quantiles(pixels, by, "value", [low, high], inside).groupBy(*by).agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("lo"), F.max(F.when(F.col("i") == 1, F.col("v"))).alias("hi"))
     x = F.least(F.greatest((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * 255
-    return pixels.join(q, by).withColumn("stretched", F.round(F.coalesce(F.when(F.isnan("value"), 0.0).otherwise(x), F.lit(0.0)), 6)).drop("lo", "hi")
+    return pixels.join(q, by, "left").withColumn("stretched", F.round(F.coalesce(F.when(F.isnan("value"), 0.0).otherwise(x), F.lit(0.0)), 6)).drop("lo", "hi")
 
 
 @register("percentile_stretch", sql("pixels", ", q as (select band, quantile_cont(value, 0.02) as lo, quantile_cont(value, 0.98) as hi from pixels group by band) select image, idx, cast(floor(coalesce(least(greatest((value - lo) / nullif(hi - lo, 0), 0), 1) * 255, 0) + 1e-9) as bigint) as stretched from pixels p join q on q.band = p.band"))
@@ -55,6 +101,12 @@ def percentile_stretch_q(spark: SparkSession, sf: str) -> DataFrame:
     return percentile_stretch(view(spark, sf, "pixels"), ["band"]).select("image", "idx", F.floor(F.col("stretched") + 1e-9).alias("stretched"))
 
 
+@register("exact_quantiles", sql("pixels", "select band, 0 as i, round(min(value), 9) as v from pixels group by band union all " + " union all ".join(f"select band, {i}, round(quantile_cont(value, {q}), 9) from pixels group by band" for i, q in ((1, 0.02), (2, 0.5), (3, 0.98), (4, 1.0)))))
+def exact_quantiles_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Brackets are narrowed here from a few hundred values on, so that every size of the table takes passes."""
+    return exact_quantiles(view(spark, sf, "pixels"), ["band"], "value", [0.0, 0.02, 0.5, 0.98, 1.0], 300).select("band", "i", F.round("v", 9).alias("v"))
+
+
 def geometry_profile(features: DataFrame, by: list[str]) -> DataFrame:
     """Dominant geometry category, features, and the density class (200 and 2000 features) that drives marker size and opacity."""
     n = features.groupBy(*by, "category").agg(F.count("*").alias("n"))
