@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strataspark.functions import boxes as B
 from strataspark.plans.views import sql, view
 from strataspark.registry import register
+from strataspark.session import scratch
 
 EDGES = ("xmin", "ymin", "xmax", "ymax")
 KEY = ("l_orderkey", "ln")
@@ -107,27 +108,66 @@ def bbox_intersect_q(spark: SparkSession, sf: str) -> DataFrame:
     return _round(out, *EDGES)
 
 
-def bbox_to_wgs84(df: DataFrame, key: list[str], crs: str | None = "EPSG:3857", samples: int = 10) -> DataFrame:
-    """Boxes in EPSG:3857 to lon/lat by ``samples`` points an edge; a null CRS, or lon/lat itself, passes; other CRSs raise."""
+def circular_span(lons: F.Column, step: F.Column) -> F.Column:
+    """(west, east) of the shortest span of the circle that holds all longitudes (an array, in -180..180): all but the largest gap
+    between neighbours; west > east where it crosses the antimeridian. The whole circle if no gap is wider than ``step``, the
+    distance of neighbouring samples."""
+    sorted_ = F.array_sort(lons)
+
+    def widest(a):
+        n = F.size(a)
+        gaps = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.when(i < n, F.element_at(a, F.least(i + 1, n)) - F.element_at(a, i)).otherwise(F.element_at(a, 1) + 360 - F.element_at(a, n)).alias("gap"), i.alias("i")))
+        top = F.array_max(gaps)
+        whole = F.struct(F.lit(-180.0).alias("west"), F.lit(180.0).alias("east"))
+        span = F.struct(F.when(top["i"] < n, F.element_at(a, F.least(top["i"] + 1, n))).otherwise(F.element_at(a, 1)).alias("west"), F.element_at(a, top["i"]).alias("east"))
+        return F.when(top["gap"] <= step * (1 + 1e-9), whole).otherwise(span)
+
+    return F.transform(F.array(sorted_), widest)[0]
+
+
+def bbox_to_wgs84(df: DataFrame, key: list[str], crs: str | None = "EPSG:3857", samples: int = 10, allow_guess: bool = False) -> DataFrame:
+    """Boxes to lon/lat, with xmin > xmax where a box crosses the antimeridian: ``samples`` points an edge in EPSG:3857, whose
+    longitudes' shortest span is taken (a box of more than samples / (samples + 1) of the circle is the whole circle).
+
+    A null CRS, or lon/lat itself, passes as it is. Refused with an error: boxes that are not finite; coordinates beyond lon/lat
+    without a projection; lon/lat magnitudes in a projected CRS. ``allow_guess`` passes the last two unchanged. Other CRSs raise.
+    """
+    corners = F.array(*EDGES)
+    finite = F.forall(corners, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    check = lambda ok, why: F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(why + ": "), F.array_join(corners.cast("array<string>"), ", "))).cast("boolean"))
+    like = B.looks_like_wgs84(corners)
     if crs in (None, "EPSG:4326", "OGC:CRS84"):
-        return df.select(*key, *EDGES)
+        passed = check(finite, "box is not finite") & (F.lit(True) if allow_guess else check(like, "coordinates beyond longitude and latitude"))
+        return df.where(passed).select(*key, *EDGES)
     if crs != "EPSG:3857":
         raise ValueError(f"no closed form for {crs}")
-    t = F.col("t") / float(samples)
-    x, y = F.col("xmin") + (F.col("xmax") - F.col("xmin")) * t, F.col("ymin") + (F.col("ymax") - F.col("ymin")) * t
-    sides = F.array(F.struct(x.alias("x"), F.col("ymin").alias("y")), F.struct(x.alias("x"), F.col("ymax").alias("y")), F.struct(F.col("xmin").alias("x"), y.alias("y")), F.struct(F.col("xmax").alias("x"), y.alias("y")))
-    pts = df.select(*key, *EDGES, F.explode(F.sequence(F.lit(0), F.lit(samples))).alias("t")).select(*key, F.explode(sides).alias("p"))
-    lon, lat = B.mercator_to_lonlat(F.col("p.x"), F.col("p.y"))
-    return pts.select(*key, lon.alias("lon"), lat.alias("lat")).groupBy(*key).agg(F.min("lon").alias("xmin"), F.min("lat").alias("ymin"), F.max("lon").alias("xmax"), F.max("lat").alias("ymax"))
+    df = df.where(check(finite, "box is not finite") & (F.lit(True) if allow_guess else check(~like, "longitude and latitude in a projected system")))
+    x, y = (lambda t, lo=lo, hi=hi: F.col(lo) + (F.col(hi) - F.col(lo)) * t / float(samples) for lo, hi in (("xmin", "xmax"), ("ymin", "ymax")))
+    steps = F.sequence(F.lit(0), F.lit(samples))
+    wrapped = lambda lon: F.when((lon >= -180) & (lon <= 180), lon).otherwise(F.pmod(lon + 180, F.lit(360.0)) - 180)
+    lons = F.transform(steps, lambda t: wrapped(B.mercator_to_lonlat(x(t), F.col("ymin"))[0]))
+    lats = F.transform(steps, lambda t: B.mercator_to_lonlat(F.col("xmin"), y(t))[1])
+    width = B.mercator_to_lonlat(F.col("xmax") - F.col("xmin"), F.lit(0.0))[0]
+    span = circular_span(lons, width / samples)
+    keep = like & F.lit(allow_guess)
+    one = df.select(*key, *EDGES, keep.alias("_keep"), span.alias("_s"), F.array_min(lats).alias("_s0"), F.array_max(lats).alias("_s1"))
+    pick = lambda own, new: F.when(F.col("_keep"), F.col(own)).otherwise(F.col(new)).alias(own)
+    return one.select(*key, pick("xmin", "_s.west"), pick("ymin", "_s0"), pick("xmax", "_s.east"), pick("ymax", "_s1"))
 
 
-_MERC = "degrees({x} / 6378137.0e0)", "degrees(2 * atan(exp({y} / 6378137.0e0)) - pi() / 2)"
+_METRES = {"xmin": "lon * 1.2e5", "ymin": "lat * 1e5", "xmax": "lon * 1.2e5 + 1e6 * ln", "ymax": "lat * 1e5 + 7000"}
 
 
-@register("bbox_to_wgs84", sql("items", """select l_orderkey, ln, round(degrees(lon * 1e5 / 6378137.0e0), 6) as xmin, round(degrees(2 * atan(exp(lat * 1e5 / 6378137.0e0)) - pi() / 2), 6) as ymin,
-  round(degrees((lon * 1e5 + 5000) / 6378137.0e0), 6) as xmax, round(degrees(2 * atan(exp((lat * 1e5 + 7000) / 6378137.0e0)) - pi() / 2), 6) as ymax from items"""))
+def _wrapped_sql(x: str) -> str:
+    d = f"degrees(({x}) / 6378137.0e0)"
+    return f"case when {d} between -180 and 180 then {d} else {d} - 360 * floor(({d} + 180) / 360) end"
+
+
+@register("bbox_to_wgs84", sql("items", f"""select l_orderkey, ln, round({_wrapped_sql(_METRES["xmin"])}, 6) as xmin, round(degrees(2 * atan(exp(lat * 1e5 / 6378137.0e0)) - pi() / 2), 6) as ymin,
+  round({_wrapped_sql(_METRES["xmax"])}, 6) as xmax, round(degrees(2 * atan(exp((lat * 1e5 + 7000) / 6378137.0e0)) - pi() / 2), 6) as ymax from items"""))
 def bbox_to_wgs84_q(spark: SparkSession, sf: str) -> DataFrame:
-    metres = _items(spark, sf).select(*KEY, F.expr("lon * 1e5").alias("xmin"), F.expr("lat * 1e5").alias("ymin"), F.expr("lon * 1e5 + 5000").alias("xmax"), F.expr("lat * 1e5 + 7000").alias("ymax"))
+    """Boxes of 9 to 63 degrees in metres, some of them over the antimeridian, from where they come out crossing."""
+    metres = _items(spark, sf).select(*KEY, *[F.expr(e).alias(c) for c, e in _METRES.items()])
     return _round(bbox_to_wgs84(metres, list(KEY)), *EDGES)
 
 
@@ -160,6 +200,62 @@ def spatial_filter(df: DataFrame, area: tuple[float, float, float, float], names
     return df.where((x0 <= e) & (x1 >= w) & (y0 <= n) & (y1 >= s))
 
 
+def ring_meets_box(ring: F.Column, area: tuple[float, float, float, float]) -> F.Column:
+    """Does a polygon's ring (array of structs x, y; closed or not) share a point with a box: an edge that meets it, or a corner
+    of the box within the ring. Edges are cut by the box's sides one by one (what is left of the edge's range from 0 to 1)."""
+    w, s, e, n = (float(v) for v in area)
+    size = F.size(ring)
+    edges = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, F.when(i < size, i + 1).otherwise(1)).alias("b")))
+
+    def meets(edge):
+        ax, ay, dx, dy = edge["a"]["x"], edge["a"]["y"], edge["b"]["x"] - edge["a"]["x"], edge["b"]["y"] - edge["a"]["y"]
+        enter, leave, ok = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
+        for d, at, lo, hi in ((dx, ax, w, e), (dy, ay, s, n)):
+            low, high = F.when(d != 0, (lo - at) / F.nullif(d, F.lit(0.0))), F.when(d != 0, (hi - at) / F.nullif(d, F.lit(0.0)))
+            enter.append(F.least(low, high))
+            leave.append(F.greatest(low, high))
+            ok = ok & ((d != 0) | ((at >= lo) & (at <= hi)))
+        return ok & (F.greatest(*enter) <= F.least(*leave))
+
+    # The corner (w, s) is within the ring if a ray from it to the east crosses an odd number of edges.
+    def crosses(edge):
+        ay, by = edge["a"]["y"], edge["b"]["y"]
+        x = edge["a"]["x"] + (s - ay) * (edge["b"]["x"] - edge["a"]["x"]) / F.nullif(by - ay, F.lit(0.0))
+        return ((ay > s) != (by > s)) & (x > w)
+
+    within = F.size(F.filter(edges, lambda d: F.coalesce(crosses(d), F.lit(False)))) % 2 == 1
+    return F.coalesce((size > 0) & (F.exists(edges, meets) | within), F.lit(False))
+
+
+def footprint_filter(df: DataFrame, area: tuple[float, float, float, float], ring: str = "ring", names: tuple[str, ...] = EDGES) -> DataFrame:
+    """Rows whose footprint meets the area: the box test, which prunes row groups, then the exact test of the ring on what is left. A
+    null or empty ring meets nothing; holes play no part."""
+    return spatial_filter(df, area, names).where(ring_meets_box(F.col(ring), area))
+
+
+_TRIANGLE = "array(named_struct('x', lon - w, 'y', lat - w), named_struct('x', lon + w, 'y', lat - w), named_struct('x', case ln % 2 when 0 then lon - w else lon + w end, 'y', lat + w))"
+_AREA = (-20, 10, 40, 30)
+
+
+def _footprint_sql() -> str:
+    """The oracle: two convex shapes meet unless a line along a side of one of them parts them (sides of the box, of the triangle)."""
+    w, s, e, n = _AREA
+    # The slanting side: lower left to upper right (odd ln), or lower right to upper left (even ln); the triangle is below it.
+    odd = f"({s}e0 - y0) <= (least({e}e0, 1e9) - x0) * (y1 - y0) / nullif(x1 - x0, 0)"
+    even = f"({s}e0 - y0) <= (x1 - {w}e0) * (y1 - y0) / nullif(x1 - x0, 0)"
+    return f"""select l_orderkey, ln from (select l_orderkey, ln, lon - w as x0, lon + w as x1, lat - w as y0, lat + w as y1 from (select *, 0.5e0 + (l_orderkey % 40) / 2.0e0 as w from items) i) t
+      where x0 <= {e} and x1 >= {w} and y0 <= {n} and y1 >= {s} and case ln % 2 when 1 then {odd} else {even} end"""
+
+
+@register("footprint_filter", sql("items", _footprint_sql()))
+def footprint_filter_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Triangles written with their boxes in order of place; about a fourth of those whose box overlaps the area don't meet it."""
+    path = scratch(spark, "footprints")
+    shapes = spark.sql(f"select l_orderkey, ln, {_TRIANGLE} as ring, lon - w as xmin, lat - w as ymin, lon + w as xmax, lat + w as ymax from (select *, 0.5e0 + (l_orderkey % 40) / 2.0e0 as w from {{items}}) i", items=_items(spark, sf))
+    shapes.repartitionByRange("xmin", "ymin").sortWithinPartitions("xmin", "ymin").write.parquet(path)
+    return footprint_filter(spark.read.parquet(path), _AREA).select(*KEY)
+
+
 def union(df: DataFrame, by: list[str]) -> DataFrame:
     """Union box per group, one partial and one final aggregation; no rows give a null box."""
     return df.groupBy(*by).agg(F.min("xmin").alias("xmin"), F.min("ymin").alias("ymin"), F.max("xmax").alias("xmax"), F.max("ymax").alias("ymax"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -10,7 +12,7 @@ from strataspark.functions import boxes as B
 from strataspark.operators.extents import point_bbox_columns
 from strataspark.plans.views import sql, view
 from strataspark.registry import register
-from strataspark.session import scratch
+from strataspark.session import scratch, ship
 
 
 def _points(spark: SparkSession, sf: str) -> DataFrame:
@@ -147,28 +149,110 @@ def kdtree_exact(df: DataFrame, x: str, y: str, levels: int, id: str) -> DataFra
         counts = ranged.groupBy("cell", "_p").agg(F.count("*").alias("_n"))
         before = W.partitionBy("cell").orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
         base = counts.select("cell", "_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"), F.sum("_n").over(W.partitionBy("cell")).alias("_all"))
-        ranks = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("cell", "_p").orderBy(axis, id))).join(F.broadcast(base), ["cell", "_p"])
+        ranks = ranged.withColumn("_rn", F.row_number().over(W.partitionBy("cell", "_p").orderBy(axis, id))).join(base, ["cell", "_p"])
         half = (2 * (F.col("_base") + F.col("_rn")) > F.col("_all") + 1).cast("int").cast("string")  # the first half has the odd row
         out = ranks.withColumn("cell", F.concat("cell", half)).select(*df.columns, "cell")
     return out
 
 
-def kdtree_approx(df: DataFrame, x: str, y: str, levels: int) -> DataFrame:
-    """Balanced cells at scale: the median per cell and level by a mergeable sketch, met by a join on the cell (at most 2**level rows)."""
-    out = df.withColumn("cell", F.lit(0).cast("long"))
+SAMPLE = 1 << 18  # points of the whole table from which the upper levels are cut, on the driver
+FIRST = 10  # levels that these points cut: 256 a cell
+PER_LEAF = 64  # points for each cell that a further cut gives, in a task a cell
+
+
+def kdtree_cuts(x: np.ndarray, y: np.ndarray, levels: int, axis: int = 0) -> np.ndarray:
+    """The cuts of a tree over sample points, by node (the root is 1, the children of n are 2n and 2n + 1): the lower median of the
+    node's points, x and y in turn; NaN, which no value is above, where no point is."""
+    node, cuts = np.ones(len(x), dtype=np.int64), np.full(1 << levels, np.nan)
     for level in range(levels):
-        axis = x if level % 2 == 0 else y
-        cut = out.groupBy("cell").agg(F.percentile_approx(axis, 0.5, 10_000).alias("_cut"))
-        out = out.join(F.broadcast(cut), "cell").withColumn("cell", F.col("cell") * 2 + (F.col(axis) > F.col("_cut")).cast("long")).drop("_cut")
-    return out
+        v = y if (level + axis) % 2 else x
+        order = np.lexsort((v, node))
+        some, first, n = np.unique(node[order], return_index=True, return_counts=True)
+        cuts[some] = v[order][first + (n - 1) // 2]
+        node = 2 * node + (v > cuts[node])
+    return cuts
+
+
+def _descend(cuts: str, levels: str, x: str, y: str, axis: str = "0") -> str:
+    """SQL: the path (a digit a level) of a point through a tree of cuts. One pass, no join, whatever the depth."""
+    step = f"(n, l) -> 2 * n + case when if((l + {axis}) % 2 = 0, `{x}`, `{y}`) > {cuts}[n] and not isnan({cuts}[n]) then 1L else 0L end"
+    return f"if({levels} > 0, substring(bin(aggregate(sequence(0, greatest({levels} - 1, 0)), 1L, {step})), 2), '')"
+
+
+def kdtree_approx(df: DataFrame, x: str, y: str, levels: int, sample: int = SAMPLE) -> DataFrame:
+    """Cells (paths of 0 and 1) of near-equal size: the tree from one sample of about ``sample`` points, rows sent to it in one pass.
+
+    Levels below FIRST are cut from further samples, a cell's in a task. Null coordinates go to the lower side.
+    """
+    return _deepen(_first(df, x, y, min(levels, FIRST), sample), x, y, lambda cells: cells.withColumn("more", F.lit(max(0, levels - FIRST))))
+
+
+def _first(df: DataFrame, x: str, y: str, levels: int, sample: int) -> DataFrame:
+    share = min(1.0, sample / max(1, df.count()))
+    points = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null")
+    points = (points.sample(share, seed=11) if share < 1 else points).toPandas()  # at most about ``sample`` rows
+    cuts = kdtree_cuts(points["x"].to_numpy(), points["y"].to_numpy(), levels)
+    tree = F.lit([float(c) for c in cuts]) if levels else F.array(F.lit(0.0))
+    return df.withColumn("_cuts", tree).withColumn("cell", F.expr(_descend("_cuts", str(levels), x, y))).drop("_cuts")
+
+
+def _deepen(placed: DataFrame, x: str, y: str, more) -> DataFrame:
+    """Cells that ``more`` (from cell, n to the same with the levels to add) names are cut again, the others stay as they are."""
+    wanted = more(placed.groupBy("cell").agg(F.count("*").alias("n"))).where("more > 0")
+    if wanted.isEmpty():
+        return placed
+    path = scratch(placed.sparkSession, "cells")
+    wanted.write.parquet(path)
+    wanted = placed.sparkSession.read.parquet(path)
+    share = F.least(F.lit(1.0), PER_LEAF * F.pow(F.lit(2.0), F.col("more")) / F.col("n"))
+    some = placed.select("cell", F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null").join(wanted, "cell").where(F.rand(13) < share)
+
+    def cut(key: tuple, points: pd.DataFrame) -> pd.DataFrame:
+        levels = int(points["more"].iloc[0])
+        return pd.DataFrame({"cell": [key[0]], "more": [levels], "cuts": [kdtree_cuts(points["x"].to_numpy(), points["y"].to_numpy(), levels, len(key[0]))]})
+
+    ship(placed.sparkSession)
+    trees = scratch(placed.sparkSession, "trees")
+    some.groupBy("cell").applyInPandas(cut, "cell string, more int, cuts array<double>").write.parquet(trees)
+    trees = placed.sparkSession.read.parquet(trees).select(F.col("cell").alias("_cell"), F.col("more").alias("_more"), F.col("cuts").alias("_cuts"))
+    both = placed.join(trees, F.col("cell") == F.col("_cell"), "left")
+    deeper = F.concat("cell", F.coalesce(F.expr(_descend("_cuts", "_more", x, y, "length(cell)")), F.lit("")))
+    return both.withColumn("cell", deeper).select(*placed.columns)
+
+
+def kdtree_sampled(df: DataFrame, x: str, y: str, target_rows: int, sample: int = SAMPLE, first: int = FIRST, slack: float = 1.25) -> DataFrame:
+    """Cells of about ``target_rows``: the upper ``first`` levels from one bounded sample, the rows written once with their cells; cells
+    that then have more than ``slack`` times the target are cut again, in one further pass."""
+    n, levels = df.count(), 0
+    while n > target_rows << levels and levels < first:
+        levels += 1
+    path = scratch(df.sparkSession, "kdtree")
+    _first(df, x, y, levels, sample).write.parquet(path)
+    more = F.when(F.col("n") > slack * target_rows, F.ceil(F.log2(F.col("n") / target_rows))).otherwise(0).cast("int")
+    return _deepen(df.sparkSession.read.parquet(path), x, y, lambda cells: cells.withColumn("more", more))
 
 
 def kdtree_partition(df: DataFrame, x: str, y: str, target_rows: int = 120_000, id: str | None = None) -> DataFrame:
-    """Cells of about ``target_rows``: exact with an id to break ties, else by sketches."""
+    """Cells of about ``target_rows``: exact with an id to break ties, else by samples."""
+    if not id:
+        return kdtree_sampled(df, x, y, target_rows)
     n, levels = df.count(), 0
     while n > target_rows << levels and levels < 20:
         levels += 1
-    return kdtree_exact(df, x, y, levels, id) if id else kdtree_approx(df, x, y, levels)
+    return kdtree_exact(df, x, y, levels, id)
+
+
+@register("kdtree_sampled", sql("points", "select cast(count(*) as bigint) as rows, cast(0 as bigint) as large, cast(0 as bigint) as overlapping, true as many from points"))
+def kdtree_sampled_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells of a 48th of the table, three levels first: every row has a cell, none holds twice the target, and no two overlap (their
+    boxes share no inner point, told by a sweep over the cells of one level above)."""
+    pts = _points(spark, sf).select("id", "lon", "lat")
+    target = -(-pts.count() // 48)
+    cells = kdtree_sampled(pts, "lon", "lat", target, first=3).groupBy("cell").agg(F.count("*").alias("n"), *[f(c).alias(f"{k}_{c}") for c in ("lon", "lat") for k, f in (("lo", F.min), ("hi", F.max))])
+    cells = cells.withColumn("up", F.expr("substring(cell, 1, length(cell) - 1)"))
+    a, b = cells.where("cell like '%0'").alias("a"), cells.where("cell like '%1'").alias("b")
+    pairs = a.join(b, F.col("a.up") == F.col("b.up")).where("a.hi_lon > b.lo_lon and a.hi_lat > b.lo_lat and b.hi_lon > a.lo_lon and b.hi_lat > a.lo_lat")
+    return cells.agg(F.sum("n").alias("rows"), F.count_if(F.col("n") > 2 * target).alias("large"), (F.count("*") >= 40).alias("many")).join(pairs.agg(F.count("*").alias("overlapping"))).select("rows", "large", "overlapping", "many")
 
 
 @register("kdtree_partition", sql("points", """, a as (select id, lon, lat, cast(ntile(2) over (order by lon, id) - 1 as varchar) as c from points), b as (select id, lon, lat, c || cast(ntile(2) over (partition by c order by lat, id) - 1 as varchar) as c from a)
@@ -241,6 +325,22 @@ def partition_prune(df: DataFrame, key: str, values: list) -> DataFrame:
     return df.where(F.col(key).isin(*values))
 
 
+def partition_prune_joined(df: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows of the partitions whose key is in ``keys``, which only the run knows: a semi-join by the partition column, of which Spark
+    makes a filter on the partitions to read (where the keys' side is filtered itself and small enough to broadcast)."""
+    return df.join(keys.select(key).distinct(), key, "left_semi")
+
+
+@register("partition_prune_joined", sql("items", "select l_orderkey, ln, collection from items where collection in (select s_nationkey from supplier where s_acctbal > 9000)"))
+def partition_prune_joined_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Items written by collection, read for the nations of rich suppliers."""
+    path = scratch(spark, "by_collection")
+    view(spark, sf, "items").select("l_orderkey", "ln", "collection").hint("rebalance", "collection").write.partitionBy("collection").parquet(path)
+    rich = view(spark, sf, "supplier").where("s_acctbal > 9000").select(F.col("s_nationkey").cast("long").alias("collection"))
+    items = spark.read.schema("l_orderkey bigint, ln bigint, collection bigint").parquet(path)
+    return partition_prune_joined(items, rich, "collection").select("l_orderkey", "ln", "collection")
+
+
 def tile_export_select(df: DataFrame, box: tuple[float, float, float, float], where: str | None, columns: list[str], lon: str, lat: str, precision: int) -> DataFrame:
     """Rows and columns for a tile export: box, SQL filter text, named columns, rounded coordinates."""
     w, s, e, n = box
