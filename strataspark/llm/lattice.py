@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from strataspark.llm.shared import stable, table
 
 ITERATIONS = 2
-CHUNK = 4 << 20
+CHUNK = 12 << 20
 LONG = 4096  # characters of a word from which its lattice is not built at once
 FLUSH = 400_000  # distinct words a counting task holds before it emits them
 LETTERS = 1 << 21  # the flat alphabet behind single characters: code points and the end of a word
