@@ -3,8 +3,13 @@ versioned tables, exports."""
 
 from __future__ import annotations
 
+import json
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strataspark.functions.text import parse_nodata
 from strataspark.operators.schemas import drop_derived
@@ -89,53 +94,112 @@ def sink_items_mirror(items: DataFrame, targets: DataFrame, path: str) -> None:
     items.repartitionByRange("xmin", "ymin").sortWithinPartitions("xmin", "ymin", "xmax", "ymax").write.mode("overwrite").parquet(path)
 
 
-def publish(spark: SparkSession, root: str, collection: str, df: DataFrame, assets: DataFrame, version: str, breaking: bool = False, message: str = "", removed: list[str] | None = None, replace_asset: bool = False) -> None:
-    """Append a batch to a versioned table: data first, the log row last, so readers see complete versions only.
+def publish(spark: SparkSession, root: str, collection: str, df: DataFrame, assets: DataFrame, version: str, breaking: bool = False, message: str = "", removed: list[str] | None = None, replace_asset: bool = False, attempts: int = 20) -> int:
+    """Append a batch to a versioned table; returns the version's number. Data first, in a folder of its own, the log entry last, so
+    readers see complete versions only.
 
-    A version is published once: its data folder is written anew by a retry, and a version that the log has is left as it is,
-    so a stream may repeat its last batch. ``df`` has an ``asset`` column; ``assets`` is (asset, sha256, size_bytes) of the batch. Rows are appended; with
-    ``replace_asset`` readers take only each asset's newest rows.
+    The log entry of a version holds its assets, its schema and its folder. It is made beside the log and renamed into place, which
+    fails where another writer has taken the number: then the batch is rebased on that writer's state and tried again, without
+    writing the data anew. A version that the log has is left as it is, so a stream may repeat its last batch; one that another
+    writer publishes meanwhile raises. ``df`` has an ``asset`` column; ``assets`` is (asset, sha256, size_bytes) of the batch. Rows
+    are appended; with ``replace_asset`` readers take only each asset's newest rows.
     """
     base = f"{root.rstrip('/')}/{collection}"
-    old = read_log(spark, root, collection)
-    if old is not None and not old.where(F.col("version") == version).isEmpty():
-        return
-    df.write.mode("overwrite").parquet(f"{base}/data/version={version}")
-    state = assets.select("asset", "sha256", "size_bytes").withColumn("version", F.lit(version))
-    if old is not None:
-        last = old.agg(F.max("ord")).first()[0]
-        before = old.where(F.col("ord") == last).select("asset", "sha256", "size_bytes", F.col("asset_version").alias("version"))
-        gone = spark.createDataFrame([(a,) for a in removed or []], "asset string")
-        state = merge_assets(before, state, gone, ["asset"])
-        n = last + 1
-    else:
-        n = 1
-    log = state.withColumnRenamed("version", "asset_version").withColumn("ord", F.lit(n).cast("long")).withColumn("breaking", F.lit(breaking)).withColumn("message", F.lit(message)).withColumn("replace_asset", F.lit(replace_asset))
-    log.withColumn("version", F.lit(version)).coalesce(1).write.mode("errorifexists").parquet(f"{base}/_log/ord={n}")
+    folder, written = f"data/version={version}/batch={uuid.uuid4().hex}", False
+    for _ in range(attempts):
+        old = read_log(spark, root, collection)
+        found = None if old is None else old.where(F.col("version") == version).select("ord").first()
+        if found is not None:
+            if written:
+                raise ValueError(f"version {version} was published by another writer")
+            return found["ord"]
+        if not written:
+            df.write.parquet(f"{base}/{folder}")
+            written = True
+        state, n = assets.select("asset", "sha256", "size_bytes").withColumn("version", F.lit(version)), 1
+        if old is not None:
+            last = old.agg(F.max("ord")).first()[0]
+            before = old.where(F.col("ord") == last).select("asset", "sha256", "size_bytes", F.col("asset_version").alias("version"))
+            gone = spark.createDataFrame([(a,) for a in removed or []], "asset string")
+            state, n = merge_assets(before, state, gone, ["asset"]), last + 1
+        log = state.withColumnRenamed("version", "asset_version").withColumns({"ord": F.lit(n).cast("long"), "breaking": F.lit(breaking), "message": F.lit(message), "replace_asset": F.lit(replace_asset), "version": F.lit(version), "folder": F.lit(folder), "schema": F.lit(df.schema.json())})
+        if _commit(spark, log, base, n):
+            return n
+    raise RuntimeError(f"version {version} lost {attempts} times to other writers")
+
+
+def _commit(spark: SparkSession, log: DataFrame, base: str, n: int) -> bool:
+    """Write the log entry beside the log, then rename it to its number unless that is taken; was it free."""
+    fs = spark._jvm.org.apache.hadoop.fs
+    staged, place = fs.Path(f"{base}/_staging/{uuid.uuid4().hex}"), fs.Path(f"{base}/_log/ord={n}")
+    log.coalesce(1).write.parquet(staged.toString())
+    kind = getattr(fs, "Options$Rename")
+    how = spark.sparkContext._gateway.new_array(kind, 1)
+    how[0] = kind.NONE
+    conf = spark._jsc.hadoopConfiguration()
+    place.getFileSystem(conf).mkdirs(place.getParent())
+    context = fs.FileContext.getFileContext(place.getFileSystem(conf).getUri(), conf)
+    try:
+        context.rename(staged, place, how)
+        return True
+    except Py4JJavaError as e:
+        if "exist" not in str(e.java_exception).lower() and "not empty" not in str(e.java_exception).lower():
+            raise
+        place.getFileSystem(conf).delete(staged, True)
+        return False
 
 
 def read_log(spark: SparkSession, root: str, collection: str) -> DataFrame | None:
     """The version log, a row per (version, asset); none before the first version."""
-    path = f"{root.rstrip('/')}/{collection}/_log"
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop):
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{collection}/_log")
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not store.exists(path) or not len(store.listStatus(path)):
         return None
-    return spark.read.parquet(f"{path}/ord=*")
+    return spark.read.parquet(f"{path.toString()}/ord=*")
+
+
+#: Types that a column of a later version may widen, narrowest first.
+WIDER = (("byte", "short", "integer", "long"), ("float", "double"))
+
+
+def united_schema(schemas: list[StructType]) -> StructType:
+    """The columns of all schemas by name, in the order of their first appearance, as wide as the widest; other types must agree."""
+    out: dict[str, StructField] = {}
+    for f in (f for s in schemas for f in s.fields):
+        known = out.get(f.name)
+        if known is None or known.dataType == f.dataType:
+            out[f.name] = StructField(f.name, f.dataType, True)
+            continue
+        line = next((w for w in WIDER if {known.dataType.typeName(), f.dataType.typeName()} <= set(w)), None)
+        if line is None:
+            raise ValueError(f"column {f.name} is {known.dataType.simpleString()} in one version and {f.dataType.simpleString()} in another")
+        if line.index(f.dataType.typeName()) > line.index(known.dataType.typeName()):
+            out[f.name] = StructField(f.name, f.dataType, True)
+    return StructType(list(out.values()))
 
 
 def read_version(spark: SparkSession, root: str, collection: str, ord: int | None = None) -> DataFrame:
-    """The table at a version (default: the newest): rows of the assets that its log holds, columns united over versions."""
+    """The table at a version (default: the newest): rows of the assets that its log holds, columns united over the versions read.
+
+    The log names the folders and schemas of the versions whose rows are live; only those are listed and read, and no footer is
+    opened to find a column. What is collected is a row a live version.
+    """
     log = read_log(spark, root, collection)
     if log is None:
         raise ValueError(f"{collection} has no version")
     n = ord or log.agg(F.max("ord")).first()[0]
-    now = log.where(F.col("ord") == n)
-    if not now.limit(1).count():
+    now = log.where(F.col("ord") == n).select("asset", F.col("asset_version").alias("newest"), F.col("replace_asset").alias("replaced"))
+    if not log.where(F.col("ord") == n).limit(1).count():
         raise ValueError(f"{collection} has no version {n}")
-    upto = log.where(F.col("ord") <= n).select("version").distinct()
-    data = spark.read.option("mergeSchema", True).option("basePath", f"{root.rstrip('/')}/{collection}/data").parquet(f"{root.rstrip('/')}/{collection}/data").withColumn("version", F.col("version").cast("string"))
-    rows = data.join(upto, "version", "left_semi").join(now.select("asset", "asset_version", "replace_asset"), "asset")
-    return rows.where("not replace_asset or version = asset_version").drop("asset_version", "replace_asset")
+    # A version's batch held the assets that its own entry dates to it.
+    live = log.where((F.col("ord") <= n) & (F.col("asset_version") == F.col("version"))).join(now, "asset").where("not replaced or version = newest")
+    live = live.groupBy("ord", "folder").agg(F.first("schema").alias("schema")).orderBy("ord").collect()
+    schema = united_schema([StructType.fromJson(json.loads(r["schema"])) for r in live])
+    base = f"{root.rstrip('/')}/{collection}"
+    if not live:
+        return spark.createDataFrame([], schema.add("version", "string"))
+    data = spark.read.schema(schema.add("version", "string").add("batch", "string")).option("basePath", f"{base}/data").parquet(*[f"{base}/{r['folder']}" for r in live])
+    return data.join(now, "asset").where("not replaced or version = newest").drop("newest", "replaced", "batch")
 
 
 def export_snapshot(df: DataFrame, path: str) -> None:
