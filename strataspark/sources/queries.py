@@ -164,19 +164,44 @@ def partition_metadata_q(spark: SparkSession, sf: str) -> DataFrame:
     return S.partition_metadata(e)
 
 
-@register("bbox_columns_wkb", sql("points", "select id, lon as bbox_xmin, lat as bbox_ymin, lon as bbox_xmax, lat as bbox_ymax from points"))
+#: Of each shape (by id % 7) the box and the centroid, from the point (lon, lat) it is made at.
+_SHAPES = {"bbox_xmin": (0, 0, 0, 0, 0, 0, -2), "bbox_ymin": (0, 0, 0, -1, 0, 0, 0), "bbox_xmax": (0, 1, 3, 2, 1, 13, 1), "bbox_ymax": (0, 2, 3, 0, 2, 13, 5), "centroid_x": (0, 0.5, 1, 1, 0.5, 6, 0.5), "centroid_y": (0, 1, 1, -0.5, 1, 6, 1)}
+
+
+@register("bbox_columns_wkb", sql("points", "select id, " + ", ".join(f"round({'lat' if 'y' in c else 'lon'} + case id % 7 {' '.join(f'when {k} then {float(d)}e0' for k, d in enumerate(ds))} end, 6) as {c}" for c, ds in _SHAPES.items()) + " from points"))
 def bbox_columns_wkb_q(spark: SparkSession, sf: str) -> DataFrame:
-    """Boxes of WKB points made from the points view; must equal their coordinates."""
+    """Boxes and centroids of WKB of all seven types in one column, made from the points view; must equal what they were made from."""
     ship(spark)
     pts = view(spark, sf, "points").select("id", "lon", "lat")
-    df = pts.mapInArrow(_to_wkb, "id long, geometry binary")
-    return wkb.bbox_columns(df).drop("geometry")
+    out = wkb.bbox_columns(pts.mapInArrow(_to_wkb, "id long, geometry binary"), centroid=True)
+    return out.select("id", *[F.round(c, 6).alias(c) for c in _SHAPES])
 
 
 def _to_wkb(batches):
-    import struct
-
+    """Shapes as rows of fixed layouts: headers as numbers, coordinates as offsets from the point. The last kind turns its bytes round."""
+    import numpy as np
     import pyarrow as pa
 
+    line, triangle = [(0, 0), (1, 2)], [(0, 0), (3, 0), (0, 3), (0, 0)]
+    far = [(x + 10, y + 10) for x, y in triangle]
+    point = lambda p: [("h", 1), ("xy", [p])]
+    path = lambda ps: [("h", 2), ("n", len(ps)), ("xy", ps)]
+    ring = lambda ps: [("h", 3), ("n", 1), ("n", len(ps)), ("xy", ps)]
+    many = lambda kind, *parts: [("h", kind), ("n", len(parts)), *[x for p in parts for x in p]]
+    shapes = [point((0, 0)), path(line), ring(triangle), many(4, point((0, 0)), point((2, -1))), many(5, path(line)), many(6, ring(triangle), ring(far)), many(7, point((-2, 5)), path(line))]
     for b in batches:
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([struct.pack("<BIdd", 1, 1, x, y) for x, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist())], type=pa.binary())], names=["id", "geometry"])
+        ids, lon, lat = (c.to_numpy() for c in b.columns)
+        out = np.empty(len(ids), dtype=object)
+        for k, shape in enumerate(shapes):
+            at, order = np.flatnonzero(ids % 7 == k), ">" if k == 6 else "<"
+            parts = []
+            for kind, v in shape:
+                if kind == "h":
+                    parts += [np.full((len(at), 1), order == "<", dtype=np.uint8), np.full((len(at), 1), v, dtype=f"{order}u4")]
+                elif kind == "n":
+                    parts.append(np.full((len(at), 1), v, dtype=f"{order}u4"))
+                else:
+                    parts.append(np.stack([c[at] + d for p in v for c, d in zip((lon, lat), p)], axis=1).astype(f"{order}f8"))
+            rows = np.concatenate([np.ascontiguousarray(p).view(np.uint8).reshape(len(at), -1) for p in parts], axis=1)
+            out[at] = [r.tobytes() for r in rows]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out.tolist(), type=pa.binary())], names=["id", "geometry"])
