@@ -45,6 +45,59 @@ def band_statistics_q(spark: SparkSession, sf: str) -> DataFrame:
     return band_statistics(view(spark, sf, "pixels").select("band", F.round("value", 1).alias("value")), ["band"], nodata=0.1)
 
 
+MOMENTS = ("pixels", "valid", "mean", "m2", "min", "max")
+
+
+def band_moments(pixels: DataFrame, by: list[str], nodata: float | None = None) -> DataFrame:
+    """Mergeable statistics per group: pixels, valid ones, their mean, the sum of squared deviations from it, and extremes."""
+    bad = F.isnan("value") | F.col("value").isNull() | (F.col("value") == F.lit(nodata) if nodata is not None else F.lit(False))
+    v = F.when(~F.coalesce(bad, F.lit(True)), F.col("value"))
+    return pixels.groupBy(*by).agg(F.count("*").alias("pixels"), F.count(v).alias("valid"), F.avg(v).alias("mean"), (F.var_pop(v) * F.count(v)).alias("m2"), F.min(v).alias("min"), F.max(v).alias("max"))
+
+
+def merge_moments(moments: DataFrame, by: list[str]) -> DataFrame:
+    """The moments of groups from those of their parts. Deviations are taken from the common mean, not as a difference of squares."""
+    common = moments.where("valid > 0").groupBy(*by).agg((F.sum(F.col("valid") * F.col("mean")) / F.sum("valid")).alias("_mean"))
+    off = F.col("mean") - F.col("_mean")
+    return moments.join(common, by, "left").groupBy(*by).agg(
+        F.sum("pixels").alias("pixels"), F.sum("valid").alias("valid"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("valid") * off * off).alias("m2"), F.min("min").alias("min"), F.max("max").alias("max"))
+
+
+def band_statistics_cached(pixels: DataFrame, files: DataFrame, store: str, by: list[str], file: str = "file", nodata: float | None = None) -> DataFrame:
+    """Statistics per band from stored moments: only the pixels of files that the store lacks, or has with another stamp, are read.
+
+    ``files``: a row a file (``file``, stamp); files that are gone no longer count. ``pixels`` is a table partitioned by the
+    file's column, so that the join with the new files reads their partitions alone. ``store`` is a folder of Parquet to which
+    the new files' moments (a row per file and band) are added; the newest of a file's stamp counts.
+    """
+    spark = pixels.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(store)
+    kept = spark.read.parquet(store) if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path) else None
+    new = files.select(file, "stamp")
+    new = new if kept is None else new.join(kept.select(file, "stamp").distinct(), [file, "stamp"], "left_anti")
+    at = scratch(spark, "new_files")
+    new.withColumn("n", F.lit(1)).write.parquet(at)
+    new = spark.read.parquet(at).where("n > 0").drop("n")
+    if not new.isEmpty():
+        band_moments(pixels.join(new, file), [file, "stamp", *by], nodata).withColumn("added", F.current_timestamp()).write.mode("append").parquet(store)
+    newest = spark.read.parquet(store).groupBy(file, "stamp", *by).agg(F.max_by(F.struct(*MOMENTS), "added").alias("m")).select(file, "stamp", *by, "m.*")
+    whole = merge_moments(newest.join(files.select(file, "stamp"), [file, "stamp"], "left_semi"), by)
+    return whole.select(*by, "min", "max", F.round("mean", 6).alias("mean"), F.round(F.sqrt(F.col("m2") / F.col("valid")), 6).alias("stddev"), F.round(100 * F.col("valid") / F.col("pixels"), 6).alias("valid_percent"))
+
+
+@register("band_statistics_cached", sql("pixels", "select band, min(v) as \"min\", max(v) as \"max\", round(avg(v), 6) as mean, round(stddev_pop(v), 6) as stddev, round(100.0e0 * count(v) / count(*), 6) as valid_percent from (select band, case when round(value, 1) <> 0.1e0 then round(value, 1) end as v from pixels where image % 16 <> 3) p group by band"))
+def band_statistics_cached_q(spark: SparkSession, sf: str) -> DataFrame:
+    """Three runs over one store: half of the files; all; all with one file changed and one gone."""
+    path, store = scratch(spark, "tiles"), scratch(spark, "moments")
+    view(spark, sf, "pixels").select((F.col("image") % 16).alias("file"), "band", F.round("value", 1).alias("value")).hint("rebalance", "file").write.partitionBy("file").parquet(path)
+    tiles = spark.read.schema("band bigint, value double, file bigint").parquet(path)
+    files = spark.range(16).select(F.col("id").alias("file"), F.lit("a").alias("stamp"))
+    band_statistics_cached(tiles, files.where("file < 8"), store, ["band"], nodata=0.1)
+    band_statistics_cached(tiles, files, store, ["band"], nodata=0.1)
+    changed = files.where("file <> 3").withColumn("stamp", F.when(F.col("file") == 5, "b").otherwise("a"))
+    return band_statistics_cached(tiles, changed, store, ["band"], nodata=0.1)
+
+
 GRID = 1024  # cells of a sketch; a pass leaves about three of them
 INSIDE = 100_000  # values of a bracket that are counted one by one
 

@@ -28,3 +28,34 @@ def test_stretch(spark):
     got = {r[1]: r[2] for r in rows if r[0] == 1 and r[1] == r[1]}
     assert got[0.0] == got[2.0] == 0.0 and got[98.0] == got[100.0] == 255.0 and got[50.0] == pytest.approx(127.5)
     assert sorted(r[2] for r in rows if r[0] != 1) == [0.0, 0.0] and len(rows) == 105
+
+
+def test_cached_band_statistics_read_new_files_alone(spark, tmp_path):
+    """Files whose moments are stored are made unreadable; a changed stamp reads a file again; merged moments equal recomputed ones."""
+    rng = np.random.default_rng(2)
+    rows = [(f, b, float(x)) for f in range(6) for b in (1, 2) for x in 1e6 + rng.normal(size=200) * (1 + f)] + [(0, 1, None), (1, 2, float("nan")), (2, 3, None), (3, 1, -9.0)]
+    root, store = tmp_path / "p", str(tmp_path / "m")
+    spark.createDataFrame(rows, "file long, band long, value double").write.partitionBy("file").parquet(str(root))
+    pixels = spark.read.schema("band long, value double, file long").parquet(str(root))
+    files = lambda stamps: spark.createDataFrame([(f, s) for f, s in stamps.items()], "file long, stamp string")
+    run = lambda stamps: {r["band"]: tuple(r)[1:] for r in statistics.band_statistics_cached(pixels, files(stamps), store, ["band"], nodata=-9.0).collect()}
+    spoil = lambda f: [p.write_bytes(b"no parquet") for p in (root / f"file={f}").glob("*.parquet")]
+
+    def want(names):
+        df = spark.createDataFrame([r for r in rows if r[0] in names], "file long, band long, value double")
+        return {r["band"]: tuple(r)[1:] for r in statistics.band_statistics(df, ["band"], nodata=-9.0).collect()}
+
+    def same(a, b):
+        assert a.keys() == b.keys()
+        for k in a:
+            assert a[k] == b[k] or a[k] == pytest.approx(b[k], rel=1e-9)
+
+    same(run({0: "a", 1: "a"}), want({0, 1}))
+    spoil(0)
+    same(run(dict.fromkeys(range(5), "a")), want(set(range(5))))
+    for f in (1, 2, 3):
+        spoil(f)
+    same(run(dict.fromkeys(range(5), "a")), want(set(range(5))))
+    same(run({0: "a", 2: "a", 4: "b", 5: "a"}), want({0, 2, 4, 5}))
+    with pytest.raises(Exception, match="(?i)parquet"):
+        run({1: "b"})
