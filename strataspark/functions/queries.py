@@ -244,7 +244,7 @@ def boilerplate_text_q(spark: SparkSession, sf: str) -> DataFrame:
     return _parts(spark, sf).select("p_partkey", boilerplate_text(F.expr(_ABOUT)).alias("boilerplate"))
 
 
-#: Identifiers of the public SPDX list in common use for data and code; callers with the whole list pass it.
+#: Fixed values, a part: identifiers of the public SPDX list in common use for data and code; callers with the whole list pass it.
 LICENSES = (
     "0BSD", "AAL", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "APSL-2.0", "Artistic-1.0", "Artistic-2.0",
     "BSD-1-Clause", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "BUSL-1.0", "C-UDA-1.0", "CC-BY-1.0", "CC-BY-2.0", "CC-BY-2.5",
@@ -264,11 +264,9 @@ def license_gap(c, url, ids=LICENSES):
     """Why a licence id fails: missing, todo, deprecated, needs_url, misspelled, unknown; null if it is fine. ``ids``: the
     accepted identifiers."""
     t = F.trim(c)
-    known = F.array(*[F.lit(x) for x in ids])
-    lower = F.array(*[F.lit(x.lower()) for x in ids])
     return (
         F.when(F.coalesce(t, F.lit("")) == "", "missing").when(F.upper(t).startswith("TODO"), "todo").when(t == "proprietary", "deprecated")
-        .when((t == "other") & url.isNull(), "needs_url").when((t == "other") | F.array_contains(known, t), None).when(F.array_contains(lower, F.lower(t)), "misspelled").otherwise("unknown")
+        .when((t == "other") & url.isNull(), "needs_url").when((t == "other") | t.isin(*ids), None).when(F.lower(t).isin(*[x.lower() for x in ids]), "misspelled").otherwise("unknown")
     )
 
 

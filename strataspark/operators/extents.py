@@ -171,9 +171,14 @@ def bbox_to_wgs84_q(spark: SparkSession, sf: str) -> DataFrame:
     return _round(bbox_to_wgs84(metres, list(KEY)), *EDGES)
 
 
-@register("placeholder_extent", sql("items", "select collection, cast(count(*) as bigint) as n, cast(0 as bigint) as placeholders from items group by collection"))
+_WORLD = {"xmin": "case when collection % 7 = 3 and ln = 1 then -180 + l_orderkey % 3 * 0.0009e0 else xmin end", "ymin": "case when collection % 7 = 3 and ln = 1 then -90.0e0 else ymin end", "xmax": "case when collection % 7 = 3 and ln = 1 then 180.0e0 else xmax end", "ymax": "case when collection % 7 = 3 and ln = 1 then 90 - 0.0005e0 else ymax end"}
+
+
+@register("placeholder_extent", sql("items", "select collection, cast(count(*) as bigint) as n, cast(count(case when collection % 7 = 3 and ln = 1 and l_orderkey % 3 < 2 then 1 end) as bigint) as placeholders from items group by collection"))
 def placeholder_extent_q(spark: SparkSession, sf: str) -> DataFrame:
-    return _items(spark, sf).groupBy("collection").agg(F.count("*").alias("n"), F.count_if(B.is_placeholder(B.box())).alias("placeholders"))
+    """Some items hold the whole world, or nearly so, in place of a box; a few miss it by more than the tolerance."""
+    boxes = _items(spark, sf).select("collection", *[F.expr(e).alias(c) for c, e in _WORLD.items()])
+    return boxes.groupBy("collection").agg(F.count("*").alias("n"), F.count_if(B.is_placeholder(B.box())).alias("placeholders"))
 
 
 @register("looks_like_wgs84", sql("items", "select l_orderkey, ln, xmin between -180 and 180 and xmax between -180 and 180 and ymin between -90 and 90 and ymax between -90 and 90 and ln % 2 = 0 as mismatch from items"))

@@ -107,9 +107,12 @@ def sort_quadkey(df: DataFrame, lon: str, lat: str, zoom: int = 13, partitions:
 @register("sort_quadkey", sql("points", f"select id, {_quadkey_sql(6)} as quadkey, rank() over (order by {_quadkey_sql(6)}) as pos from points"))
 def sort_quadkey_q(spark: SparkSession, sf: str) -> DataFrame:
     s = sort_quadkey(_points(spark, sf).select("id", "lon", "lat"), "lon", "lat", 6).select("id", "quadkey")
-    n = s.groupBy("quadkey").agg(F.count("*").alias("n"))
-    before = n.withColumn("pos", F.coalesce(F.sum("n").over(W.orderBy("quadkey").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)) + 1)
-    return s.join(before.drop("n"), "quadkey")
+    # Keys rank within their first digits, and those among each other: no window holds all keys.
+    n = s.groupBy("quadkey", F.substring("quadkey", 1, 3).alias("top")).agg(F.count("*").alias("n"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tops = n.groupBy("top").agg(F.sum("n").alias("n")).select("top", earlier(W.orderBy("top")).alias("base"))  # at most 64 rows
+    before = n.withColumn("own", earlier(W.partitionBy("top").orderBy("quadkey"))).join(tops, "top")
+    return s.join(before.select("quadkey", (F.col("base") + F.col("own") + 1).alias("pos")), "quadkey")
 
 
 def sort_hilbert(df: DataFrame, lon: str, lat: str, order: int = 16) -> DataFrame:

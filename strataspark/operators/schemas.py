@@ -119,29 +119,48 @@ def schema_fingerprint_q(spark: SparkSession, sf: str) -> DataFrame:
 TYPE_NAMES = {"bigint": "int64", "int": "int32", "smallint": "int16", "double": "float64", "float": "float32", "string": "string", "boolean": "boolean", "binary": "binary", "date": "date", "timestamp": "datetime", "timestamp_ntz": "datetime"}
 
 
+def stac_type(c: Column) -> Column:
+    """The public name of an engine type; unknown ones keep their own text."""
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in TYPE_NAMES.items() for x in kv]), c), c)
+
+
 def stac_type_names(df: DataFrame) -> DataFrame:
-    """A row per column: name, public type name (unknown types keep their own text), nullable."""
-    rows = [(f.name, TYPE_NAMES.get(f.dataType.simpleString(), f.dataType.simpleString()), f.nullable) for f in df.schema.fields]
-    return df.sparkSession.createDataFrame(rows, "element string, dtype string, nullable boolean")
+    """A row per column: name, public type name, nullable."""
+    rows = [(f.name, f.dataType.simpleString(), f.nullable) for f in df.schema.fields]
+    return df.sparkSession.createDataFrame(rows, "element string, dtype string, nullable boolean").withColumn("dtype", stac_type(F.col("dtype")))
+
 
+_KINDS = "case p_partkey % 8 when 0 then 'bigint' when 1 then 'int' when 2 then 'double' when 3 then 'timestamp_ntz' when 4 then 'array<int>' when 5 then 'binary' when 6 then 'date' else p_type end"
 
-@register("stac_type_name", "select column_name as element, case data_type when 'BIGINT' then 'int64' when 'INTEGER' then 'int32' when 'DOUBLE' then 'float64' when 'VARCHAR' then 'string' else 'datetime' end as dtype, (select count(*) from lineitem) as rows from information_schema.columns where table_name = 'lineitem'")
+
+@register("stac_type_name", f"select p_brand, dtype, cast(count(*) as bigint) as columns from (select p_brand, case k when 'bigint' then 'int64' when 'int' then 'int32' when 'double' then 'float64' when 'timestamp_ntz' then 'datetime' else k end as dtype from (select p_brand, {_KINDS} as k from part) p) q group by p_brand, dtype")
 def stac_type_name_q(spark: SparkSession, sf: str) -> DataFrame:
-    df = view(spark, sf, "lineitem")
-    n = df.agg(F.count("*").alias("rows"))
-    return stac_type_names(df).select("element", "dtype", F.lit(1).alias("k")).join(n.withColumn("k", F.lit(1)), "k").drop("k")
+    """Columns of many tables, described by rows: how many there are of each public type."""
+    return view(spark, sf, "part").select("p_brand", stac_type(F.expr(_KINDS)).alias("dtype")).groupBy("p_brand", "dtype").agg(F.count("*").alias("columns"))
+
+
+#: Names of geometry columns, the first that is there counts.
+GEOMETRY_NAMES = ("geometry", "geom")
 
 
 def find_geometry_column(df: DataFrame) -> str | None:
     """``geometry``, then ``geom``, if binary; else none."""
     kinds = dict(df.dtypes)
-    return next((c for c in ("geometry", "geom") if kinds.get(c) == "binary"), None)
+    return next((c for c in GEOMETRY_NAMES if kinds.get(c) == "binary"), None)
+
+
+def geometry_columns(columns: DataFrame, by: list[str]) -> DataFrame:
+    """The geometry column of every table (columns ``by``) of many, described by rows (name, dtype); null where it has none."""
+    place = F.when(F.col("dtype") == "binary", F.array_position(F.array(*[F.lit(n) for n in GEOMETRY_NAMES]), F.col("name")))
+    return columns.groupBy(*by).agg(F.min_by("name", F.when(place > 0, place)).alias("found"))
+
+
+_COLUMNS = "select p_brand, p_size, case p_partkey % 6 when 0 then 'geom' when 1 then 'geometry' when 2 then 'Geometry' else p_name end as name, case p_retailprice % 3 when 0 then 'binary' when 1 then 'string' else 'binary' end as dtype from {part}"
 
 
-@register("find_geometry_column", sql("items", "select 'geometry' as found, cast(count(*) as bigint) as rows from items"))
+@register("find_geometry_column", "select p_brand, p_size, case when bool_or(name = 'geometry' and dtype = 'binary') then 'geometry' when bool_or(name = 'geom' and dtype = 'binary') then 'geom' end as found from (" + _COLUMNS.format(part="part") + ") c group by p_brand, p_size")
 def find_geometry_column_q(spark: SparkSession, sf: str) -> DataFrame:
-    df = view(spark, sf, "items").withColumn("geom", F.lit("x")).withColumn("geometry", F.encode(F.col("lon").cast("string"), "utf-8"))
-    return df.agg(F.lit(find_geometry_column(df)).alias("found"), F.count("*").alias("rows"))
+    return geometry_columns(spark.sql(_COLUMNS, part=view(spark, sf, "part")), ["p_brand", "p_size"])
 
 
 def drop_derived(df: DataFrame) -> DataFrame:

@@ -295,12 +295,14 @@ def collection_info(items: DataFrame, assets: DataFrame) -> DataFrame:
     return i.join(catalog_rollup(assets).select("collection", "size_bytes"), "collection")
 
 
-def catalog_provenance(collections: DataFrame) -> DataFrame:
-    """The newest update, only if every collection is a mirror."""
-    return collections.agg(F.bool_and("mirror").alias("all_mirrors"), F.max("updated").alias("updated")).select("all_mirrors", F.when(F.col("all_mirrors"), F.col("updated")).alias("updated"))
+def catalog_provenance(collections: DataFrame, by: list[str]) -> DataFrame:
+    """Per catalog (columns ``by``) the newest update, only if every collection is a mirror."""
+    return collections.groupBy(*by).agg(F.bool_and("mirror").alias("all_mirrors"), F.max("updated").alias("updated")).select(*by, "all_mirrors", F.when(F.col("all_mirrors"), F.col("updated")).alias("updated"))
 
 
-@register("catalog_provenance", sql("assets", "select bool_and(collection >= 0) as all_mirrors, max(ord) as updated from assets"))
+@register("catalog_provenance", sql("assets", ", c as (select collection, max(ord) as updated from assets group by collection) select g as catalog, bool_and(collection % 10 <> 4 or g <> 1) as all_mirrors, case when bool_and(collection % 10 <> 4 or g <> 1) then max(updated) end as updated from c, (select unnest([0, 1, 2]) as g) s where collection % 3 = g group by g"))
 def catalog_provenance_q(spark: SparkSession, sf: str) -> DataFrame:
-    c = _assets(spark, sf).groupBy("collection").agg(F.max("ord").alias("updated")).withColumn("mirror", F.col("collection") >= 0)
-    return catalog_provenance(c)
+    """Three catalogs of the collections; one of them holds a collection that is no mirror."""
+    c = _assets(spark, sf).groupBy("collection").agg(F.max("ord").alias("updated")).withColumn("catalog", (F.col("collection") % 3).cast("int"))
+    c = c.withColumn("mirror", (F.col("collection") % 10 != 4) | (F.col("catalog") != 1))
+    return catalog_provenance(c, ["catalog"])

@@ -22,10 +22,13 @@ def scan_hive_table(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.option("basePath", root).option("recursiveFileLookup", "false").parquet(root)
 
 
+MOST_NAMES = 10_000  # property names that are found without being given
+
+
 def scan_geojson(spark: SparkSession, path: str, properties: list[str] | None = None) -> DataFrame:
     """A row per feature: properties as columns, geometry_type, and geometry as JSON text. A file that is not JSON gives one row
     with ``corrupt``; collections without features give none. ``properties`` names the columns; without it they are found in a
-    first pass, and are then as many as the features have distinct names."""
+    first pass, which refuses more than MOST_NAMES of them."""
     raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
     ok = F.get_json_object("value", "$.type").isNotNull()
     feats = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
@@ -33,7 +36,9 @@ def scan_geojson(spark: SparkSession, path: str, properties: list[str] | None =
     props = F.get_json_object("f", "$.properties")
     keys = properties
     if keys is None:
-        keys = [r[0] for r in rows.select(F.explode(F.json_object_keys(props)).alias("k")).distinct().orderBy("k").collect()]
+        keys = [r[0] for r in rows.select(F.explode(F.json_object_keys(props)).alias("k")).distinct().orderBy("k").limit(MOST_NAMES + 1).collect()]
+        if len(keys) > MOST_NAMES:
+            raise ValueError(f"more than {MOST_NAMES} distinct property names: give the names")
     m = F.from_json(props, "map<string,string>")
     geo = F.get_json_object("f", "$.geometry")
     return rows.select("file", "corrupt", F.get_json_object(geo, "$.type").alias("geometry_type"), geo.alias("geometry"), *[F.try_element_at(m, F.lit(k)).alias(k if k not in ("file", "corrupt", "geometry", "geometry_type") else f"properties.{k}") for k in keys])

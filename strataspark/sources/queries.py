@@ -63,11 +63,16 @@ def scan_versions_q(spark: SparkSession, sf: str) -> DataFrame:
     return assets.select(key.alias("collection"), F.regexp_extract("version", r"\.(\d+)\.", 1).cast("long").alias("v"), "size_bytes").groupBy("collection", (F.col("v") + 1).alias("ord")).agg(F.count("*").alias("assets"), F.sum("size_bytes").alias("size_bytes"))
 
 
-@register("scan_files", "select cast(count(distinct l_linestatus) as bigint) as files, 'parquet' as ext from lineitem")
+@register("scan_files", "select 'parquet' as ext, cast(count(distinct l_linestatus) as bigint) as folders, cast(0 as bigint) as missing, cast(0 as bigint) as strange, true as sized from lineitem")
 def scan_files_q(spark: SparkSession, sf: str) -> DataFrame:
+    """The listing of a table against the files that a read of its rows meets."""
     root = scratch(spark, "listing")
-    view(spark, sf, "lineitem").select("l_linestatus", "l_tax").coalesce(1).write.partitionBy("l_linestatus").parquet(root)
-    return S.scan_files(spark, root).where("ext = 'parquet'").groupBy("ext").agg(F.count("*").alias("files"))
+    view(spark, sf, "lineitem").select("l_linestatus", "l_tax").write.partitionBy("l_linestatus").parquet(root)
+    plain = F.regexp_replace("path", "^file:/+", "/")
+    listed = S.scan_files(spark, root).where("ext = 'parquet'").select(plain.alias("path"), "size_bytes", "ext")
+    met = spark.read.parquet(root).select(F.input_file_name().alias("path")).distinct().select(plain.alias("path"), F.lit(True).alias("met"))
+    both = listed.join(met, "path", "full")
+    return both.agg(F.max("ext").alias("ext"), F.countDistinct(F.regexp_extract("path", "l_linestatus=([^/]*)/", 1)).alias("folders"), F.count_if(F.col("size_bytes").isNull()).alias("missing"), F.count_if(F.col("met").isNull()).alias("strange"), F.bool_and(F.col("size_bytes") > 0).alias("sized"))
 
 
 @register("scan_parquet_footers", 'select \'l_orderkey\' as "column", cast(count(*) as bigint) as rows, cast(min(l_orderkey) as varchar) as lo, cast(max(l_orderkey) as varchar) as hi from lineitem')
