@@ -36,6 +36,7 @@ from strataspark.llm.shared import drop, stable, table
 
 SPAN = 200
 BASE = 100  # SPAN is BASE doubled once; a shorter one makes fewer anchors but leaves more windows unsettled at edges
+PLACE = K.U64(32)  # bits of a place in a buffer; an Arrow string column has less than 2 ** 31 bytes
 
 
 def _window_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -56,9 +57,9 @@ def anchors(data: np.ndarray, off: np.ndarray, span: int = SPAN, base: int = BAS
         return none, none, none, none, none
     roll = K.Rolling(data, 9)
     g = roll.grams(base)
-    bits = max(1, int(len(g)).bit_length())
-    key = (g >> K.U64(bits) << K.U64(bits)) | np.arange(len(g), dtype=K.U64)  # the leftmost of the smallest
-    at = (_window_min(key, span - base + 1) & K.U64((1 << bits) - 1)).astype(np.int64)
+    # The leftmost of the smallest, by the rank's high half whatever the buffer's length: equal windows have equal anchors.
+    key = (g >> PLACE << PLACE) | np.arange(len(g), dtype=K.U64)
+    at = (_window_min(key, span - base + 1) & ((K.U64(1) << PLACE) - K.U64(1))).astype(np.int64)
     doc = K.rows_of(off)
     start = np.arange(len(at))
     inside = doc[: len(at)] == doc[span - 1 :]

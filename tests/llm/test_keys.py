@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strataspark.llm import kernels as K
-from strataspark.llm import lattice, near, packing, quality, queries, topk
+from strataspark.llm import lattice, near, packing, quality, queries, repeats, topk
 from strataspark.session import ship
 
 
@@ -73,3 +73,15 @@ def test_lattice_on_repeated_rows(spark):
     finally:
         lattice.CHUNK = old
     assert len(got) == 51 and len({(r["doc_id"], round(r["score"], 9)) for r in got}) == 2
+
+
+def test_anchors_do_not_depend_on_the_buffer(monkeypatch):
+    """Ranks that differ in low bits only: a document has the same runs alone and before three million other bytes."""
+    grams = K.Rolling.grams
+    monkeypatch.setattr(K.Rolling, "grams", lambda self, n: grams(self, n) & K.U64(0xFF000))
+    rng = np.random.default_rng(4)
+    text, other = (rng.integers(97, 123, n).astype(np.uint8) for n in (900, 3_000_000))
+    alone = repeats.anchors(text, np.array([0, len(text)]))
+    both = repeats.anchors(np.concatenate([text, other]), np.array([0, len(text), len(text) + len(other)]))
+    own = both[0] == 0
+    assert len(alone[0]) > 1 and all((a == b[own]).all() for a, b in zip(alone, both))
