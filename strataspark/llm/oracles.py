@@ -84,7 +84,7 @@ y as (select *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10)
 z as (
   select *, coalesce(sum(case when i > k then length(shown) end) over (partition by conv_id, side order by i rows between unbounded preceding and 1 preceding), 0) as pos
   from y)
-select d.conv_id as pair_id, d.conv_id as chosen_id, d.conv_id + 1 as rejected_id, d.paired, cast(d.k as bigint) as prompt_turns,
+select d.conv_id as pair_id, d.conv_id as chosen_id, d.conv_id + 1 as rejected_id, d.paired, coalesce(bool_or(d.paired and d.own = d.other), false) as equal, cast(d.k as bigint) as prompt_turns,
   coalesce(string_agg(case when side = 0 and i <= z.k then shown end, '' order by i), '') as prompt,
   coalesce(string_agg(case when side = 0 and i > z.k then shown end, '' order by i), '') as chosen,
   coalesce(string_agg(case when side = 0 and i > z.k and role = 'assistant' then cast(cast(pos + length(role) + 5 as bigint) as varchar) || '+' || cast(length(text) + 8 as varchar) end, ',' order by i), '') as chosen_mask,

@@ -8,8 +8,9 @@ rejected side is the conversation with its last answer replaced by that of the n
 One aggregation per conversation (a conversation's turns are one row, as a document is) and one equi-join of the sides;
 how many conversations share a turn does not matter. Defined cases: a null text or role is an empty one; turns are
 ordered by (turn, role, text), so ties and repeated rows have one order and are kept; a null turn comes first; a missing side
-gives an empty completion and ``paired`` false (its prompt is the other side's turns up to nothing: empty); rows without
-conv_id take no part; an empty table gives no rows; other columns play no part.
+gives an empty completion and ``paired`` false (its prompt is the other side's turns up to nothing: empty); sides of the same
+turns are all prompt, with two empty completions, and ``equal``: nothing can be learnt from them; the largest long has no next
+id, so that its conversation is unpaired with a null rejected_id; rows without conv_id take no part; an empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -60,7 +61,7 @@ def format_sides(both: DataFrame) -> DataFrame:
     both = both.withColumn("n", F.when(differ > 0, differ - 1).otherwise(F.size("a")).cast("int"))
     rest = lambda side: F.slice(F.col(side), F.col("n") + 1, F.greatest(F.size(side) - F.col("n"), F.lit(0)))
     return both.select(
-        "pair_id", "chosen_id", "rejected_id", "paired", F.col("n").cast("long").alias("prompt_turns"), _text(F.slice("a", F.lit(1), F.col("n"))).alias("prompt"),
+        "pair_id", "chosen_id", "rejected_id", "paired", (F.col("paired") & (F.col("a") == F.col("b"))).alias("equal"), F.col("n").cast("long").alias("prompt_turns"), _text(F.slice("a", F.lit(1), F.col("n"))).alias("prompt"),
         _text(rest("a")).alias("chosen"), _mask(rest("a")).alias("chosen_mask"), _text(rest("b")).alias("rejected"), _mask(rest("b")).alias("rejected_mask"))
 
 
@@ -69,9 +70,9 @@ def swapped(turns: DataFrame) -> DataFrame:
     rejected_id is the next id, ``b`` the same turns with the last answer replaced by the last answer of that conversation
     (null where either has none)."""
     c = conversations(turns).withColumn("last", F.array_max(F.transform("turns", lambda x, i: F.when(x["role"] == LEARN, i))))
-    other = c.where("last is not null").select((F.col("conv_id") - 1).alias("conv_id"), F.expr("turns[last].text").alias("other"))
+    other = c.where("last is not null").select(F.try_subtract("conv_id", F.lit(1)).alias("conv_id"), F.expr("turns[last].text").alias("other"))
     both = c.join(other, "conv_id", "left")
     swap = F.transform("turns", lambda x, i: F.when(i == F.col("last"), F.struct(x["role"].alias("role"), F.col("other").alias("text"))).otherwise(x))
     return both.select(
-        F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), (F.col("conv_id") + 1).alias("rejected_id"), F.col("turns").alias("a"),
+        F.col("conv_id").alias("pair_id"), F.col("conv_id").alias("chosen_id"), F.try_add("conv_id", F.lit(1)).alias("rejected_id"), F.col("turns").alias("a"),
         F.when(F.col("last").isNotNull() & F.col("other").isNotNull(), swap).alias("b"))

@@ -63,7 +63,7 @@ def op7_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("+", s["start"].cast("string"), s["length"].cast("string"))), ",").alias(c)
     out = p.format_sides(p.swapped(turns))
-    return out.select("pair_id", "chosen_id", "rejected_id", "paired", "prompt_turns", "prompt", "chosen", spans("chosen_mask"), "rejected", spans("rejected_mask"))
+    return out.select("pair_id", "chosen_id", "rejected_id", "paired", "equal", "prompt_turns", "prompt", "chosen", spans("chosen_mask"), "rejected", spans("rejected_mask"))
 
 
 def op8_source_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:

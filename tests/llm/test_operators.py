@@ -482,6 +482,7 @@ def test_preference_prefixes_by_brute_force(spark):
         a, b = convs[r["chosen_id"]], convs[r["rejected_id"]]
         n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
         assert (r["prompt_turns"], r["prompt"], r["chosen"], r["rejected"]) == (n, show(a[:n]), show(a[n:]), show(b[n:]))
+        assert r["equal"] == (r["paired"] and a == b)
         for text, mask, turns in ((r["chosen"], r["chosen_mask"], a[n:]), (r["rejected"], r["rejected_mask"], b[n:])):
             assert [text[m["start"] : m["start"] + m["length"]] for m in mask] == [t + "<|end|>\n" for who, t in turns if who == "assistant"]
     swapped = {r["chosen_id"]: r for r in preference.format_sides(preference.swapped(df)).collect()}
@@ -496,6 +497,17 @@ def test_preference_prefixes_by_brute_force(spark):
                 assert swapped[c]["prompt"] == show(ts[:n]) and swapped[c]["rejected"] == show([("assistant", other[-1]), *ts[n + 1 :]])
 
 
+def test_preference_equal_answers_and_outermost_ids(spark):
+    low, high = -(1 << 63), (1 << 63) - 1
+    turns = [(low, "x"), (low + 1, "x"), (high - 1, "y"), (high, "z")]
+    df = spark.createDataFrame([(c, i, r, t) for c, a in turns for i, (r, t) in enumerate((("user", "q"), ("assistant", a)))], "conv_id long, turn long, role string, text string")
+    got = {r["chosen_id"]: r for r in preference.format_sides(preference.swapped(df)).collect()}
+    same = got[low]
+    assert same["paired"] and same["equal"] and (same["chosen"], same["rejected"], same["prompt_turns"]) == ("", "", 2)
+    assert got[high - 1]["paired"] and not got[high - 1]["equal"] and got[high - 1]["rejected"] == "<|assistant|>\nz<|end|>\n"
+    assert not got[high]["paired"] and not got[high]["equal"] and got[high]["rejected_id"] is None
+
+
 def test_weak_labels(spark, docs, empty):
     rows = [(i, prose(i, 80) + (" trash idiot scum" if i % 4 == 0 else "")) for i in range(720)] + [(720 + i, "$$ ** " * 60) for i in range(20)]
     labels = spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(0, 480)] + [(1, None, None)], "doc_id long, quality int, toxic int")
