@@ -222,6 +222,23 @@ def test_fuzzy_lines_without_spaces(spark):
     assert root[1] == root[2]
 
 
+def test_fuzzy_lines_of_few_characters(spark):
+    """Recall of lines of 12 to 20 characters, whose few shingles have few independent minima, against brute force."""
+    rng = np.random.default_rng(23)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    rows = []
+    for d in range(600):
+        s = "".join(rng.choice(letters, rng.integers(12, 20)))
+        more = "".join(rng.choice(letters, 1 + (len(s) > 16 and d % 2)))
+        rows += [(2 * d, s), (2 * d + 1, s + more if d % 3 else more + s)]
+    pairs = line_pairs(rows)
+    root = line_roots(spark, rows)
+    assert len(pairs) > 500 and all(b == a + 1 for a, b in pairs)
+    assert sum(root[a] == root[b] for a, b in pairs) >= 0.94 * len(pairs)
+    assert {d for d in range(0, 1200, 2) if root[d] == root[d + 1]} <= {a for a, _ in pairs}
+    assert len({root[a] for a, _ in rows}) == 1200 - sum(root[a] == root[b] for a, b in pairs)
+
+
 def test_fuzzy_lines_of_repeated_content_at_any_length(spark):
     """Equal sets of distinct shingles are alike whatever the lengths of their lines."""
     rows = [(1, "=" * 100), (2, "=" * 200), (3, "ha " * 20), (4, "ha " * 90), (5, "-" * 30)]
