@@ -31,8 +31,10 @@ def scan_geojson(spark: SparkSession, path: str, properties: list[str] | None =
     first pass, which refuses more than MOST_NAMES of them."""
     raw = spark.read.option("wholetext", True).text(path).withColumn("file", F.input_file_name())
     ok = F.get_json_object("value", "$.type").isNotNull()
-    feats = F.from_json(F.get_json_object("value", "$.features"), "array<string>")
-    rows = raw.select("file", F.when(~F.coalesce(ok, F.lit(False)), True).otherwise(False).alias("corrupt"), F.explode_outer(F.when(F.coalesce(ok, F.lit(False)), feats)).alias("f")).where("corrupt or f is not null")
+    feats = F.filter(F.from_json(F.get_json_object("value", "$.features"), "array<string>"), lambda f: f.isNotNull())
+    # Whether a file is JSON is told by the rows themselves: a column beside the explode would parse the whole file for every feature.
+    none = F.array(F.lit(None).cast("string"))
+    rows = raw.select("file", F.explode(F.when(ok, feats).otherwise(none)).alias("f")).select("file", F.col("f").isNull().alias("corrupt"), "f")
     props = F.get_json_object("f", "$.properties")
     keys = properties
     if keys is None:

@@ -142,6 +142,19 @@ def test_scan_geojson_reads_every_feature(spark):
     assert sorted(map(tuple, got.select("id", "name", "lon").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_scan_geojson_parses_a_file_once(spark, tmp_path):
+    """No expression on a whole file stands beside or above the explode of its features; odd files give the rows they did."""
+    one = '{"type": "Feature", "properties": {"id": %d}, "geometry": null}'
+    for name, text in {"good": '{"type": "FeatureCollection", "features": [%s, null, %s]}' % (one % 1, one % 2), "empty": '{"type": "FeatureCollection", "features": []}', "none": '{"type": "FeatureCollection"}', "bad": "{ no", "blank": " "}.items():
+        (tmp_path / f"{name}.geojson").write_text(text)
+    out = S.scan_geojson(spark, str(tmp_path), ["id"])
+    got = sorted((r["file"].split("/")[-1], r["corrupt"], r["id"]) for r in out.collect())
+    assert got == [("bad.geojson", True, None), ("blank.geojson", True, None), ("good.geojson", False, "1"), ("good.geojson", False, "2")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    explode = next(i for i, line in enumerate(plan) if "Generate explode" in line)
+    assert not any("get_json_object(value" in line for line in plan[:explode])
+
+
 def test_scan_stac_items_of_nested_multi_line_and_malformed_documents(spark, tmp_path):
     (tmp_path / "a" / "b").mkdir(parents=True)
     one = '{"type": "Feature",\n "id": "%s",\n "bbox": [1, 2, 3, 4],\n "properties": {"datetime": "2024-01-02T03:04:05Z"}}'
