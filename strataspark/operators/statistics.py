@@ -143,10 +143,10 @@ def exact_quantiles(df: DataFrame, by: list[str], value: str, quantiles: list[fl
 
 
 def percentile_stretch(pixels: DataFrame, by: list[str], low: float = 0.02, high: float = 0.98, inside: int = INSIDE) -> DataFrame:
-    """Values stretched from the low and high percentile of their group to 0..255; invalid values to 0."""
+    """Values stretched from the low and high percentile of their group to 0..255, not rounded; invalid values to 0."""
     q = exact_quantiles(pixels, by, "value", [low, high], inside).groupBy(*by).agg(F.max(F.when(F.col("i") == 0, F.col("v"))).alias("lo"), F.max(F.when(F.col("i") == 1, F.col("v"))).alias("hi"))
     x = F.least(F.greatest((F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0)) * 255
-    return pixels.join(q, by, "left").withColumn("stretched", F.round(F.coalesce(F.when(F.isnan("value"), 0.0).otherwise(x), F.lit(0.0)), 6)).drop("lo", "hi")
+    return pixels.join(q, by, "left").withColumn("stretched", F.coalesce(F.when(F.isnan("value"), 0.0).otherwise(x), F.lit(0.0))).drop("lo", "hi")
 
 
 @register("percentile_stretch", sql("pixels", ", q as (select band, quantile_cont(value, 0.02) as lo, quantile_cont(value, 0.98) as hi from pixels group by band) select image, idx, cast(floor(coalesce(least(greatest((value - lo) / nullif(hi - lo, 0), 0), 1) * 255, 0) + 1e-9) as bigint) as stretched from pixels p join q on q.band = p.band"))

@@ -30,6 +30,13 @@ def test_stretch(spark):
     assert sorted(r[2] for r in rows if r[0] != 1) == [0.0, 0.0] and len(rows) == 105
 
 
+def test_stretched_values_are_not_rounded(spark):
+    """A value a little below a whole number stays below it, so its floor is not the next one."""
+    df = spark.createDataFrame([(1, 0.0), (1, 255.0), (1, 66.9999998)], "b long, value double")
+    got = {r["value"]: r["stretched"] for r in statistics.percentile_stretch(df, ["b"], 0.0, 1.0).collect()}
+    assert got[66.9999998] == pytest.approx(66.9999998, abs=1e-9) and got[66.9999998] < 66.99999985
+
+
 def test_cached_band_statistics_read_new_files_alone(spark, tmp_path):
     """Files whose moments are stored are made unreadable; a changed stamp reads a file again; merged moments equal recomputed ones."""
     rng = np.random.default_rng(2)
