@@ -207,26 +207,32 @@ def spatial_filter(df: DataFrame, area: tuple[float, float, float, float], names
 
 def ring_meets_box(ring: F.Column, area: tuple[float, float, float, float]) -> F.Column:
     """Does a polygon's ring (array of structs x, y; closed or not) share a point with a box: an edge that meets it, or a corner
-    of the box within the ring. Edges are cut by the box's sides one by one (what is left of the edge's range from 0 to 1)."""
+    of the box within the ring. Every question is one of side: an edge meets the box unless their ranges are apart, or the box
+    lies wholly on one side of the edge's line. A corner's side is told by the line's height over the edge's lower end, in
+    both questions alike, so a shape that only touches the box has one answer."""
     w, s, e, n = (float(v) for v in area)
     size = F.size(ring)
     edges = F.transform(F.sequence(F.lit(1), size), lambda i: F.struct(F.element_at(ring, i).alias("a"), F.element_at(ring, F.when(i < size, i + 1).otherwise(1)).alias("b")))
 
+    def lower_first(edge):
+        """Lower end, upper end, and the line's height over the lower end at a given x (null for an upright edge)."""
+        up = edge["a"]["y"] <= edge["b"]["y"]
+        ax, ay, bx, by = (F.when(up, edge[p][c]).otherwise(edge[q][c]) for p, q, c in (("a", "b", "x"), ("a", "b", "y"), ("b", "a", "x"), ("b", "a", "y")))
+        return ax, ay, bx, by, lambda x: (F.lit(x) - ax) * (by - ay) / F.nullif(bx - ax, F.lit(0.0))
+
     def meets(edge):
-        ax, ay, dx, dy = edge["a"]["x"], edge["a"]["y"], edge["b"]["x"] - edge["a"]["x"], edge["b"]["y"] - edge["a"]["y"]
-        enter, leave, ok = [F.lit(0.0)], [F.lit(1.0)], F.lit(True)
-        for d, at, lo, hi in ((dx, ax, w, e), (dy, ay, s, n)):
-            low, high = F.when(d != 0, (lo - at) / F.nullif(d, F.lit(0.0))), F.when(d != 0, (hi - at) / F.nullif(d, F.lit(0.0)))
-            enter.append(F.least(low, high))
-            leave.append(F.greatest(low, high))
-            ok = ok & ((d != 0) | ((at >= lo) & (at <= hi)))
-        return ok & (F.greatest(*enter) <= F.least(*leave))
+        ax, ay, bx, by, height = lower_first(edge)
+        apart = (F.greatest(ax, bx) < w) | (F.least(ax, bx) > e) | (by < s) | (ay > n)
+        rising = bx > ax
+        above = F.lit(s) - ay > F.when(rising, height(e)).otherwise(height(w))
+        below = F.lit(n) - ay < F.when(rising, height(w)).otherwise(height(e))
+        return ~(apart | F.coalesce(above, F.lit(False)) | F.coalesce(below, F.lit(False)))
 
     # The corner (w, s) is within the ring if a ray from it to the east crosses an odd number of edges.
     def crosses(edge):
-        ay, by = edge["a"]["y"], edge["b"]["y"]
-        x = edge["a"]["x"] + (s - ay) * (edge["b"]["x"] - edge["a"]["x"]) / F.nullif(by - ay, F.lit(0.0))
-        return ((ay > s) != (by > s)) & (x > w)
+        ax, ay, bx, by, height = lower_first(edge)
+        left = F.when(bx > ax, F.lit(s) - ay > height(w)).when(bx < ax, F.lit(s) - ay < height(w)).otherwise(ax > w)
+        return ((ay > s) != (by > s)) & left
 
     within = F.size(F.filter(edges, lambda d: F.coalesce(crosses(d), F.lit(False)))) % 2 == 1
     return F.coalesce((size > 0) & (F.exists(edges, meets) | within), F.lit(False))

@@ -101,6 +101,25 @@ def test_footprints(spark):
     assert got == {i for i, w in enumerate(want) if w} and len(by_box - got) > 10
 
 
+def test_footprints_that_touch_the_area(spark):
+    """Slanting sides through a corner of the area: the answer is the side of the corner, as the query's SQL has it."""
+    import duckdb
+
+    rows = []
+    for k in range(40):
+        for j in range(0, 60, 3):
+            lat = (j * 71 % 4000) / 100.0 - 10
+            rows += [(k + 40 * j, 1, 30 + lat, lat), (k + 40 * j, 2, -10 - lat, lat)]
+    df = spark.createDataFrame(rows, "l_orderkey long, ln long, lon double, lat double").selectExpr("*", "0.5D + (l_orderkey % 40) / 2D as w")
+    shapes = df.selectExpr("l_orderkey", "ln", f"{extents._TRIANGLE} as ring", "lon - w as xmin", "lat - w as ymin", "lon + w as xmax", "lat + w as ymax")
+    got = {tuple(r) for r in extents.footprint_filter(shapes, extents._AREA).select("l_orderkey", "ln").collect()}
+    con = duckdb.connect()
+    con.execute("create table items (l_orderkey bigint, ln bigint, lon double, lat double)")
+    con.executemany("insert into items values (?, ?, ?, ?)", rows)
+    want = set(con.execute(extents._footprint_sql()).fetchall())
+    assert got == want and len(want) > 100
+
+
 def test_footprint_filter_prunes_row_groups(spark, tmp_path):
     df = spark.range(100).selectExpr("id", "array(named_struct('x', cast(id as double), 'y', 0D)) as ring", "cast(id as double) xmin", "0D ymin", "cast(id as double) xmax", "0D ymax")
     df.write.parquet(str(tmp_path / "f"))
