@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -108,32 +111,15 @@ def bbox_intersect_q(spark: SparkSession, sf: str) -> DataFrame:
     return _round(out, *EDGES)
 
 
-def circular_span(lons: F.Column, step: F.Column) -> F.Column:
-    """(west, east) of the shortest span of the circle that holds all longitudes (an array, in -180..180): all but the largest gap
-    between neighbours; west > east where it crosses the antimeridian. The whole circle if no gap is wider than ``step``, the
-    distance of neighbouring samples."""
-    sorted_ = F.array_sort(lons)
-
-    def widest(a):
-        n = F.size(a)
-        gaps = F.transform(F.sequence(F.lit(1), n), lambda i: F.struct(F.when(i < n, F.element_at(a, F.least(i + 1, n)) - F.element_at(a, i)).otherwise(F.element_at(a, 1) + 360 - F.element_at(a, n)).alias("gap"), i.alias("i")))
-        top = F.array_max(gaps)
-        whole = F.struct(F.lit(-180.0).alias("west"), F.lit(180.0).alias("east"))
-        span = F.struct(F.when(top["i"] < n, F.element_at(a, F.least(top["i"] + 1, n))).otherwise(F.element_at(a, 1)).alias("west"), F.element_at(a, top["i"]).alias("east"))
-        return F.when(top["gap"] <= step * (1 + 1e-9), whole).otherwise(span)
-
-    return F.transform(F.array(sorted_), widest)[0]
-
-
 def bbox_to_wgs84(df: DataFrame, key: list[str], crs: str | None = "EPSG:3857", samples: int = 10, allow_guess: bool = False) -> DataFrame:
-    """Boxes to lon/lat, with xmin > xmax where a box crosses the antimeridian: ``samples`` points an edge in EPSG:3857, whose
-    longitudes' shortest span is taken (a box of more than samples / (samples + 1) of the circle is the whole circle).
+    """Boxes to lon/lat, with xmin > xmax where a box crosses the antimeridian: the shortest span of the longitudes of ``samples``
+    steps an edge in EPSG:3857 (a box of more than samples / (samples + 1) of the circle is the whole circle), in closed form.
 
     A null CRS, or lon/lat itself, passes as it is. Refused with an error: boxes that are not finite; coordinates beyond lon/lat
     without a projection; lon/lat magnitudes in a projected CRS. ``allow_guess`` passes the last two unchanged. Other CRSs raise.
     """
     corners = F.array(*EDGES)
-    finite = F.forall(corners, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    finite = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in EDGES])
     check = lambda ok, why: F.when(ok, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit(why + ": "), F.array_join(corners.cast("array<string>"), ", "))).cast("boolean"))
     like = B.looks_like_wgs84(corners)
     if crs in (None, "EPSG:4326", "OGC:CRS84"):
@@ -142,17 +128,16 @@ def bbox_to_wgs84(df: DataFrame, key: list[str], crs: str | None = "EPSG:3857",
     if crs != "EPSG:3857":
         raise ValueError(f"no closed form for {crs}")
     df = df.where(check(finite, "box is not finite") & (F.lit(True) if allow_guess else check(~like, "longitude and latitude in a projected system")))
-    x, y = (lambda t, lo=lo, hi=hi: F.col(lo) + (F.col(hi) - F.col(lo)) * t / float(samples) for lo, hi in (("xmin", "xmax"), ("ymin", "ymax")))
-    steps = F.sequence(F.lit(0), F.lit(samples))
-    wrapped = lambda lon: F.when((lon >= -180) & (lon <= 180), lon).otherwise(F.pmod(lon + 180, F.lit(360.0)) - 180)
-    lons = F.transform(steps, lambda t: wrapped(B.mercator_to_lonlat(x(t), F.col("ymin"))[0]))
-    lats = F.transform(steps, lambda t: B.mercator_to_lonlat(F.col("xmin"), y(t))[1])
-    width = B.mercator_to_lonlat(F.col("xmax") - F.col("xmin"), F.lit(0.0))[0]
-    span = circular_span(lons, width / samples)
+    # Longitude depends on x alone and latitude on y alone, both rising, so the ends tell what samples between them would: the
+    # largest gap is the one outside of the box, unless the samples' own distance is as wide.
+    wrapped = lambda lon: F.when((lon >= -180) & (lon <= 180), lon).otherwise(lon - 360 * F.floor((lon + 180) / 360))
+    x0, x1 = F.least("xmin", "xmax"), F.greatest("xmin", "xmax")
+    (west, south), (east, north) = B.mercator_to_lonlat(x0, F.least("ymin", "ymax")), B.mercator_to_lonlat(x1, F.greatest("ymin", "ymax"))
+    width = B.mercator_to_lonlat(x1 - x0, F.lit(0.0))[0]
+    whole = 360 - width <= width / samples * (1 + 1e-9)
     keep = like & F.lit(allow_guess)
-    one = df.select(*key, *EDGES, keep.alias("_keep"), span.alias("_s"), F.array_min(lats).alias("_s0"), F.array_max(lats).alias("_s1"))
-    pick = lambda own, new: F.when(F.col("_keep"), F.col(own)).otherwise(F.col(new)).alias(own)
-    return one.select(*key, pick("xmin", "_s.west"), pick("ymin", "_s0"), pick("xmax", "_s.east"), pick("ymax", "_s1"))
+    pick = lambda own, new: F.when(keep, F.col(own)).otherwise(new).alias(own)
+    return df.select(*key, pick("xmin", F.when(whole, -180.0).otherwise(wrapped(west))), pick("ymin", south), pick("xmax", F.when(whole, 180.0).otherwise(wrapped(east))), pick("ymax", north))
 
 
 _METRES = {"xmin": "lon * 1.2e5", "ymin": "lat * 1e5", "xmax": "lon * 1.2e5 + 1e6 * ln", "ymax": "lat * 1e5 + 7000"}

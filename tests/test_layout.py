@@ -65,6 +65,18 @@ def test_boxes_over_the_antimeridian(spark):
     assert wgs(spark, metres(5), 0, metres(5), 1e5)[::2] == (5, 5)
 
 
+def test_boxes_to_degrees_in_closed_form(spark):
+    """No array of samples is built a row; ends in any order; ten steps of a box of 10 / 11 of the circle are the whole circle."""
+    metres = lambda lon: np.radians(lon) * 6378137.0
+    df = spark.createDataFrame([(1, 1e7, 0.0, 2e7, 1e6)], "k long, xmin double, ymin double, xmax double, ymax double")
+    plan = extents.bbox_to_wgs84(df, ["k"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(" not in plan and "forall(" not in plan and "lambda" not in plan
+    assert wgs(spark, metres(120), 1e5, metres(-100), 0) == wgs(spark, metres(-100), 0, metres(120), 1e5)
+    assert wgs(spark, metres(10), 0, metres(10 + 327), 1e5)[::2] == (10, -23)
+    for width in (327.3, 360, 800, 5000):
+        assert wgs(spark, metres(10), 0, metres(10 + width), 1e5)[::2] == (-180, 180)
+
+
 def test_boxes_of_the_wrong_system(spark):
     assert wgs(spark, 170, -10, -170, 10, crs=None) == (170, -10, -170, 10)
     assert wgs(spark, 1, 2, 3, 4, allow_guess=True) == (1, 2, 3, 4)
