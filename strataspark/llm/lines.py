@@ -11,10 +11,10 @@ Scale: lines with the same text are one row before anything else (pre-aggregated
 share costs a row a task). Shingles are exploded and hashed in generated code and aggregated in the partitioning that the
 first aggregation left, without a second shuffle. Bands are counted before they are joined, so the few that have two lines
 meet their lines in a join that can be split. Links are found in two linear rounds first: every line with the one that it
-agrees with most of its bands' first lines, then with the others, where they are not yet of one component. Bands that hold
-two components after that are cut into blocks of about BLOCK lines; a pair of blocks meets in one task, each pair of lines of
-different components in the first band they share, and only confirmed links leave the task. Texts are fetched for
-candidates alone.
+agrees with most of its bands' centers, then with the others, where they are not yet of one component. Bands that hold
+two components after that are cut into blocks of about BLOCK lines; a pair of blocks meets in one task, by signatures alone
+at first, then, with the texts of lines that have met another, each pair of lines of different components in the first band
+they share, and only confirmed links leave the task. Texts are fetched for candidates alone.
 
 Defined cases: null and empty texts have no lines; blank lines are always kept and never compared; a null doc_id sorts
 last; repeated rows of one document are repeated lines, of which one stays; very long lines are lines like any other;
@@ -97,11 +97,18 @@ def _agree(x: str, y: str) -> Column:
 
 
 def _members(sig: DataFrame) -> DataFrame:
-    """key, band, h, rep: a row per line and band that two lines share; ``rep`` is the band's first line."""
+    """key, band, h, n: a row per line and band that two lines share; ``n`` is the number of the band's lines."""
     keys = F.array(*[F.struct(F.xxhash64(F.lit(b), F.col(f"b{b}")).alias("key"), F.lit(b).alias("band")) for b in range(BANDS)])
     keyed = sig.select("h", F.explode(keys).alias("k")).select("h", "k.key", "k.band")
-    full = table(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("rep")).where("n > 1"), "keys")
-    return table(keyed.join(full.where("n > 1").select("key", "rep"), "key"), "members")
+    full = table(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "keys")
+    return table(keyed.join(full.where("n > 1"), "key"), "members")
+
+
+def _centers(members: DataFrame, weights: DataFrame) -> DataFrame:
+    """key, a: each band's line whose bands have the most lines in all. Copies that were edited apart from each other are liker
+    to what they are copies of, whose minima are the most common ones, than to any other of them."""
+    best = members.join(weights, "h").groupBy("key").agg(F.max(F.struct("w", "h")).alias("m"))
+    return best.select("key", F.col("m.h").alias("a"))
 
 
 def _barrier(both: DataFrame, **columns: Column) -> DataFrame:
@@ -113,18 +120,24 @@ def _barrier(both: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _across(members: DataFrame, comp: DataFrame, cand: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between lines of one band and different components, but for the band's first line, which the
-    linear rounds have compared with all others. ``comp``: h, root; ``cand``: h, sig."""
-    m = members.where("h <> rep").join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    """Confirmed links (a, b) between lines of one band and different components. ``comp``: h, root; ``cand``: h, sig.
+
+    Signatures meet first, in a semi-join that makes no pairs; only rows with something to be compared with get their text.
+    """
+    m = members.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
     keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo < hi").select("key", "blocks")
-    left = table(m.join(keys, "key"), "mixed")
-    rows = left.join(cand, "h").join(texts, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "band", "h", "root", "own", "sig", "line").repartition("key", "s", "t")
-    x = rows.select("key", "s", "t", "band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("sig").alias("p"), _full(F.col("line")).alias("x"))
-    y = rows.select("key", "s", "t", F.col("h").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("sig").alias("q"), _full(F.col("line")).alias("y"))
-    both = x.join(y.hint("merge"), ["key", "s", "t"]).where("a < b and ra <> rb and (s = t or oa <> ob)").where(_agree("p", "q") >= AGREE)
-    earlier = " or ".join(f"(band > {b} and p.b{b} = q.b{b})" for b in range(BANDS - 1))
-    both = both.where(f"not ({earlier})")  # an earlier band that they share has them
+    mixed = table(m.join(keys, "key").select("key", "band", "h", "root", "blocks"), "mixed")
+    rows = mixed.join(cand, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "band", "h", "root", "own", "sig")
+    left = lambda df: df.select("key", "s", "t", "band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("sig").alias("p"), *df.columns[8:])
+    right = lambda df: df.select(F.col("key").alias("k2"), F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("h").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("sig").alias("q"), *df.columns[8:])
+    earlier = " or ".join(f"(band > {b} and p.b{b} = q.b{b})" for b in range(BANDS - 1))  # an earlier band that they share has them
+    meet = F.expr("key = k2 and s = s2 and t = t2 and ra <> rb and (s = t or oa <> ob)") & (_agree("p", "q") >= AGREE) & F.expr(f"not ({earlier})")
+    dealt = rows.repartition("key", "s", "t")
+    live = table(left(dealt).join(right(dealt).hint("merge"), meet, "left_semi").toDF(*rows.columns), "live")
+    dealt = live.join(texts, "h").select(*live.columns, "line").repartition("key", "s", "t")
+    x, y = left(dealt).withColumn("x", _full(F.col("line"))).drop("line"), right(dealt).withColumn("y", _full(F.col("line"))).drop("line")
+    both = x.join(y.hint("merge"), F.expr("a < b") & meet)
     return both.where(_alike(percent)).select("a", "b")
 
 
@@ -138,19 +151,23 @@ def links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed pairs (a, b) of line hashes that connect every component."""
     sig = table(signatures(lines), "signatures")
     members = _members(sig)
-    some = members.select("h").distinct()
+    some = table(members.groupBy("h").agg(F.sum("n").alias("w")), "weights")
     cand = table(matching(sig, some, "h").select("h", F.struct(*[f"b{i}" for i in range(BANDS)]).alias("sig")), "candidates")
     texts = table(matching(lines.select("h", "line"), some, "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
     side = lambda h, c: cand.select(F.col("h").alias(h), F.col("sig").alias(c))
     near = lambda pairs: pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").select("a", "b", _agree("p", "q").alias("c")).where(F.col("c") >= AGREE)
-    meets = table(near(members.where("h <> rep").select(F.col("rep").alias("a"), F.col("h").alias("b")).distinct()), "meets")
-    best = table(meets.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"), "best")
-    found = _confirm(best, texts, percent)
-    comp = components(found).select(F.col("node").alias("h"), "root")
+    best = lambda pairs: table(pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"), "best")
     root = lambda df, h, r: df.join(comp.toDF(h, r), h, "left").withColumn(r, F.coalesce(r, h))
-    rest = meets.join(best, ["a", "b"], "left_anti")
+    roots = lambda found: components(found).select(F.col("node").alias("h"), "root")
+
+    pairs = members.select("key", F.col("h").alias("b")).join(_centers(members, some), "key").where("a <> b").select("a", "b").distinct()
+    meets = table(near(pairs), "meets")
+    first = best(meets)
+    found = _confirm(first, texts, percent)
+    comp = roots(found)
+    rest = meets.join(first, ["a", "b"], "left_anti")
     found = found.union(_confirm(root(root(rest, "a", "ra"), "b", "rb").where("ra <> rb"), texts, percent))
-    comp = components(found).select(F.col("node").alias("h"), "root")
+    comp = roots(found)
     return found.union(table(_across(members, comp, cand, texts, percent), "links_across"))
 
 

@@ -263,6 +263,26 @@ def test_fuzzy_lines_in_blocks(spark, monkeypatch):
     assert line_roots(spark, rows) == want
 
 
+def test_fuzzy_lines_link_copies_to_what_they_are_copies_of(spark):
+    """A group of copies edited apart from each other: some of them are unlike each other, and the links found are few, not a
+    square of the group's size."""
+    rng = np.random.default_rng(8)
+    base = list(rng.choice(list("abcdefghij klmnop"), 300))
+    rows = [(0, "".join(base))]
+    for d in range(1, 151):
+        s = list(base)
+        for k in rng.choice(30, 1 + d % 3, replace=False):
+            s[10 * k] = chr(0x400 + d)
+        rows.append((d, "".join(s)))
+    pairs = line_pairs(rows)
+    assert 2000 < len(pairs) < 151 * 150 // 2 - 2000
+    ids = lines.line_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = [(r["a"], r["b"]) for r in lines.links(ids).collect()]
+    assert len(got) <= 2 * len(rows)
+    h = [r["h"] for r in ids.select("h").collect()]
+    assert len(set(closure(pairs, range(len(rows))).values())) == len(set(closure(got, h).values())) == 1
+
+
 def test_mixing(docs, empty, texts):
     got = mixing.taken(docs).collect()
     assert len(got) == len(texts) and sum(r["size"] for r in got) == sum(len(WORD.findall(x or "")) for _, x in texts)
