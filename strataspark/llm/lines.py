@@ -120,7 +120,8 @@ def _barrier(both: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _across(members: DataFrame, comp: DataFrame, cand: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links (a, b) between lines of one band and different components. ``comp``: h, root; ``cand``: h, sig.
+    """Confirmed links (a, b) between lines of one band and different components, but for the band's center, which the linear
+    rounds have compared with all others. ``members``: without centers; ``comp``: h, root; ``cand``: h, sig.
 
     Signatures meet first, in a semi-join that makes no pairs; only rows with something to be compared with get their text.
     """
@@ -160,15 +161,15 @@ def links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     root = lambda df, h, r: df.join(comp.toDF(h, r), h, "left").withColumn(r, F.coalesce(r, h))
     roots = lambda found: components(found).select(F.col("node").alias("h"), "root")
 
-    pairs = members.select("key", F.col("h").alias("b")).join(_centers(members, some), "key").where("a <> b").select("a", "b").distinct()
-    meets = table(near(pairs), "meets")
+    around = table(members.join(_centers(members, some), "key").where("h <> a").select("key", "band", "h", "a"), "around")
+    meets = table(near(around.select("a", F.col("h").alias("b")).distinct()), "meets")
     first = best(meets)
     found = _confirm(first, texts, percent)
     comp = roots(found)
     rest = meets.join(first, ["a", "b"], "left_anti")
     found = found.union(_confirm(root(root(rest, "a", "ra"), "b", "rb").where("ra <> rb"), texts, percent))
     comp = roots(found)
-    return found.union(table(_across(members, comp, cand, texts, percent), "links_across"))
+    return found.union(table(_across(around, comp, cand, texts, percent), "links_across"))
 
 
 def line_ledger(docs: DataFrame, percent: int = PERCENT, text: str = "text") -> DataFrame:
