@@ -12,9 +12,10 @@ share costs a row a task). Shingles are exploded and hashed in generated code an
 first aggregation left, without a second shuffle. Bands are counted before they are joined, so the few that have two lines
 meet their lines in a join that can be split. Links are found in two linear rounds first: every line with the one that it
 agrees with most of its bands' centers, then with the others, where they are not yet of one component. Bands that hold
-two components after that are cut into blocks of about BLOCK lines; a pair of blocks meets in one task, by signatures alone
-at first, then, with the texts of lines that have met another, each pair of lines of different components in the first band
-they share, and only confirmed links leave the task. Texts are fetched for candidates alone.
+two components after that are cut into blocks of about BLOCK lines; a pair of blocks meets in one task, by signatures and
+bitmaps of all shingles at first (an exact bound: most pairs a little below the threshold end there), then, with the texts
+of lines that have met another, each pair of lines of different components in the first band they share, and only confirmed
+links leave the task. Texts are fetched for candidates alone.
 
 Defined cases: null and empty texts have no lines; blank lines are always kept and never compared; a null doc_id sorts
 last; repeated rows of one document are repeated lines, of which one stays; very long lines are lines like any other;
@@ -38,6 +39,7 @@ STEP = 3  # shingles hashed for each generated row
 LANE = 21  # bits of a minimum that are kept: a band's ROWS minima are the lanes of one long
 PERCENT = 80
 BLOCK = 256
+WORDS = 64  # longs of a line's bitmap
 
 
 def _mask(k: int) -> int:
@@ -119,27 +121,51 @@ def _barrier(both: DataFrame, **columns: Column) -> DataFrame:
     return both.select(*rest, F.explode(F.array(s)).alias("_s")).select(*rest, *[F.col(f"_s.{n}") for n in columns])
 
 
+def _bitmaps(lines: DataFrame) -> DataFrame:
+    """h, n (places of shingles: the number of distinct ones at most) and bits (w0, w1, ...): a row per distinct line; a shingle
+    sets one of 64 * WORDS bits. Bits that two lines do not share are of shingles that they do not share."""
+    raw = lines.select("h", F.encode("line", "UTF-32").alias("raw"), F.greatest(F.length("line") - SHINGLE, F.lit(0)).alias("last")).repartition("h")
+    at = raw.select("h", "raw", (F.col("last") + 1).alias("n"), F.explode(F.sequence(F.lit(0), F.col("last"))).alias("i"))
+    v = at.select("h", "n", F.xxhash64(F.substring("raw", F.col("i") * 4 + 1, F.lit(4 * SHINGLE))).alias("v"))
+    # Eight words a row, then all words of a line: 64 at once for each shingle are work for one that is set.
+    v = v.select("h", "n", F.expr("shiftright(v, 6) & 7").alias("w"), F.expr(f"pmod(shiftright(v, 9), {WORDS // 8})").alias("g"), F.expr("shiftleft(1L, cast(v & 63 as int))").alias("bit"))
+    some = v.groupBy("h", "n", "g").agg(*[F.bit_or(F.when(F.col("w") == k, F.col("bit"))).alias(f"w{k}") for k in range(8)])
+    words = [F.coalesce(F.max(F.when(F.col("g") == i // 8, F.col(f"w{i % 8}"))), F.lit(0).cast("long")).alias(f"w{i}") for i in range(WORDS)]
+    return some.groupBy("h", "n").agg(*words).select("h", "n", F.struct(*[f"w{i}" for i in range(WORDS)]).alias("bits"))
+
+
+def _bound(percent: int, nx: str, ny: str, x: str, y: str) -> Column:
+    """False only for lines that cannot be alike: their sets differ in as many shingles at least as their bitmaps in bits."""
+    different = " + ".join(f"bit_count({x}.w{i} ^ {y}.w{i})" for i in range(WORDS))
+    return F.expr(f"{100 + percent} * ({different}) <= {100 - percent} * ({nx} + {ny})")
+
+
 def _across(members: DataFrame, comp: DataFrame, cand: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between lines of one band and different components, but for the band's center, which the linear
     rounds have compared with all others. ``members``: without centers; ``comp``: h, root; ``cand``: h, sig.
 
-    Signatures meet first, in a semi-join that makes no pairs; only rows with something to be compared with get their text.
+    Signatures and bitmaps meet first, in a semi-join that makes no pairs; only rows with something to be compared with get
+    their text.
     """
     m = members.join(comp, "h", "left").withColumn("root", F.coalesce("root", "h"))
     keys = m.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("lo < hi").select("key", "blocks")
     mixed = table(m.join(keys, "key").select("key", "band", "h", "root", "blocks"), "mixed")
-    rows = mixed.join(cand, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "band", "h", "root", "own", "sig")
-    left = lambda df: df.select("key", "s", "t", "band", F.col("h").alias("a"), F.col("root").alias("ra"), F.col("own").alias("oa"), F.col("sig").alias("p"), *df.columns[8:])
-    right = lambda df: df.select(F.col("key").alias("k2"), F.col("s").alias("s2"), F.col("t").alias("t2"), F.col("h").alias("b"), F.col("root").alias("rb"), F.col("own").alias("ob"), F.col("sig").alias("q"), *df.columns[8:])
+    bits = table(_bitmaps(texts.join(mixed.select("h"), "h", "left_semi")), "bits")
+    rows = mixed.join(cand, "h").join(bits, "h").withColumn("own", F.pmod(F.xxhash64("h"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("key", F.least("own", "other").alias("s"), F.greatest("own", "other").alias("t"), "band", "h", "root", "own", "sig", "n", "bits")
+    left = lambda df, *more: df.toDF("key", "s", "t", "band", "a", "ra", "oa", "p", "nx", "x", *more)
+    right = lambda df, *more: df.toDF("k2", "s2", "t2", "band2", "b", "rb", "ob", "q", "ny", "y", *more)
     earlier = " or ".join(f"(band > {b} and p.b{b} = q.b{b})" for b in range(BANDS - 1))  # an earlier band that they share has them
     meet = F.expr("key = k2 and s = s2 and t = t2 and ra <> rb and (s = t or oa <> ob)") & (_agree("p", "q") >= AGREE) & F.expr(f"not ({earlier})")
+    # Both sides read the same columns, so that rows are dealt once. The lambda keeps the condition out of the stage's method,
+    # which the bitmaps would make too large to be compiled.
+    meet = meet & F.expr("band <= band2 and exists(array(a), z -> z <> b)") & _bound(percent, "nx", "ny", "x", "y")
     dealt = rows.repartition("key", "s", "t")
     live = table(left(dealt).join(right(dealt).hint("merge"), meet, "left_semi").toDF(*rows.columns), "live")
-    dealt = live.join(texts, "h").select(*live.columns, "line").repartition("key", "s", "t")
-    x, y = left(dealt).withColumn("x", _full(F.col("line"))).drop("line"), right(dealt).withColumn("y", _full(F.col("line"))).drop("line")
-    both = x.join(y.hint("merge"), F.expr("a < b") & meet)
-    return both.where(_alike(percent)).select("a", "b")
+    dealt = live.join(texts, "h").select(*live.columns, "line").repartition("key", "s", "t").withColumn("line", _full(F.col("line")))
+    # One condition, dearest last: a filter on the join would be put before it.
+    both = left(dealt, "full").join(right(dealt, "full2").hint("merge"), F.expr("a < b") & meet & _alike(percent, "full", "full2"))
+    return both.select("a", "b")
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:

@@ -283,6 +283,34 @@ def test_fuzzy_lines_link_copies_to_what_they_are_copies_of(spark):
     assert len(set(closure(pairs, range(len(rows))).values())) == len(set(closure(got, h).values())) == 1
 
 
+def test_fuzzy_lines_below_the_threshold_meet_no_sets(spark, monkeypatch):
+    """Lines a little below the threshold end at their bitmaps, before texts are fetched, and sets are compared last; no pair
+    at the threshold is ruled out."""
+    rng = np.random.default_rng(3)
+    base = list(rng.choice(list("abcdefghij klmnop"), 400))
+    rows = [(0, "".join(base) + "x" * 30)]
+    for d in range(1, 81):
+        s = list(base)
+        for k in range(d % 2, 12, 2) if d <= 8 else rng.choice(33, 7, replace=False):
+            s[12 * k] = chr(0x400 + d)
+        rows.append((d, "".join(s)))
+    pairs = line_pairs(rows)
+    assert 5 <= len(pairs) < 400
+    kept, table = {}, lines.table
+    monkeypatch.setattr(lines, "table", lambda df, name: kept.setdefault(name, table(kept.setdefault(f"{name} plan", df), name)))
+    ids = lines.line_rows(spark.createDataFrame(rows, "doc_id long, text string"))
+    lines.links(ids).collect()
+    assert kept["mixed"].count() > 100 and kept["live"].count() < 0.25 * kept["mixed"].count()
+    plan = kept["links_across plan"]._jdf.queryExecution().optimizedPlan().toString()
+    join = next(x for x in plan.splitlines() if "Join Inner" in x and "array_intersect" in x)
+    assert join.rindex("bit_count") < join.index("array_intersect")
+    name = dict(ids.select("doc_id", "h").collect())
+    side = lambda *c: lines._bitmaps(ids).toDF(*c)
+    may = side("a", "nx", "x").join(side("b", "ny", "y"), lines._bound(80, "nx", "ny", "x", "y")).select("a", "b")
+    may = {tuple(r) for r in may.collect()}
+    assert all((name[a], name[b]) in may for a, b in pairs) and len(may) < 0.5 * len(rows) ** 2
+
+
 def test_mixing(docs, empty, texts):
     got = mixing.taken(docs).collect()
     assert len(got) == len(texts) and sum(r["size"] for r in got) == sum(len(WORD.findall(x or "")) for _, x in texts)
