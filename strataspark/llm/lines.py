@@ -10,11 +10,12 @@ line number).
 Scale: lines with the same text are one row before anything else (pre-aggregated, so a line that a third of all documents
 share costs a row a task). Shingles are exploded and hashed in generated code and aggregated in the partitioning that the
 first aggregation left, without a second shuffle. Bands are counted before they are joined, so the few that have two lines
-meet their lines in a join that can be split. Links are found in two linear rounds first: every line with the one that it
-agrees with most of its bands' centers, then with the others, where they are not yet of one component. Bands that hold
-two components after that are cut into blocks of about BLOCK lines; a pair of blocks meets in one task, by signatures and
-bitmaps of all shingles at first (an exact bound: most pairs a little below the threshold end there), then, with the texts
-of lines that have met another, each pair of lines of different components in the first band they share, and only confirmed
+meet their lines in a join that can be split. Links are found in one linear round first: every line with its bands'
+centers, at most BANDS of them (a round for the best one and one for the others would confirm few pairs less, but have
+components found once more, a dozen steps whatever the size). Bands that hold two components after that are cut into blocks
+of about BLOCK lines; a pair of blocks meets in one task, by signatures and bitmaps of all shingles at first (an exact
+bound: most pairs a little below the threshold end there), then, with the texts of lines that have met another, each pair
+of lines of different components in the first band they share, and only confirmed
 links leave the task. Texts are fetched for candidates alone.
 
 Defined cases: null and empty texts have no lines; blank lines are always kept and never compared; a null doc_id sorts
@@ -142,7 +143,7 @@ def _bound(percent: int, nx: str, ny: str, x: str, y: str) -> Column:
 
 def _across(members: DataFrame, comp: DataFrame, cand: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Confirmed links (a, b) between lines of one band and different components, but for the band's center, which the linear
-    rounds have compared with all others. ``members``: without centers; ``comp``: h, root; ``cand``: h, sig.
+    round has compared with all others. ``members``: without centers; ``comp``: h, root; ``cand``: h, sig.
 
     Signatures and bitmaps meet first, in a semi-join that makes no pairs; only rows with something to be compared with get
     their text.
@@ -183,18 +184,10 @@ def links(lines: DataFrame, percent: int = PERCENT) -> DataFrame:
     texts = table(matching(lines.select("h", "line"), some, "h").groupBy("h").agg(F.min("line").alias("line")), "texts")
     side = lambda h, c: cand.select(F.col("h").alias(h), F.col("sig").alias(c))
     near = lambda pairs: pairs.join(side("a", "p"), "a").join(side("b", "q"), "b").select("a", "b", _agree("p", "q").alias("c")).where(F.col("c") >= AGREE)
-    best = lambda pairs: table(pairs.groupBy("b").agg(F.max(F.struct("c", "a")).alias("m")).select("m.a", "b"), "best")
-    root = lambda df, h, r: df.join(comp.toDF(h, r), h, "left").withColumn(r, F.coalesce(r, h))
-    roots = lambda found: components(found).select(F.col("node").alias("h"), "root")
 
     around = table(members.join(_centers(members, some), "key").where("h <> a").select("key", "band", "h", "a"), "around")
-    meets = table(near(around.select("a", F.col("h").alias("b")).distinct()), "meets")
-    first = best(meets)
-    found = _confirm(first, texts, percent)
-    comp = roots(found)
-    rest = meets.join(first, ["a", "b"], "left_anti")
-    found = found.union(_confirm(root(root(rest, "a", "ra"), "b", "rb").where("ra <> rb"), texts, percent))
-    comp = roots(found)
+    found = _confirm(near(around.select("a", F.col("h").alias("b")).distinct()), texts, percent)
+    comp = components(found).select(F.col("node").alias("h"), "root")
     return found.union(table(_across(around, comp, cand, texts, percent), "links_across"))
 
 
