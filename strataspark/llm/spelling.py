@@ -14,8 +14,8 @@ that. Survivors are verified by their edit distance inside the join.
 
 Scale: words are counted before anything else, so texts are not shuffled and a word that a third of all rows hold is a row a
 task. All later work is on the vocabulary (distinct words with ``least`` occurrences). The bigram table has at most
-(26 + 64) ** 2 rows, whatever the data, and is broadcast. The pivot join is an equi-join of plain rows that adaptive
-execution can split, and emits verified pairs only. Chains of forms are followed by pointer doubling: each step multiplies
+(26 + 64) ** 2 rows, whatever the data, and is broadcast. The pivot join is a merge join of plain rows that adaptive
+execution can split (never a broadcast: file sizes say nothing of exploded rows), and emits verified pairs only. Chains of forms are followed by pointer doubling: each step multiplies
 the count by ``factor`` or more, so five rounds reach the end of any chain.
 
 Defined cases: null and empty texts have no words; a null doc_id counts as an empty one in the slip's hash; repeated rows are
@@ -83,7 +83,8 @@ def near_pairs(words: DataFrame) -> DataFrame:
     two = sig.select("word", "n", "last", "size", F.explode("prefix").alias("g")).withColumn("k", F.explode(F.array(before(F.col("g.p")), behind(F.col("g.p")))))
     two = two.select(key(F.col("k"), F.col("size")).alias("key"), F.col("word").alias("y"), F.col("n").alias("ny"), F.col("last").alias("ly"))
     # Where both prefixes end alike, both words find each other: one direction is enough.
-    met = one.join(two, "key").where("(lx < ly or (lx = ly and x < y)) and levenshtein(x, y, 1) = 1")
+    # By its file's size, Spark would broadcast one side, whose rows are exploded a dozen times: more than the driver holds.
+    met = one.join(two.hint("merge"), "key").where("(lx < ly or (lx = ly and x < y)) and levenshtein(x, y, 1) = 1")
     less = F.col("x") < F.col("y")
     pick = lambda u, v: F.when(less, F.col(u)).otherwise(F.col(v))
     return met.select(pick("x", "y").alias("a"), pick("nx", "ny").alias("na"), pick("y", "x").alias("b"), pick("ny", "nx").alias("nb")).distinct()
@@ -111,5 +112,5 @@ def spelling_variants(docs: DataFrame, least_length: int = LEAST_LENGTH, least_c
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min("other").alias("o"), F.first("n").alias("own"))
     best = table(best.select("word", "n_near", *[F.when(-F.col("o.m") >= factor * F.col("own"), c).alias(k) for k, c in (("form", F.col("o.w")), ("form_n", -F.col("o.m")))]), "best")
     roots = follow(best.where("form is not null"))
-    out = words.join(best, "word", "left").join(roots, "word", "left")
+    out = words.join(best.hint("merge"), "word", "left").join(roots.hint("merge"), "word", "left")
     return out.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), "form", "form_n", F.coalesce("root", "word").alias("root"))

@@ -87,6 +87,13 @@ def test_pivots(spark, rows):
         assert all(r["word"][p : p + 2] == v[1] for p, v in g.items()) and len(g) >= 3 and len(every) >= len(g)
 
 
+def test_pivot_join_is_not_broadcast(spark, rows):
+    """The exploded sides of the pivot join do not pass through the driver, however small the file of pivots is."""
+    words = spark.createDataFrame(sorted(counts(rows).items()), "word string, n long")
+    plan = spelling.near_pairs(words)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin [key" in plan and "Broadcast" not in plan
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert spelling.spelling_variants(docs).collect() == []
